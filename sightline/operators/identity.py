@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -63,7 +64,8 @@ def ocr_box_to_frame(df: DataFrame, fraction: float = CROP.top_fraction) -> Data
     ``crop_width/height`` (before) and ``final_width/height`` (after processing).
     """
     x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
-    xs, ys = (F.transform("poly", lambda p, c=c: p[c]) for c in ("x", "y"))
+    xs = F.transform("poly", lambda p: p["x"])
+    ys = F.transform("poly", lambda p: p["y"])
     jersey_h = ((y2 - y1) * F.lit(fraction)).cast("int")
     step_x = F.col("crop_width") / F.col("final_width")
     step_y = F.col("crop_height") / F.col("final_height")
@@ -297,7 +299,7 @@ def fuse_jerseys(df: DataFrame, settings: JerseyDefaults = JERSEY) -> DataFrame:
     and only its state is held: 30 readings and the live numbers.
     """
 
-    def fold(key, batches):
+    def fold(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state = JerseyFusion(settings)
         for pdf in batches:
             for frame, number, weight in zip(
@@ -313,11 +315,6 @@ def fuse_jerseys(df: DataFrame, settings: JerseyDefaults = JERSEY) -> DataFrame:
         )
 
     # Sorting first satisfies the grouping's own ordering, so batches arrive in frame order.
-    from collections.abc import Iterator
-
-    fold.__annotations__ = {
-        "key": tuple, "batches": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]
-    }
     readings = _weighted(df, settings).select(
         "video_id", "track_id", "frame_idx", "seq", "jersey_number", "weight"
     )

@@ -4,6 +4,10 @@ from importlib import import_module
 
 MODULES = (
     "detection_queries",
+    "identity_queries",
+    "track_queries",
+    "field_queries",
+    "calibration_queries",
 )
 
 

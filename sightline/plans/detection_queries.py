@@ -242,7 +242,22 @@ def _(spark, sf):
 
 
 
-@query("nms")
+BOX_STRUCT = "{'x1': d.x1, 'y1': d.y1, 'x2': d.x2, 'y2': d.y2, 'id': d.det_idx}"
+CLASH = """CAST(greatest(0, least(k.x2, d.x2) - greatest(k.x1, d.x1)) * greatest(0, least(k.y2, d.y2) - greatest(k.y1, d.y1)) AS DOUBLE)"""
+
+
+@query(
+    "nms",
+    f"""WITH RECURSIVE d AS (SELECT *, row_number() OVER (PARTITION BY video_id, frame_idx, model_type ORDER BY confidence DESC, det_idx) AS n FROM {D}),
+    f AS (SELECT video_id, frame_idx, model_type, n, [{BOX_STRUCT}] AS kept FROM d WHERE n = 1
+      UNION ALL SELECT d.video_id, d.frame_idx, d.model_type, d.n, CASE WHEN len(list_filter(f.kept, lambda k:
+        {CLASH} > 0.45::DOUBLE * ((k.x2 - k.x1) * (k.y2 - k.y1) + (d.x2 - d.x1) * (d.y2 - d.y1) - {CLASH}))) > 0
+        THEN f.kept ELSE list_append(f.kept, {BOX_STRUCT}) END
+      FROM f JOIN d ON d.video_id = f.video_id AND d.frame_idx = f.frame_idx AND d.model_type = f.model_type AND d.n = f.n + 1),
+    g AS (SELECT *, row_number() OVER (PARTITION BY video_id, frame_idx, model_type ORDER BY n DESC) AS last FROM f),
+    k AS (SELECT video_id, frame_idx, model_type, unnest(kept[1:CASE model_type WHEN 'player_model' THEN 50 ELSE 5 END]).id AS det_idx FROM g WHERE last = 1)
+    SELECT {S_ID}, model_type, confidence, {sql_big(*BOX)} FROM {D} SEMI JOIN k USING (video_id, frame_idx, model_type, det_idx)""",
+)
 def _(spark, sf):
     return sup.nms(table(spark, sf, "detections")).select(*ID, "model_type", "confidence", *big(*BOX))
 
