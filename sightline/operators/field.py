@@ -261,7 +261,7 @@ def densify_contours(
     extra = F.when(length > max_distance, F.ceil(length / F.lit(float(max_distance))) - 1)
     extra = F.coalesce(extra, F.lit(0)).cast("bigint")
     spacing = length / (extra + 1)
-    stride = F.greatest(F.lit(1), F.ceil(F.lit(float(min_distance)) / spacing)).cast("bigint")
+    stride = F.greatest(F.lit(1).cast("bigint"), F.ceil(F.try_divide(F.lit(float(min_distance)), spacing)))
     d = d.withColumns({"__extra": extra, "__stride": F.coalesce(stride, F.lit(1))})
     d = d.withColumn("sub_idx", F.explode(F.sequence(F.lit(0).cast("bigint"), "__extra")))
     d = d.filter(F.col("sub_idx") % F.col("__stride") == 0)

@@ -46,7 +46,7 @@ def ocr_center_x(df: DataFrame, scale: float = 1.0) -> DataFrame:
     divides by the unscaled width as it stands.
     """
     polys = F.filter("results", lambda r: F.size(r["poly"]) >= 4)
-    width = F.col("crop_width") * F.lit(float(scale))
+    width = F.nullif(F.col("crop_width") * F.lit(float(scale)), F.lit(0.0))
     centers = F.transform(
         polys, lambda r: _mean(F.transform(r["poly"], lambda p: p["x"])) / width
     )

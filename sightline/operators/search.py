@@ -33,8 +33,8 @@ def seed_population(
     seeds: DataFrame, seed: int = 0, settings: SearchDefaults = SEARCH
 ) -> DataFrame:
     """Generation 0: each video's own calibration and strongly mutated copies of it."""
-    number = F.explode(F.sequence(F.lit(0), F.lit(settings.population - 1)))
-    d = seeds.select("video_id", *H_COLUMNS, number.cast("bigint").alias("cand_id"))
+    number = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(settings.population - 1).cast("bigint")))
+    d = seeds.select("video_id", *H_COLUMNS, number.alias("cand_id"))
     parts = (F.col("video_id"), F.lit(0), F.col("cand_id"))
     return d.select(
         *_KEYS,
@@ -77,8 +77,8 @@ def next_generation(
         raise ValueError("the tournament draws three members")
     member = F.struct((-F.col("fitness")).alias("f"), "cand_id", *H_COLUMNS)
     parents = scored.groupBy("video_id").agg(F.sort_array(F.collect_list(member)).alias("pop"))
-    number = F.explode(F.sequence(F.lit(0), F.lit(settings.population - 1)))
-    d = parents.select("video_id", "pop", number.cast("bigint").alias("cand_id"))
+    number = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(settings.population - 1).cast("bigint")))
+    d = parents.select("video_id", "pop", number.alias("cand_id"))
     parts = (F.col("video_id"), F.lit(generation), F.col("cand_id"))
     d = d.withColumns(
         {

@@ -135,15 +135,6 @@ def track_motion(
     )
 
 
-def cosine_distance(a: Column, b: Column) -> Column:
-    def dot(u, v):
-        products = F.zip_with(u, v, lambda p, q: p.cast("double") * q.cast("double"))
-        return F.aggregate(products, F.lit(0.0), lambda acc, p: acc + p)
-
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.lit(1.0) - F.try_divide(dot(a, b), norm)
-
-
 def appearance_pairs(
     df: DataFrame, max_distance: float = TRACK.max_cosine_distance, keys=("video_id",),
     unit: bool = False,
@@ -159,7 +150,7 @@ def appearance_pairs(
         norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double") * v))
         vector = F.transform("embedding", lambda v: v.cast("double"))
         if not unit:
-            vector = F.transform("embedding", lambda v: v.cast("double") / F.col("__norm"))
+            vector = F.transform("embedding", lambda v: F.try_divide(v.cast("double"), F.col("__norm")))
             base = df.withColumn("__norm", norm)
         else:
             base = df

@@ -8,6 +8,7 @@ MODULES = (
     "track_queries",
     "field_queries",
     "calibration_queries",
+    "telemetry_queries",
 )
 
 

@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import tracks as trk
 from ..operators.calibration import latest_homography, project_to_field
+from ..operators.detections import filter_confidence
+from ..operators.suppression import nms
+from ..operators.tracking import track_objects
 from .catalog import CANVAS, big, query, r6, sql_big, sql_r6, table, view
 from .identity_queries import PLACED
 
@@ -134,3 +137,9 @@ def _(spark, sf):
     return trk.appearance_pairs(table(spark, sf, "appearance"), 0.8).select(
         "video_id", "frame_idx", "det_idx", "next_det_idx", *r6("distance")
     )
+
+
+@query("track_objects")
+def _(spark, sf):
+    d = filter_confidence(table(spark, sf, "detections"))
+    return track_objects(nms(d), segment_frames=24, overlap=8)
