@@ -4,24 +4,31 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, so a lost executor costs no replay.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, as the session names it in ``spark.checkpoint.dir``.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Only a
-    local session without one gets a folder of its own.
+    Only a local session without one gets a folder of its own.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
+    sc = spark.sparkContext
+    folder = sc.getCheckpointDir()
+    if folder is None:
         folder = sc.getConf().get("spark.checkpoint.dir", None)
         if folder is None:
             if not sc.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
         sc.setCheckpointDir(folder)
+        folder = sc.getCheckpointDir()
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder, so a lost executor costs no replay."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -9,6 +9,7 @@ MODULES = (
     "field_queries",
     "calibration_queries",
     "telemetry_queries",
+    "stream_queries",
 )
 
 

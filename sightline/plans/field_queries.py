@@ -108,7 +108,7 @@ def _(spark, sf):
 
 DENSE = f"""(SELECT video_id, frame_idx, CAST(contour_id AS BIGINT) AS contour_id, pt_idx, k AS sub_idx,
 x + k / (extra + 1.0::DOUBLE) * (nx - x) AS x, y + k / (extra + 1.0::DOUBLE) * (ny - y) AS y FROM
-(SELECT *, unnest(range(0, extra + 1)) AS k FROM (SELECT *, CASE WHEN d > 20 THEN CAST(ceil(d / 20) AS BIGINT) - 1 ELSE 0 END AS extra FROM
+(SELECT *, unnest(range(0, extra + 1)) AS k FROM (SELECT *, CASE WHEN d > 200 THEN CAST(ceil(d / 200) AS BIGINT) - 1 ELSE 0 END AS extra FROM
 (SELECT *, sqrt((nx - x) * (nx - x) + (ny - y) * (ny - y)) AS d FROM {NEXT}))))"""
 
 
@@ -117,7 +117,7 @@ x + k / (extra + 1.0::DOUBLE) * (nx - x) AS x, y + k / (extra + 1.0::DOUBLE) * (
     f"SELECT video_id, frame_idx, contour_id, pt_idx, sub_idx, {sql_r6('x', 'y')} FROM {DENSE}",
 )
 def _(spark, sf):
-    return fld.densify_contours(table(spark, sf, "contour_points")).select(
+    return fld.densify_contours(table(spark, sf, "contour_points"), 200.0).select(
         *KEY, *big("contour_id"), "pt_idx", "sub_idx", *r6("x", "y")
     )
 
@@ -146,36 +146,61 @@ def point_rows(spark, sf):
     return table(spark, sf, "contour_points").select(*KEY, point_id.alias("point_id"), "x", "y")
 
 
-def _ticket(factors: tuple[int, int]) -> str:
-    h = f"((point_id % {lin.PRIME} * {factors[0]} + trial * {factors[1]}) % {lin.PRIME})"
+def _ticket(factors: tuple[int, int], seed: int) -> str:
+    h = f"((point_id % {lin.PRIME} * {factors[0]} + (trial + {seed}) * {factors[1]}) % {lin.PRIME})"
     return f"(({h} * {h}) % {lin.PRIME} % {1 << 22} * {1 << 40} + point_id)"
 
 
 P = f"(SELECT video_id, frame_idx, pt_idx * 2 + contour_id AS point_id, x, y FROM {C})"
-PICKS = f"""(SELECT video_id, frame_idx, trial, id_a, CASE WHEN id_b = id_a THEN id_c ELSE id_b END AS id_b FROM
-(SELECT video_id, frame_idx, trial, arg_min(point_id, {_ticket(lin.FIRST)}) AS id_a, arg_min(point_id, {_ticket(lin.SECOND)}) AS id_b,
-arg_max(point_id, {_ticket(lin.SECOND)}) AS id_c FROM {P}, range(0, 20) t(trial) GROUP BY 1, 2, 3) WHERE id_a <> CASE WHEN id_b = id_a THEN id_c ELSE id_b END)"""
-TRIALS = f"""(SELECT k.video_id, k.frame_idx, k.trial, -(b.y - a.y) / sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS la,
-(b.x - a.x) / sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS lb, a.x AS ax, a.y AS ay FROM {PICKS} k
-JOIN {P} a ON a.video_id = k.video_id AND a.frame_idx = k.frame_idx AND a.point_id = k.id_a
-JOIN {P} b ON b.video_id = k.video_id AND b.frame_idx = k.frame_idx AND b.point_id = k.id_b WHERE a.x <> b.x OR a.y <> b.y)"""
-BEST_LINE = f"""(SELECT *, row_number() OVER (PARTITION BY video_id, frame_idx ORDER BY inliers DESC, trial) AS n FROM
-(SELECT video_id, frame_idx, trial, la, lb, -(la * ax + lb * ay) AS lc, count(*) AS inliers, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max
-FROM {TRIALS} JOIN {P} USING (video_id, frame_idx)
-WHERE (la * x + lb * y - (la * ax + lb * ay)) * (la * x + lb * y - (la * ax + lb * ay)) <= 25 GROUP BY ALL))"""
+KEYS2 = "video_id, frame_idx"
+FAR = "(la * x + lb * y + lc) * (la * x + lb * y + lc) > 25"
+
+
+def sql_picks(points: str, seed: int = 0) -> str:
+    one, two = _ticket(lin.FIRST, seed), _ticket(lin.SECOND, seed)
+    return f"""(SELECT {KEYS2}, trial, id_a, CASE WHEN id_b = id_a THEN id_c ELSE id_b END AS id_b FROM
+(SELECT {KEYS2}, trial, arg_min(point_id, {one}) AS id_a, arg_min(point_id, {two}) AS id_b,
+arg_max(point_id, {two}) AS id_c FROM {points}, range(0, 20) t(trial) GROUP BY 1, 2, 3)
+WHERE id_a <> CASE WHEN id_b = id_a THEN id_c ELSE id_b END)"""
+
+
+def sql_best(points: str, seed: int = 0) -> str:
+    """Best trial line per frame over ``points``, as ``n = 1``."""
+    trials = f"""(SELECT {KEYS2}, trial, la, lb, -(la * ax + lb * ay) AS lc FROM (SELECT k.video_id, k.frame_idx, k.trial,
+-(b.y - a.y) / sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS la,
+(b.x - a.x) / sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS lb, a.x AS ax, a.y AS ay FROM {sql_picks(points, seed)} k
+JOIN {points} a ON a.video_id = k.video_id AND a.frame_idx = k.frame_idx AND a.point_id = k.id_a
+JOIN {points} b ON b.video_id = k.video_id AND b.frame_idx = k.frame_idx AND b.point_id = k.id_b WHERE a.x <> b.x OR a.y <> b.y))"""
+    return f"""(SELECT *, CASE WHEN abs(lb) <= 1e-6 THEN -lc / la ELSE x_min END AS x1, CASE WHEN abs(lb) <= 1e-6 THEN y_min ELSE -(la * x_min + lc) / lb END AS y1,
+CASE WHEN abs(lb) <= 1e-6 THEN -lc / la ELSE x_max END AS x2, CASE WHEN abs(lb) <= 1e-6 THEN y_max ELSE -(la * x_max + lc) / lb END AS y2,
+row_number() OVER (PARTITION BY {KEYS2} ORDER BY inliers DESC, trial) AS n FROM
+(SELECT {KEYS2}, trial, la, lb, lc, count(*) AS inliers, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max
+FROM {trials} JOIN {points} USING ({KEYS2}) WHERE NOT ({FAR}) GROUP BY ALL))"""
+
+
+def sql_all_rounds(rounds: int = 4) -> str:
+    """Four rounds, each on the points that the lines before leave over."""
+    steps = [f"p0 AS MATERIALIZED (SELECT * FROM {P})"]
+    for n in range(rounds):
+        steps.append(f"b{n} AS MATERIALIZED (SELECT * FROM {sql_best(f'p{n}', n * 20)} WHERE n = 1)")
+        steps.append(
+            f"p{n + 1} AS MATERIALIZED (SELECT p.* FROM p{n} p JOIN b{n} USING ({KEYS2}) WHERE {FAR})"
+        )
+    columns = f"{KEYS2}, trial, inliers, {sql_r6('x1', 'y1', 'x2', 'y2')}"
+    found = " UNION ALL ".join(
+        f"SELECT CAST({n} AS BIGINT) AS line_idx, {columns} FROM b{n}" for n in range(rounds)
+    )
+    return f"WITH {', '.join(steps)} {found}"
 
 
-@query("ransac_picks", f"SELECT video_id, frame_idx, trial, id_a, id_b FROM {PICKS}")
+@query("ransac_picks", f"SELECT video_id, frame_idx, trial, id_a, id_b FROM {sql_picks(P)}")
 def _(spark, sf):
     return lin.ransac_picks(point_rows(spark, sf), 20)
 
 
 @query(
     "fit_first_line",
-    f"""SELECT video_id, frame_idx, trial, inliers,
-    round(CASE WHEN abs(lb) <= 1e-6 THEN -lc / la ELSE x_min END, 6) AS x1, round(CASE WHEN abs(lb) <= 1e-6 THEN y_min ELSE -(la * x_min + lc) / lb END, 6) AS y1,
-    round(CASE WHEN abs(lb) <= 1e-6 THEN -lc / la ELSE x_max END, 6) AS x2, round(CASE WHEN abs(lb) <= 1e-6 THEN y_max ELSE -(la * x_max + lc) / lb END, 6) AS y2
-    FROM {BEST_LINE} WHERE n = 1""",
+    f"SELECT video_id, frame_idx, trial, inliers, {sql_r6('x1', 'y1', 'x2', 'y2')} FROM {sql_best(P)} WHERE n = 1",
 )
 def _(spark, sf):
     return lin.fit_lines_ransac(point_rows(spark, sf), num_lines=1, min_points=2).select(
@@ -183,7 +208,7 @@ def _(spark, sf):
     )
 
 
-@query("fit_lines_ransac")
+@query("fit_lines_ransac", sql_all_rounds())
 def _(spark, sf):
     return lin.fit_lines_ransac(point_rows(spark, sf)).select(
         *KEY, "line_idx", "trial", "inliers", *r6("x1", "y1", "x2", "y2")
@@ -193,7 +218,7 @@ def _(spark, sf):
 @query(
     "line_confidence",
     f"""SELECT video_id, frame_idx, inliers, points, round(least(0.95, inliers / greatest(1, points // 4)), 6) AS confidence,
-    round(inliers / points, 6) AS inlier_ratio FROM {BEST_LINE}
+    round(inliers / points, 6) AS inlier_ratio FROM {sql_best(P)}
     JOIN (SELECT video_id, frame_idx, count(*) AS points FROM {P} GROUP BY 1, 2) USING (video_id, frame_idx) WHERE n = 1""",
 )
 def _(spark, sf):

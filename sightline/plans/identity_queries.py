@@ -285,6 +285,27 @@ def _(spark, sf):
     )
 
 
-@query("fuse_jerseys")
+# The fold as a recursion over a track's readings; ``state`` lists the live numbers.
+FUSED = f"""WITH RECURSIVE m AS (SELECT video_id, track_id, frame_idx, jersey_number, confidence * ({SPATIAL}) AS w,
+  row_number() OVER (PARTITION BY video_id, track_id ORDER BY frame_idx, seq) AS i FROM {M}),
+s AS (SELECT a.video_id, a.track_id, a.i, a.frame_idx, b.jersey_number AS num, count(*) AS cnt,
+  sum(b.w * (0.5::DOUBLE + 0.5::DOUBLE * (b.i - greatest(1, a.i - 29)) / greatest(1, least(a.i, 30) - 1))) AS score
+  FROM m a JOIN m b ON a.video_id = b.video_id AND a.track_id = b.track_id AND b.i BETWEEN a.i - 29 AND a.i GROUP BY ALL),
+t AS (SELECT video_id, track_id, i, frame_idx, list({{'num': num, 'share': score / total, 'cnt': cnt}}) AS shares, list(num) AS nums
+  FROM (SELECT *, sum(score) OVER (PARTITION BY video_id, track_id, i) AS total FROM s) GROUP BY 1, 2, 3, 4),
+f AS (SELECT video_id, track_id, i, list_transform(shares, lambda x: {{'num': x.num, 'p': x.share, 'seen': frame_idx, 'cnt': x.cnt}}) AS state FROM t WHERE i = 1
+  UNION ALL SELECT g.video_id, g.track_id, g.i, list_transform(g.merged, lambda x: {{'num': x.num, 'p': x.p / list_sum(list_transform(g.merged, lambda y: y.p)), 'seen': x.seen, 'cnt': x.cnt}})
+  FROM (SELECT t.video_id, t.track_id, t.i, list_concat(
+    list_transform(t.shares, lambda x: {{'num': x.num, 'p': coalesce(list_filter(f.state, lambda o: o.num = x.num)[1].p * 0.9::DOUBLE + x.share * 0.1::DOUBLE, x.share), 'seen': t.frame_idx, 'cnt': x.cnt}}),
+    list_filter(list_transform(list_filter(f.state, lambda o: NOT list_contains(t.nums, o.num)),
+      lambda o: {{'num': o.num, 'p': o.p * pow(0.95::DOUBLE, t.frame_idx - o.seen), 'seen': o.seen, 'cnt': o.cnt}}), lambda o: o.p >= 0.1 OR o.seen = t.frame_idx)) AS merged
+    FROM f JOIN t ON t.video_id = f.video_id AND t.track_id = f.track_id AND t.i = f.i + 1) g)
+SELECT video_id, track_id, u.num AS jersey_number, round(u.p, 6) AS probability, u.seen AS last_seen_frame, u.cnt AS measurement_count FROM
+(SELECT video_id, track_id, unnest(state) AS u FROM (SELECT *, row_number() OVER (PARTITION BY video_id, track_id ORDER BY i DESC) AS last FROM f) WHERE last = 1)"""
+
+
+@query("fuse_jerseys", FUSED)
 def _(spark, sf):
-    return ident.fuse_jerseys(table(spark, sf, "measurements"))
+    return ident.fuse_jerseys(table(spark, sf, "measurements")).select(
+        *TRACK, "jersey_number", *r6("probability"), "last_seen_frame", "measurement_count"
+    )
