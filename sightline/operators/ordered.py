@@ -30,20 +30,26 @@ def _order_struct(order) -> Column:
     return F.struct(*_cols(order))
 
 
-def with_chunks(df: DataFrame, chunk: Column) -> DataFrame:
-    """Cut once for several scans in a row; they then share one shuffle. End with ``unchunk``."""
-    return df.withColumn(_C, chunk)
+def _start(df: DataFrame, order, chunk: Column | None) -> DataFrame:
+    return df.withColumn(_C, chunk if chunk is not None else chunk_of(order[0]))
 
 
-def unchunk(df: DataFrame) -> DataFrame:
-    return df.drop(_C)
+class Chunks:
+    """The pieces for a scan of one's own: windows inside chunks and across their summaries."""
 
+    def __init__(self, df: DataFrame, keys, order, chunk: Column | None = None):
+        self.keys = list(keys)
+        self.rows = _start(df, order, chunk)
+        self.inside = W.partitionBy(*self.keys, _C).orderBy(*_cols(order))
+        self.across = W.partitionBy(*self.keys).orderBy(_C)
+        self.earlier = self.across.rowsBetween(W.unboundedPreceding, -1)
 
-def _start(df: DataFrame, order, chunk: Column | None) -> tuple[DataFrame, list[str]]:
-    """The chunked rows, and the chunk column if it has to be dropped again."""
-    if _C in df.columns:
-        return df, []
-    return df.withColumn(_C, chunk if chunk is not None else chunk_of(order[0])), [_C]
+    def summary(self, rows: DataFrame, *aggs: Column) -> DataFrame:
+        """One row per chunk of ``rows``, which derive from ``self.rows``."""
+        return rows.groupBy(*self.keys, _C).agg(*aggs)
+
+    def attach(self, rows: DataFrame, summary: DataFrame) -> DataFrame:
+        return rows.join(summary, [*self.keys, _C], "left").drop(_C)
 
 
 def _attach(df: DataFrame, summary: DataFrame, keys) -> DataFrame:
@@ -52,7 +58,7 @@ def _attach(df: DataFrame, summary: DataFrame, keys) -> DataFrame:
 
 def index_rows(df, keys, order, out="pos", chunk=None) -> DataFrame:
     """Number the rows of each key 0, 1, 2 … in ``order`` (which must be unique)."""
-    d, own = _start(df, order, chunk)
+    d = _start(df, order, chunk)
     before = W.partitionBy(*keys).orderBy(_C).rowsBetween(W.unboundedPreceding, -1)
     summary = (
         d.groupBy(*keys, _C)
@@ -64,7 +70,7 @@ def index_rows(df, keys, order, out="pos", chunk=None) -> DataFrame:
     return (
         _attach(d, summary, keys)
         .withColumn(out, (F.col("__before") + F.col(out) - 1).cast("bigint"))
-        .drop("__before", *own)
+        .drop("__before", _C)
     )
 
 
@@ -73,7 +79,7 @@ def neighbour_rows(df, keys, order, cols, prefix, step=-1, wrap=False, chunk=Non
 
     With ``wrap`` the last row's next is the first row, as on a closed polygon.
     """
-    d, own = _start(df, order, chunk)
+    d = _start(df, order, chunk)
     value = F.struct(*_cols(cols))
     inside = W.partitionBy(*keys, _C).orderBy(*_cols(order))
     across = W.partitionBy(*keys).orderBy(_C)
@@ -90,16 +96,13 @@ def neighbour_rows(df, keys, order, cols, prefix, step=-1, wrap=False, chunk=Non
     summary = summary.select(*keys, _C, far.alias("__far"))
     d = _attach(d.withColumn("__near", near), summary, keys)
     found = F.coalesce("__near", "__far")
-    return d.withColumns({f"{prefix}{c}": found[c] for c in cols}).drop("__near", "__far", *own)
+    return d.withColumns({f"{prefix}{c}": found[c] for c in cols}).drop("__near", "__far", _C)
 
 
-def carry_forward(
-    df, keys, order, cols, prefix="last_", chunk=None, with_current=True
-) -> DataFrame:
-    """Add ``prefix + col``: the newest non-null value of ``col`` up to (and with) this row."""
-    d, own = _start(df, order, chunk)
-    last = 0 if with_current else -1
-    upto = W.partitionBy(*keys, _C).orderBy(*_cols(order)).rowsBetween(W.unboundedPreceding, last)
+def carry_forward(df, keys, order, cols, prefix="last_", chunk=None) -> DataFrame:
+    """Add ``prefix + col``: the newest non-null value of ``col`` up to and with this row."""
+    d = _start(df, order, chunk)
+    upto = W.partitionBy(*keys, _C).orderBy(*_cols(order)).rowsBetween(W.unboundedPreceding, 0)
     before = W.partitionBy(*keys).orderBy(_C).rowsBetween(W.unboundedPreceding, -1)
     at = _order_struct(order)
     summary = d.groupBy(*keys, _C).agg(
@@ -112,12 +115,12 @@ def carry_forward(
     d = _attach(d, summary, keys)
     return d.withColumns(
         {f"{prefix}{c}": F.coalesce(f"{prefix}{c}", f"__b_{c}") for c in cols}
-    ).drop(*own, *[f"__b_{c}" for c in cols])
+    ).drop(_C, *[f"__b_{c}" for c in cols])
 
 
 def running_sum(df, keys, order, col, out, chunk=None) -> DataFrame:
     """Sum of ``col`` over the key's rows up to and with this row."""
-    d, own = _start(df, order, chunk)
+    d = _start(df, order, chunk)
     upto = W.partitionBy(*keys, _C).orderBy(*_cols(order)).rowsBetween(W.unboundedPreceding, 0)
     before = W.partitionBy(*keys).orderBy(_C).rowsBetween(W.unboundedPreceding, -1)
     summary = (
@@ -126,12 +129,12 @@ def running_sum(df, keys, order, col, out, chunk=None) -> DataFrame:
         .select(*keys, _C, F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__before"))
     )
     d = _attach(d.withColumn(out, F.sum(col).over(upto)), summary, keys)
-    return d.withColumn(out, F.col("__before") + F.col(out)).drop("__before", *own)
+    return d.withColumn(out, F.col("__before") + F.col(out)).drop("__before", _C)
 
 
 def running_max(df, keys, order, col, out, chunk=None) -> DataFrame:
     """Largest ``col`` over the key's rows up to and with this row."""
-    d, own = _start(df, order, chunk)
+    d = _start(df, order, chunk)
     upto = W.partitionBy(*keys, _C).orderBy(*_cols(order)).rowsBetween(W.unboundedPreceding, 0)
     before = W.partitionBy(*keys).orderBy(_C).rowsBetween(W.unboundedPreceding, -1)
     summary = (
@@ -140,7 +143,7 @@ def running_max(df, keys, order, col, out, chunk=None) -> DataFrame:
         .select(*keys, _C, F.max("__m").over(before).alias("__before"))
     )
     d = _attach(d.withColumn(out, F.max(col).over(upto)), summary, keys)
-    return d.withColumn(out, F.greatest(out, "__before")).drop("__before", *own)
+    return d.withColumn(out, F.greatest(out, "__before")).drop("__before", _C)
 
 
 def rolling(df, keys, order, n, aggs: dict[str, Column], chunk=None, block=CHUNK) -> DataFrame:

@@ -1,9 +1,8 @@
 """Plug-in points for models: the user's function scores batches, Spark does the rest."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +12,7 @@ from ..schemas import POINT
 from .detections import filter_confidence, tag_detections
 from .suppression import nms
 
-# One detection as the model returns it: x1, y1, x2, y2, confidence, class id.
+# Numbers per detection in a model's output.
 RECORD = 6
 
 
@@ -24,16 +23,19 @@ def score_frames(
     """Run a detector over frames: ``(video_id, frame_idx, inputs…)`` → detections.
 
     ``make_predict_fn`` loads the model once per worker and returns a function
-    from arrays of ``inputs`` to one flat list per frame, six numbers per box.
+    from arrays of ``inputs`` to one row per frame with six numbers per box slot:
+    x1, y1, x2, y2, confidence, class id. Unused slots hold NaN.
     """
     predict = predict_batch_udf(
         make_predict_fn, return_type=ArrayType(FloatType()), batch_size=batch_size,
         input_tensor_shapes=input_tensor_shapes,
     )
     flat = frames.select("video_id", "frame_idx", predict(*inputs).alias("flat"))
-    count = (F.size("flat") / RECORD).cast("int")
-    index = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-    rows = flat.select("video_id", "frame_idx", "flat", F.explode(index).alias("i"))
+    slots = F.sequence(F.lit(0), F.floor(F.size("flat") / RECORD).cast("int") - 1)
+    index = F.filter(slots, lambda i: ~F.isnan(F.get("flat", i * RECORD + 4)))
+    rows = flat.filter(F.size("flat") >= RECORD).select(
+        "video_id", "frame_idx", "flat", F.explode(index).alias("i")
+    )
 
     def part(k):
         return F.get("flat", F.col("i") * RECORD + k)
@@ -57,16 +59,24 @@ def detect(
 
 
 def score_crops(
-    crops: DataFrame, make_predict_fn: Callable, inputs, batch_size: int = 16,
-    input_tensor_shapes=None,
+    crops: DataFrame, make_predict_fn: Callable, inputs, batch_size: int = 16
 ) -> DataFrame:
     """Run a text reader over crops; adds ``results``, one record per text found.
 
-    The reader returns a JSON list ``[{"poly": [{"x", "y"}…], "text", "conf"}…]`` per crop.
+    ``make_predict_fn`` loads the reader once per task and returns a function
+    from lists of ``inputs`` to one JSON list per crop,
+    ``[{"poly": [{"x", "y"}…], "text", "conf"}…]``.
     """
-    predict = predict_batch_udf(
-        make_predict_fn, return_type="string", batch_size=batch_size,
-        input_tensor_shapes=input_tensor_shapes,
-    )
+
+    @F.pandas_udf("string")
+    def read(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        predict = make_predict_fn()
+        for batch in batches:
+            columns = batch if isinstance(batch, tuple) else (batch,)
+            texts: list[str] = []
+            for at in range(0, len(columns[0]), batch_size):
+                texts += predict(*[c.iloc[at:at + batch_size].tolist() for c in columns])
+            yield pd.Series(texts)
+
     schema = f"array<struct<poly: array<{POINT}>, text: string, conf: double>>"
-    return crops.withColumn("results", F.from_json(predict(*inputs), schema))
+    return crops.withColumn("results", F.from_json(read(*inputs), schema))

@@ -8,16 +8,7 @@ from pyspark.sql import functions as F
 
 from ..settings import DEFAULT_FPS, TRACK
 from .detections import foot_point
-from .ordered import (
-    carry_forward,
-    chunk_of,
-    index_rows,
-    neighbour_rows,
-    newest,
-    running_sum,
-    unchunk,
-    with_chunks,
-)
+from .ordered import Chunks, neighbour_rows, newest
 from .suppression import mutual_best
 
 KEYS = ("video_id", "track_id")
@@ -56,19 +47,44 @@ def track_segments(
     A gap above ``max_age`` frames starts a new ``segment``; ``sightings`` counts
     rows within it and a row is ``confirmed`` from the ``n_init``-th on.
     """
-    d = with_chunks(df, chunk_of("frame_idx"))
-    d = neighbour_rows(d, KEYS, ORDER, ["frame_idx"], "prev_")
-    gap = F.col("frame_idx") - F.col("prev_frame_idx")
-    fresh = F.coalesce(gap > max_age, F.lit(True))
-    d = d.withColumn("__new", fresh.cast("bigint"))
-    d = running_sum(d, KEYS, ORDER, "__new", "segment")
-    d = index_rows(d, KEYS, ORDER, "__pos")
-    d = d.withColumn("__start", F.when(F.col("__new") == 1, F.col("__pos")))
-    d = unchunk(carry_forward(d, KEYS, ORDER, ["__start"], "__at"))
-    sightings = F.col("__pos") - F.col("__at__start") + 1
-    return d.withColumns(
-        {"sightings": sightings, "confirmed": sightings >= n_init}
-    ).drop("__new", "__pos", "__start", "__at__start", "prev_frame_idx")
+    c = Chunks(df, KEYS, ORDER)
+    gap = F.col("frame_idx") - F.lag("frame_idx").over(c.inside)
+    d = c.rows.withColumns(
+        {"__rn": F.row_number().over(c.inside).cast("bigint"), "__new": (gap > max_age).cast("bigint")}
+    )
+    # Inside a chunk every break is known but the one at its first row.
+    s = c.summary(
+        d, F.count("*").alias("n"), F.min("frame_idx").alias("first"),
+        F.max("frame_idx").alias("last"), F.coalesce(F.sum("__new"), F.lit(0)).alias("breaks"),
+        F.max(F.when(F.col("__new") == 1, F.col("__rn"))).alias("break_rn"),
+    )
+    apart = F.col("first") - F.lag("last").over(c.across) > max_age
+    s = s.withColumn("__opens", F.coalesce(apart, F.lit(True)).cast("bigint"))
+
+    def total(column):
+        return F.coalesce(F.sum(column).over(c.earlier), F.lit(0))
+
+    s = s.withColumns(
+        {"__rows": total(F.col("n")), "__breaks": total(F.col("breaks") + F.col("__opens"))}
+    )
+    start = F.coalesce(F.col("break_rn"), F.when(F.col("__opens") == 1, F.lit(1)))
+    s = s.withColumn("__at", F.col("__rows") + start)
+    s = s.withColumn("__carried", F.last("__at", ignorenulls=True).over(c.earlier))
+    s = s.drop("n", "first", "last", "breaks", "break_rn", "__at")
+    d = d.join(s, [*KEYS, "__chunk"], "left")
+    upto = c.inside.rowsBetween(W.unboundedPreceding, 0)
+    fresh = F.coalesce("__new", "__opens")
+    at = F.col("__rows") + F.col("__rn")
+    d = d.withColumns(
+        {
+            "segment": F.col("__breaks") + F.sum(fresh).over(upto),
+            "__start": F.last(F.when(fresh == 1, at), ignorenulls=True).over(upto),
+        }
+    )
+    sightings = at - F.coalesce("__start", "__carried") + 1
+    return d.withColumns({"sightings": sightings, "confirmed": sightings >= n_init}).drop(
+        "__chunk", "__rn", "__new", "__opens", "__rows", "__breaks", "__carried", "__start"
+    )
 
 
 def segment_summary(segments: DataFrame) -> DataFrame:

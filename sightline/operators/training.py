@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.labels import format_elapsed
-from .ordered import carry_forward, chunk_of, unchunk, with_chunks
+from .ordered import Chunks
 
 # Words that mark a preparation line or the start of training.
 PREPARING_WORDS = (
@@ -99,7 +100,8 @@ def parse_training_log(log: DataFrame, total_epochs: int = 100, parity: bool = F
     bar = F.lit(False)
     for pattern in BAR_FORMATS:
         bar = bar | line.rlike(pattern)
-    d = with_chunks(log.filter(F.length(line) > 0), chunk_of("line_no")).withColumns(
+    c = Chunks(log.filter(F.length(line) > 0), keys, order)
+    d = c.rows.withColumns(
         {
             "__prep": _has_any(line, PREPARING_WORDS),
             "__start": _has_any(line, STARTING_WORDS),
@@ -107,29 +109,59 @@ def parse_training_log(log: DataFrame, total_epochs: int = 100, parity: bool = F
             "__bar": bar,
         }
     )
+    upto = c.inside.rowsBetween(W.unboundedPreceding, 0)
     # Training opens with a starting line, or a progress bar outside the preparation.
     opens = F.col("__start") | (F.col("__bar") & ~F.col("__prep"))
-    d = d.withColumn("__opens", F.when(opens, F.lit(True)))
-    d = carry_forward(d, keys, order, ["__opens"], "__c")
-    begun = F.col("__c__opens").isNotNull()
+    d = d.withColumn("__open", F.max(opens).over(upto))
     # Until a first epoch counts, starting lines, and preparation lines before the opening, do not.
-    first = F.col("__found").isNotNull() & ~F.col("__start") & (~F.col("__prep") | begun)
-    d = d.withColumn("__first", F.when(first, F.lit(True)))
-    d = carry_forward(d, keys, order, ["__first"], "__c")
-    counts = F.col("__found").isNotNull() & F.col("__c__first").isNotNull()
-    d = d.withColumns(
+    able = F.col("__found").isNotNull() & ~F.col("__start")
+    n = F.col("line_no")
+    s = c.summary(
+        d,
+        F.max("__open").alias("open"),
+        F.min(F.when(able, n)).alias("first_open"),
+        F.min(F.when(able & (~F.col("__prep") | F.col("__open")), n)).alias("first_closed"),
+        F.min_by("ts", F.when(able, n)).alias("ts_open"),
+        F.min_by("ts", F.when(able & (~F.col("__prep") | F.col("__open")), n)).alias("ts_closed"),
+        F.max_by("__found", F.when(F.col("__found").isNotNull(), n)).alias("last"),
+        F.min("ts").alias("started_at"),
+    )
+    s = s.withColumn("__begun", F.coalesce(F.max("open").over(c.earlier), F.lit(False)))
+    s = s.withColumn(
+        "__first", F.when(F.col("__begun"), F.col("first_open")).otherwise(F.col("first_closed"))
+    )
+    seen = F.coalesce(F.max(F.col("__first").isNotNull()).over(c.earlier), F.lit(False))
+    s = s.withColumn("__seen", seen)
+    s = s.withColumn("__last", F.when(F.col("__seen") | F.col("__first").isNotNull(), F.col("last")))
+    s = s.withColumn("__carried", F.last("__last", ignorenulls=True).over(c.earlier))
+    whole = W.partitionBy(*keys)
+    first_ts = F.when(F.col("__begun"), F.col("ts_open")).otherwise(F.col("ts_closed"))
+    s = s.withColumns(
         {
-            "__epoch": F.when(counts, F.col("__found.e")),
-            "__total": F.when(counts & (F.col("__found.t") > 0), F.col("__found.t")),
+            "started_at": F.min("started_at").over(whole),
+            "training_at": F.min(first_ts).over(whole),
         }
     )
-    d = unchunk(carry_forward(d, keys, order, ["__epoch", "__total"], "__p", with_current=False))
-    before = F.coalesce("__p__epoch", F.lit(0))
+    s = s.select(
+        *keys, "__chunk", "__begun", "__first", "__seen", "__carried", "started_at", "training_at"
+    )
+    d = d.join(s, [*keys, "__chunk"], "left")
+    begun = F.col("__begun") | F.col("__open")
+    counts = F.col("__seen") | F.coalesce(n >= F.col("__first"), F.lit(False))
+    d = d.withColumn("__now", F.when(counts, F.col("__found")))
+    before = c.inside.rowsBetween(W.unboundedPreceding, -1)
+    d = d.withColumn(
+        "__past", F.coalesce(F.last("__now", ignorenulls=True).over(before), F.col("__carried"))
+    )
+    past = F.coalesce(F.col("__past.e"), F.lit(0))
+    stated = F.when(F.col("__now.t") > 0, F.col("__now.t"))
     d = d.withColumns(
         {
-            "epoch": F.coalesce("__epoch", before).cast("bigint"),
-            "total_epochs": F.coalesce("__total", "__p__total", total),
-            "is_epoch_line": F.coalesce(F.col("__epoch") != before, F.lit(False)),
+            "epoch": F.coalesce(F.col("__now.e"), past).cast("bigint"),
+            "total_epochs": F.coalesce(
+                stated, F.when(F.col("__past.t") > 0, F.col("__past.t")), total
+            ),
+            "is_epoch_line": F.coalesce(F.col("__now.e") != past, F.lit(False)),
         }
     )
     epoch, total = F.col("epoch"), F.col("total_epochs")
@@ -154,6 +186,7 @@ def parse_training_log(log: DataFrame, total_epochs: int = 100, parity: bool = F
         F.when(F.col("is_epoch_line"), F.floor(epoch / total * 100))
         .when(batch_line, F.least(F.lit(100), F.floor(overall)))
         .cast("bigint").alias("percent"),
+        "started_at", F.when(epoch > 0, F.col("training_at")).alias("training_at"),
     )
 
 
@@ -175,22 +208,18 @@ def training_eta(
 
 def log_eta(parsed: DataFrame) -> DataFrame:
     """Elapsed and remaining time at each line of a parsed log."""
-    starts = parsed.groupBy("run_id").agg(
-        F.min("ts").alias("__t0"),
-        F.min(F.when(F.col("epoch") > 0, F.col("ts"))).alias("__t1"),
-    )
-    d = parsed.join(starts, "run_id")
-
     def since(start):
         return (F.unix_micros(F.col("ts").cast("timestamp"))
                 - F.unix_micros(F.col(start).cast("timestamp"))) / F.lit(1e6)
 
-    running = F.when(F.col("epoch") > 0, since("__t1")).otherwise(0.0)
+    running = F.coalesce(since("training_at"), F.lit(0.0))
     eta = training_eta(
-        since("__t0"), running, F.col("epoch"), F.col("total_epochs"),
+        since("started_at"), running, F.col("epoch"), F.col("total_epochs"),
         F.col("its_per_sec"), F.col("batch"), F.col("batches"), F.col("percent"),
     )
-    return d.withColumns(
-        {"elapsed_s": since("__t0"), "training_s": running, "remaining_s": eta,
-         "elapsed": format_elapsed(since("__t0")), "remaining": format_elapsed(eta)}
-    ).drop("__t0", "__t1")
+    return parsed.withColumns(
+        {"elapsed_s": since("started_at"), "training_s": running, "remaining_s": eta}
+    ).withColumns(
+        {"elapsed": format_elapsed(F.col("elapsed_s")),
+         "remaining": format_elapsed(F.col("remaining_s"))}
+    )

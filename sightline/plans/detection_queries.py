@@ -39,9 +39,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     schema = "l_orderkey BIGINT, l_partkey BIGINT, l_linenumber INT, l_discount DOUBLE"
-    from pyspark.sql.types import StructType
-
-    d = records.read_table(spark, f"{sf}/lineitem.parquet", StructType.fromDDL(schema))
+    d = records.read_table(spark, f"{sf}/lineitem.parquet", schema)
     return d.filter("l_linenumber = 7").select(
         (F.col("l_orderkey") % 8).alias("video_id"), F.col("l_partkey").alias("det_idx"),
         F.round(F.lit(0.3) + 7 * F.col("l_discount"), 4).alias("confidence"),

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..operators import frames as frm
 from ..operators import telemetry as tel
@@ -31,7 +30,7 @@ MS = ("last_ms", "avg_ms", "max_ms")
 )
 def _(spark, sf):
     schema = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE"
-    d = read_table(spark, f"{sf}/events.parquet", StructType.fromDDL(schema))
+    d = read_table(spark, f"{sf}/events.parquet", schema)
     return d.filter("event_type = 'view'").select(
         F.col("event_id").alias("seq"), (F.col("user_id") % 4).alias("video_id"),
         F.col("value").alias("duration_ms"), "ts",
