@@ -10,7 +10,7 @@ from ..functions import projective as pj
 from ..settings import CALIBRATION, SEARCH, CalibrationDefaults
 from .detections import foot_point
 from .ordered import carry_forward, running_max
-from .support import salted_join
+from .support import salted_join, spread
 
 CANDIDATE = ("video_id", "cand_id")
 
@@ -260,23 +260,6 @@ def score_distortion(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("distortion", distortion(pj.matrix()))
 
 
-def covered_share(
-    h: dict[str, Column], frame: tuple[int, int], canvas: tuple[int, int],
-    grid: tuple[int, int] = (16, 48),
-) -> Column:
-    """Share of canvas sample points (cell centres) that show a part of the frame."""
-    nx, ny = grid
-
-    def lit_up(i):
-        x = (i % F.lit(nx) + F.lit(0.5)) * F.lit(canvas[0] / nx)
-        y = (F.floor(i / F.lit(nx)) + F.lit(0.5)) * F.lit(canvas[1] / ny)
-        fx, fy = pj.project_back(h, x, y)
-        return F.coalesce(pj.within(fx, fy, frame[0], frame[1]), F.lit(False))
-
-    cells = F.filter(F.sequence(F.lit(0), F.lit(nx * ny - 1)), lit_up)
-    return F.size(cells) / F.lit(float(nx * ny))
-
-
 def coverage_score(share: Column, s: CalibrationDefaults = CALIBRATION) -> Column:
     best = F.lit(s.optimal_coverage)
     over = (share - best) / F.lit(1.0 - s.optimal_coverage)
@@ -290,31 +273,31 @@ def score_coverage(
 ) -> DataFrame:
     """How near the lit share of the canvas is to the optimum.
 
-    With ``luma(video_id, cell_x, cell_y, luma)``, the mean brightness of frame
-    cells ``luma_cell`` pixels wide, a sample counts only where the frame is
+    The canvas is sampled at the centres of ``grid`` cells, mapped back to the
+    frame. With ``luma(video_id, cell_x, cell_y, luma)``, the mean brightness of
+    frame cells ``luma_cell`` pixels wide, a sample counts only where the frame is
     brighter than the threshold; without it, wherever it lands in the frame.
     """
-    if luma is None:
-        share = covered_share(pj.matrix(), frame, canvas, grid)
-        return candidates.withColumn("covered", share).withColumn(
-            "coverage", coverage_score(F.col("covered"), settings)
-        )
     nx, ny = grid
-    i = F.explode(F.sequence(F.lit(0), F.lit(nx * ny - 1)))
-    d = candidates.select(*keys, *pj.H_COLUMNS, i.alias("i"))
+    samples = F.sequence(F.lit(0), F.lit(nx * ny - 1))
+    # Candidates are few and their samples many: spread them before sampling.
+    d = spread(candidates.select(*keys, *pj.H_COLUMNS), *keys)
+    d = d.select(*keys, *pj.H_COLUMNS, F.explode(samples).alias("i"))
     x = (F.col("i") % nx + 0.5) * F.lit(canvas[0] / nx)
     y = (F.floor(F.col("i") / nx) + 0.5) * F.lit(canvas[1] / ny)
     fx, fy = pj.project_back(pj.matrix(), x, y)
-    d = d.withColumns({"fx": fx, "fy": fy}).filter(pj.within(F.col("fx"), F.col("fy"), *frame))
-    d = d.withColumns(
-        {"cell_x": F.floor(F.col("fx") / luma_cell).cast("int"),
-         "cell_y": F.floor(F.col("fy") / luma_cell).cast("int")}
-    )
-    lit_cells = luma.filter(F.col("luma") > settings.luma_threshold).select(
-        "video_id", F.col("cell_x").cast("int"), F.col("cell_y").cast("int")
-    )
-    hits = d.join(lit_cells, ["video_id", "cell_x", "cell_y"], "left_semi")
-    share = hits.groupBy(*keys).agg((F.count("*") / F.lit(float(nx * ny))).alias("covered"))
+    d = d.select(*keys, fx.alias("fx"), fy.alias("fy"))
+    d = d.filter(pj.within(F.col("fx"), F.col("fy"), *frame))
+    if luma is not None:
+        d = d.withColumns(
+            {"cell_x": F.floor(F.col("fx") / luma_cell).cast("int"),
+             "cell_y": F.floor(F.col("fy") / luma_cell).cast("int")}
+        )
+        lit_cells = luma.filter(F.col("luma") > settings.luma_threshold).select(
+            "video_id", F.col("cell_x").cast("int"), F.col("cell_y").cast("int")
+        )
+        d = d.join(lit_cells, ["video_id", "cell_x", "cell_y"], "left_semi")
+    share = d.groupBy(*keys).agg((F.count("*") / F.lit(float(nx * ny))).alias("covered"))
     return (
         candidates.join(share, list(keys), "left")
         .withColumn("covered", F.coalesce("covered", F.lit(0.0)))

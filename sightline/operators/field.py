@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..settings import FIELD
 from .ordered import chunk_of, neighbour_rows
-from .support import cut_lineage
+from .support import cut_lineage, spread
 
 FRAME = ("video_id", "frame_idx")
 CONTOUR = ("video_id", "frame_idx", "contour_id")
@@ -174,7 +174,7 @@ def simplify_contours(
         )
         return pdf.iloc[kept][schema.names]
 
-    small = points.join(sizes.filter(F.col("points") <= group_limit), keys)
+    small = spread(points.join(sizes.filter(F.col("points") <= group_limit), keys), *keys)
     out = small.groupBy(*keys).applyInPandas(simplify, schema)
     long = sizes.filter(F.col("points") > group_limit)
     if long.isEmpty():

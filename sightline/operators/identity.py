@@ -19,6 +19,7 @@ from ..functions.labels import (
 )
 from ..settings import CROP, JERSEY, UNKNOWN, JerseyDefaults
 from .ordered import newest
+from .support import spread
 
 TRACK = ("video_id", "track_id")
 
@@ -318,7 +319,7 @@ def fuse_jerseys(df: DataFrame, settings: JerseyDefaults = JERSEY) -> DataFrame:
     readings = _weighted(df, settings).select(
         "video_id", "track_id", "frame_idx", "seq", "jersey_number", "weight"
     )
-    ordered = readings.repartition("video_id", "track_id").sortWithinPartitions(
+    ordered = spread(readings, "video_id", "track_id").sortWithinPartitions(
         "video_id", "track_id", "frame_idx", "seq"
     )
     return ordered.groupBy("video_id", "track_id").applyInPandas(fold, FUSED)

@@ -99,8 +99,8 @@ def _best_trial(
     if found is not None:
         d = _open_points(d, blocks, found, distance, keys)
     x, y = F.col("x"), F.col("y")
-    near = F.filter("tried", lambda t: distance_sq(t, x, y) <= limit)
-    hits = d.select(*keys, "x", "y", F.explode(near).alias("l"))
+    hits = d.select(*keys, "x", "y", F.explode("tried").alias("l"))
+    hits = hits.filter(distance_sq(F.col("l"), x, y) <= limit)
     stats = hits.groupBy(*keys, "l.trial", "l.a", "l.b", "l.c").agg(
         F.count("*").alias("inliers"),
         F.min("x").alias("x_min"), F.max("x").alias("x_max"),

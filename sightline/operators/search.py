@@ -20,34 +20,50 @@ def _range_of(name: str, s: SearchDefaults) -> tuple[float, float]:
     return s.perspective_range if name in ("h20", "h21") else s.main_range
 
 
+def _bounds(s: SearchDefaults) -> tuple[Column, Column]:
+    ranges = [_range_of(c, s) for c in H_COLUMNS]
+    low, high = (F.array(*[F.lit(float(r[i])) for r in ranges]) for i in (0, 1))
+    return low, high
+
+
 def _mutated(
-    value: Column, name: str, rate: float, amount: float, seed: int, s: SearchDefaults, *parts
+    values: Column, rate: float, amount: float, seed: int, s: SearchDefaults, *parts
 ) -> Column:
-    low, high = _range_of(name, s)
-    shift = draws.gaussian(seed, *parts, name, "shift") * F.lit(amount * (high - low))
-    moved = F.greatest(F.lit(low), F.least(F.lit(high), value + shift))
-    return F.when(draws.uniform(seed, *parts, name, "mutate") < rate, moved).otherwise(value)
+    """Each of the eight parameters shifted at random with probability ``rate``, within bounds."""
+    low, high = _bounds(s)
+
+    def shifted(value, i):
+        size = F.get(high, i) - F.get(low, i)
+        moved = value + draws.gaussian(seed, *parts, i, "shift") * F.lit(amount) * size
+        moved = F.greatest(F.get(low, i), F.least(F.get(high, i), moved))
+        return F.when(draws.uniform(seed, *parts, i, "mutate") < rate, moved).otherwise(value)
+
+    return F.transform(values, shifted)
+
+
+def _params() -> Column:
+    return F.array(*[F.col(c) for c in H_COLUMNS])
+
+
+def _as_columns(values: Column) -> list[Column]:
+    return [F.get(values, F.lit(i)).alias(c) for i, c in enumerate(H_COLUMNS)]
+
+
+def _members(s: SearchDefaults) -> Column:
+    last = F.lit(s.population - 1).cast("bigint")
+    return F.explode(F.sequence(F.lit(0).cast("bigint"), last))
 
 
 def seed_population(
     seeds: DataFrame, seed: int = 0, settings: SearchDefaults = SEARCH
 ) -> DataFrame:
     """Generation 0: each video's own calibration and strongly mutated copies of it."""
-    number = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(settings.population - 1).cast("bigint")))
-    d = seeds.select("video_id", *H_COLUMNS, number.alias("cand_id"))
+    d = seeds.select("video_id", _params().alias("p"), _members(settings).alias("cand_id"))
     parts = (F.col("video_id"), F.lit(0), F.col("cand_id"))
-    return d.select(
-        *_KEYS,
-        *[
-            F.when(F.col("cand_id") == 0, F.col(c))
-            .otherwise(
-                _mutated(F.col(c), c, settings.seed_mutation_rate,
-                         settings.seed_mutation_amount, seed, settings, *parts)
-            )
-            .alias(c)
-            for c in H_COLUMNS
-        ],
-    )
+    varied = _mutated(F.col("p"), settings.seed_mutation_rate, settings.seed_mutation_amount,
+                      seed, settings, *parts)
+    d = d.withColumn("p", F.when(F.col("cand_id") == 0, F.col("p")).otherwise(varied))
+    return d.select(*_KEYS, *_as_columns(F.col("p")))
 
 
 def _tournament(seed: int, s: SearchDefaults, *parts) -> Column:
@@ -75,28 +91,24 @@ def next_generation(
     """
     if settings.tournament != 3 or settings.population < 3:
         raise ValueError("the tournament draws three members")
-    member = F.struct((-F.col("fitness")).alias("f"), "cand_id", *H_COLUMNS)
+    member = F.struct((-F.col("fitness")).alias("f"), "cand_id", _params().alias("p"))
     parents = scored.groupBy("video_id").agg(F.sort_array(F.collect_list(member)).alias("pop"))
-    number = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(settings.population - 1).cast("bigint")))
-    d = parents.select("video_id", "pop", number.alias("cand_id"))
+    d = parents.select("video_id", "pop", _members(settings).alias("cand_id"))
     parts = (F.col("video_id"), F.lit(generation), F.col("cand_id"))
-    d = d.withColumns(
-        {
-            "mother": F.get("pop", _tournament(seed, settings, *parts, "mother")),
-            "father": F.get("pop", _tournament(seed, settings, *parts, "father")),
-            "cross": draws.uniform(seed, *parts, "cross") <= settings.crossover_rate,
-            "elite": F.get("pop", F.col("cand_id").cast("int")),
-        }
-    )
-
-    def child(c):
-        swap = F.col("cross") & (draws.uniform(seed, *parts, c, "swap") >= 0.5)
-        value = F.when(swap, F.col(f"father.{c}")).otherwise(F.col(f"mother.{c}"))
-        bred = _mutated(value, c, settings.mutation_rate, settings.mutation_amount, seed,
-                        settings, *parts)
-        return F.when(F.col("cand_id") < settings.elites, F.col(f"elite.{c}")).otherwise(bred)
-
-    return d.select(*_KEYS, *[child(c).alias(c) for c in H_COLUMNS])
+    mother = F.get("pop", _tournament(seed, settings, *parts, "mother"))["p"]
+    father = F.get("pop", _tournament(seed, settings, *parts, "father"))["p"]
+    cross = draws.uniform(seed, *parts, "cross") <= settings.crossover_rate
+    d = d.withColumns({"mother": mother, "father": father, "cross": cross})
+
+    def mixed(value, i):
+        swap = F.col("cross") & (draws.uniform(seed, *parts, i, "swap") >= 0.5)
+        return F.when(swap, F.get("father", i)).otherwise(value)
+
+    child = _mutated(F.transform("mother", mixed), settings.mutation_rate,
+                     settings.mutation_amount, seed, settings, *parts)
+    elite = F.get("pop", F.col("cand_id").cast("int"))["p"]
+    d = d.withColumn("p", F.when(F.col("cand_id") < settings.elites, elite).otherwise(child))
+    return d.select(*_KEYS, *_as_columns(F.col("p")))
 
 
 def search_homographies(

@@ -32,6 +32,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` into the session's number of shuffle partitions.
+
+    The explicit number keeps adaptive execution from merging small inputs of
+    work that is heavy per row.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
 def salted_join(facts: DataFrame, small: DataFrame, keys, how="inner", salts=16, by=None):
     """Join many ``facts`` rows to few ``small`` rows per key, spreading each key over tasks.
 

@@ -62,8 +62,11 @@ def iou_pairs(
     )
 
 
-def _greedy(sorted_boxes: Column, threshold: float) -> Column:
-    """Fold boxes in score order, keeping each that no kept box overlaps too much."""
+def _greedy(sorted_boxes: Column, threshold: float, most: Column | None) -> Column:
+    """Fold boxes in score order, keeping each that no kept box overlaps too much.
+
+    Once ``most`` boxes are kept no later one can enter the result.
+    """
     empty = F.filter(sorted_boxes, lambda _: F.lit(False))
 
     def step(kept, candidate):
@@ -73,7 +76,8 @@ def _greedy(sorted_boxes: Column, threshold: float) -> Column:
                 boxes.fields(k), boxes.fields(candidate), threshold
             ),
         )
-        return F.when(clash, kept).otherwise(F.concat(kept, F.array(candidate)))
+        done = clash if most is None else (F.size(kept) >= most) | clash
+        return F.when(done, kept).otherwise(F.concat(kept, F.array(candidate)))
 
     return F.aggregate(sorted_boxes, empty, step)
 
@@ -95,7 +99,7 @@ def nms(
     over = (
         df.groupBy(*keys).count().filter(F.col("count") > fold_limit).select(*keys)
     )
-    kept = _nms_fold(df, iou, keys, fold_limit)
+    kept = _nms_fold(df, iou, keys, fold_limit, max_det)
     if not over.isEmpty():
         kept = kept.unionByName(_nms_rounds(df.join(over, keys, "left_semi"), iou, keys))
     if max_det is None:
@@ -110,7 +114,9 @@ def nms(
     )
 
 
-def _nms_fold(df: DataFrame, iou: float, keys: list[str], limit: int) -> DataFrame:
+def _nms_fold(
+    df: DataFrame, iou: float, keys: list[str], limit: int, max_det: dict | None
+) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     record = F.struct(
         (-F.col("confidence")).alias("__score"), F.col("det_idx"),
@@ -124,7 +130,8 @@ def _nms_fold(df: DataFrame, iou: float, keys: list[str], limit: int) -> DataFra
         .agg(F.sort_array(F.collect_list(record)).alias("__boxes"))
         .filter(F.size("__boxes") <= limit)
     )
-    out = grouped.select(*keys, F.inline(_greedy(F.col("__boxes"), iou)))
+    most = None if max_det is None else by_model(max_det, max(max_det.values()))
+    out = grouped.select(*keys, F.inline(_greedy(F.col("__boxes"), iou, most)))
     return out.select(*df.columns)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..settings import TRACK, TrackDefaults
-from .support import cut_lineage
+from .support import cut_lineage, spread
 from .suppression import mutual_best
 
 # Local track numbers of a segment stay below this; ids of segment k start at k times it.
@@ -196,7 +196,7 @@ def track_objects(
         if chunk:
             yield pd.concat(chunk, ignore_index=True)
 
-    ordered = d.repartition("video_id", "segment").sortWithinPartitions(
+    ordered = spread(d, "video_id", "segment").sortWithinPartitions(
         "video_id", "segment", "frame_idx", "det_idx"
     )
     tracked = ordered.groupBy("video_id", "segment").applyInPandas(

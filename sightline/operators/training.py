@@ -20,15 +20,15 @@ STARTING_WORDS = (
     "freezing", "amp:", "epochs:", "image sizes", "starting training for",
     "training parameters:", "wandb:", "tensorboard:",
 )
-# Line formats of the training log.
+# Line formats of the training log. The pair ``n/m`` is one group, split later.
 EPOCH_FORMATS = (
-    r"(?i)Epoch\s+(\d+)/(\d+)",
-    r"(?i)(\d+)/(\d+).*?epochs?",
-    r"^(\d+)/(\d+)\s+",
+    r"(?i)Epoch\s+(\d+/\d+)",
+    r"(?i)(\d+/\d+).*?epochs?",
+    r"^(\d+/\d+)\s+",
 )
-BATCH_FORMAT = r"(\d+)%.*?(\d+)/(\d+)"
-TIMED_BATCH_FORMAT = r"(\d+)%.*?(\d+)/(\d+).*?\[([\d:]+)<([\d:]+),\s*([\d.]+)it/s\]"
-BAR_FORMATS = (r"(\d+)%.*?(\d+)/(\d+)", r"\|.*?\|.*?(\d+)/(\d+)", r"(\d+)/(\d+).*?\[.*?\]")
+BATCH_FORMAT = r"(\d+)%.*?(\d+/\d+)"
+SPEED_FORMAT = r"\d+%.*?\d+/\d+.*?\[[\d:]+<[\d:]+,\s*([\d.]+)it/s\]"
+BAR_FORMATS = (r"\|.*?\|.*?\d+/\d+", r"\d+/\d+.*?\[.*?\]")
 
 
 def compare_runs(run: DataFrame, baseline: DataFrame) -> DataFrame:
@@ -78,8 +78,9 @@ def _has_any(line: Column, words) -> Column:
     return out
 
 
-def _group(line: Column, pattern: str, n: int, kind: str = "bigint") -> Column:
-    return F.regexp_extract(line, pattern, n).try_cast(kind)
+def _numbers(text: Column, sep: str, *names: str) -> Column:
+    parts = [F.split_part(text, F.lit(sep), F.lit(i + 1)) for i in range(len(names))]
+    return F.struct(*[p.try_cast("bigint").alias(n) for p, n in zip(parts, names)])
 
 
 def parse_training_log(log: DataFrame, total_epochs: int = 100, parity: bool = False) -> DataFrame:
@@ -92,12 +93,18 @@ def parse_training_log(log: DataFrame, total_epochs: int = 100, parity: bool = F
     keys, order = ["run_id"], ["line_no"]
     line = F.trim("line")
     total = F.lit(total_epochs).cast("bigint")
-    found = F.lit(None).cast("struct<e:bigint,t:bigint>")
-    for pattern in reversed(EPOCH_FORMATS):
-        e, t = _group(line, pattern, 1), _group(line, pattern, 2)
-        fits = line.rlike(pattern) & e.between(F.lit(1), F.when(t > 0, t).otherwise(total))
-        found = F.when(fits, F.struct(e.alias("e"), t.alias("t"))).otherwise(found)
-    bar = F.lit(False)
+    # Every format is matched once per line; later steps work on the short texts it caught.
+    pairs = F.array(*[F.regexp_extract(line, pattern, 1) for pattern in EPOCH_FORMATS])
+    pairs = F.transform(pairs, lambda text: _numbers(text, "/", "e", "t"))
+    limit = total
+    found = F.get(
+        F.filter(
+            pairs, lambda p: p["e"].between(F.lit(1), F.when(p["t"] > 0, p["t"]).otherwise(limit))
+        ),
+        F.lit(0),
+    )
+    batch = F.regexp_extract(line, BATCH_FORMAT, 0)
+    bar = F.length(batch) > 0
     for pattern in BAR_FORMATS:
         bar = bar | line.rlike(pattern)
     c = Chunks(log.filter(F.length(line) > 0), keys, order)
@@ -107,6 +114,7 @@ def parse_training_log(log: DataFrame, total_epochs: int = 100, parity: bool = F
             "__start": _has_any(line, STARTING_WORDS),
             "__found": found,
             "__bar": bar,
+            "__batch": batch,
         }
     )
     upto = c.inside.rowsBetween(W.unboundedPreceding, 0)
@@ -165,10 +173,11 @@ def parse_training_log(log: DataFrame, total_epochs: int = 100, parity: bool = F
         }
     )
     epoch, total = F.col("epoch"), F.col("total_epochs")
-    batch_line = line.rlike(BATCH_FORMAT) & (epoch > 0) & ~F.col("is_epoch_line")
+    batch_line = (F.length("__batch") > 0) & (epoch > 0) & ~F.col("is_epoch_line")
     if parity:
         batch_line = batch_line & ~(F.col("__bar") & ~F.col("__prep"))
-    share = _group(line, BATCH_FORMAT, 1)
+    done = _numbers(F.regexp_extract("__batch", r"\d+/\d+$", 0), "/", "n", "of")
+    share = F.split_part("__batch", F.lit("%"), F.lit(1)).try_cast("bigint")
     overall = (epoch - 1) / total * 100 + share / 100 * (F.lit(1.0) / total) * 100
     phase = (
         F.when(epoch > 0, "training")
@@ -179,10 +188,11 @@ def parse_training_log(log: DataFrame, total_epochs: int = 100, parity: bool = F
     return d.select(
         "run_id", "line_no", "ts", "line", phase.alias("phase"),
         "epoch", "total_epochs", "is_epoch_line",
-        F.when(batch_line, _group(line, BATCH_FORMAT, 2)).alias("batch"),
-        F.when(batch_line, _group(line, BATCH_FORMAT, 3)).alias("batches"),
-        F.when(batch_line & line.rlike(TIMED_BATCH_FORMAT),
-               _group(line, TIMED_BATCH_FORMAT, 6, "double")).alias("its_per_sec"),
+        F.when(batch_line, done["n"]).alias("batch"),
+        F.when(batch_line, done["of"]).alias("batches"),
+        F.when(
+            batch_line, F.regexp_extract(line, SPEED_FORMAT, 1).try_cast("double")
+        ).alias("its_per_sec"),
         F.when(F.col("is_epoch_line"), F.floor(epoch / total * 100))
         .when(batch_line, F.least(F.lit(100), F.floor(overall)))
         .cast("bigint").alias("percent"),
