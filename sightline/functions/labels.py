@@ -25,7 +25,7 @@ def digits_of(text: Column) -> Column:
 
 def clean_jersey(text: Column) -> Column:
     """The digits of ``text`` if they form a shirt number, else null; leading zeros stay."""
-    digits = digits_of(text)
+    digits = F.nullif(digits_of(text), F.lit(""))
     return F.when(digits.try_cast("bigint").between(JERSEY_MIN, JERSEY_MAX), digits)
 
 

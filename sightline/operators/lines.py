@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import line_band
 from ..settings import FIELD
-from .support import cut_lineage
+from .support import cut_lineage, spread
 
 FRAME = ("video_id", "frame_idx")
 BLOCK = 4096
@@ -56,8 +58,9 @@ def _lines_through(picks: DataFrame, points: DataFrame, keys, block_size: int) -
         *keys, "trial", F.explode(F.array("id_a", "id_b")).alias("point_id"),
         F.col("id_a"),
     ).withColumn("block", _block_of(F.col("point_id"), block_size))
-    both = ends.join(points.select(*keys, "block", "point_id", "x", "y"),
-                     [*keys, "block", "point_id"])
+    both = points.select(*keys, "block", "point_id", "x", "y").join(
+        ends.hint("shuffle_hash"), [*keys, "block", "point_id"]
+    )
     is_a = F.col("point_id") == F.col("id_a")
 
     def of(flag, column):
@@ -81,23 +84,23 @@ def _block_of(point_id: Column, size: int) -> Column:
     return F.floor(point_id / F.lit(size)).cast("bigint")
 
 
-def _per_block(blocks: DataFrame, per_frame: DataFrame, keys, how="inner") -> DataFrame:
-    """Copy one row per frame to each block of the frame's points."""
-    return blocks.join(per_frame, list(keys), how)
+def _per_block(blocks: DataFrame, per_frame: DataFrame, keys) -> DataFrame:
+    """Copy one row per frame to each block of the frame's points.
+
+    The copies are the side to hash in the join that follows; the points stay
+    where they are, spread by frame and block.
+    """
+    return blocks.join(per_frame, list(keys)).hint("shuffle_hash")
 
 
 def _best_trial(
-    points: DataFrame, blocks: DataFrame, trial_lines: DataFrame, found: DataFrame | None,
-    distance: float, keys,
+    points: DataFrame, blocks: DataFrame, trial_lines: DataFrame, distance: float, keys
 ) -> DataFrame:
     """The trial line with most inliers per frame (lowest trial on a tie), with its ends."""
     limit = F.lit(float(distance) ** 2)
     line = F.struct("trial", "a", "b", "c")
     per_frame = trial_lines.groupBy(*keys).agg(F.collect_list(line).alias("tried"))
-    side = _per_block(blocks, per_frame, keys)
-    d = points.join(side, [*keys, "block"])
-    if found is not None:
-        d = _open_points(d, blocks, found, distance, keys)
+    d = points.join(_per_block(blocks, per_frame, keys), [*keys, "block"])
     x, y = F.col("x"), F.col("y")
     hits = d.select(*keys, "x", "y", F.explode("tried").alias("l"))
     hits = hits.filter(distance_sq(F.col("l"), x, y) <= limit)
@@ -122,13 +125,53 @@ def _best_trial(
     )
 
 
-def _open_points(points: DataFrame, blocks, found: DataFrame, distance: float, keys) -> DataFrame:
-    """Points that no line found so far explains."""
-    limit = F.lit(float(distance) ** 2)
-    taken = found.groupBy(*keys).agg(F.collect_list(F.struct("a", "b", "c")).alias("taken"))
-    d = points.join(_per_block(blocks, taken, keys), [*keys, "block"])
-    hit = F.exists("taken", lambda t: distance_sq(t, F.col("x"), F.col("y")) <= limit)
-    return d.filter(~hit).drop("taken")
+FITTED = (
+    "line_idx BIGINT, trial BIGINT, inliers BIGINT, a DOUBLE, b DOUBLE, c DOUBLE, "
+    "x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE"
+)
+
+
+def _tickets(ids: np.ndarray, trials: np.ndarray, factors: tuple[int, int]) -> np.ndarray:
+    a, b = factors
+    h = (ids[None, :] % PRIME * a + trials[:, None] * b) % PRIME
+    return h * h % PRIME % (1 << 22) * (1 << 40) + ids[None, :]
+
+
+def _fit_frame(
+    ids: np.ndarray, x: np.ndarray, y: np.ndarray, num_lines: int, distance: float, trials: int,
+    seed: int,
+) -> list[tuple]:
+    """All rounds for one frame's points, each round's trials at once."""
+    out, limit = [], float(distance) ** 2
+    for n in range(num_lines):
+        if len(ids) < 2:
+            break
+        rounds = np.arange(trials, dtype=np.int64) + seed + n * trials
+        first = _tickets(ids, rounds, FIRST).argmin(axis=1)
+        tickets = _tickets(ids, rounds, SECOND)
+        second = tickets.argmin(axis=1)
+        second = np.where(second == first, tickets.argmax(axis=1), second)
+        dx, dy = x[second] - x[first], y[second] - y[first]
+        square = dx * dx + dy * dy
+        good = (first != second) & (square >= 1e-12)
+        if not good.any():
+            break
+        norm = np.sqrt(np.where(good, square, 1.0))
+        a, b = -dy / norm, dx / norm
+        c = -(a * x[first] + b * y[first])
+        d = a[:, None] * x[None, :] + b[:, None] * y[None, :] + c[:, None]
+        near = (d * d <= limit) & good[:, None]
+        counts = near.sum(axis=1)
+        k = int(counts.argmax())
+        hit = near[k]
+        xs, ys = (x[hit].min(), x[hit].max()), (y[hit].min(), y[hit].max())
+        if abs(b[k]) <= 1e-6:
+            xs = (-c[k] / a[k],) * 2
+        else:
+            ys = tuple(-(a[k] * v + c[k]) / b[k] for v in xs)
+        out.append((n, k, int(counts[k]), a[k], b[k], c[k], xs[0], ys[0], xs[1], ys[1]))
+        ids, x, y = ids[~hit], x[~hit], y[~hit]
+    return out
 
 
 def fit_lines_ransac(
@@ -141,36 +184,70 @@ def fit_lines_ransac(
     min_points: int | None = None,
     keys=FRAME,
     block_size: int = BLOCK,
+    group_limit: int = 20_000,
 ) -> DataFrame:
     """Fit up to ``num_lines`` lines per frame to ``(point_id, x, y)``, best first.
 
-    Each round draws point pairs for all frames, counts inliers within
-    ``distance`` of each trial line, keeps the best and sets its inliers aside.
-    Points are shuffled once, by frame and block of ids; a frame's few lines
-    travel to its blocks. Frames with fewer than ``min_points`` points are left
-    out (default ``num_lines * min_samples``).
+    Each round draws point pairs, counts inliers within ``distance`` of each trial
+    line, keeps the best and sets its inliers aside. Frames with fewer than
+    ``min_points`` points are left out (default ``num_lines * min_samples``).
+
+    A frame up to ``group_limit`` points runs all its rounds in one place after a
+    single shuffle. Larger ones are never gathered: their rounds run over the
+    points of all of them, spread by blocks of ids, with the same result.
     """
     keys = list(keys)
     need = num_lines * min_samples if min_points is None else min_points
-    enough = points.groupBy(*keys).count().filter(F.col("count") >= need).select(*keys)
-    base = points.select(*keys, "point_id", "x", "y").join(enough, keys, "left_semi")
-    base = base.withColumn("block", _block_of(F.col("point_id"), block_size))
-    base = cut_lineage(base.repartition(*keys, "block"))
+    points = points.select(*keys, "point_id", "x", "y")
+    large = (
+        points.groupBy(*keys).count()
+        .filter((F.col("count") > group_limit) & (F.col("count") >= need)).select(*keys)
+    )
+    names = [c.split()[0] for c in FITTED.split(", ")]
+    key_ddl = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in keys)
+
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        lines = []
+        if len(pdf) >= need:
+            lines = _fit_frame(
+                pdf["point_id"].to_numpy(np.int64), pdf["x"].to_numpy(float),
+                pdf["y"].to_numpy(float), num_lines, distance, trials, seed,
+            )
+        return pd.DataFrame([(*key, *line) for line in lines], columns=[*keys, *names])
+
+    if large.isEmpty():
+        return spread(points, *keys).groupBy(*keys).applyInPandas(fit, f"{key_ddl}, {FITTED}")
+    small = spread(points.join(large, keys, "left_anti"), *keys)
+    fitted = small.groupBy(*keys).applyInPandas(fit, f"{key_ddl}, {FITTED}")
+    rest = _fit_by_rounds(
+        points.join(large, keys, "left_semi"), num_lines, distance, trials, seed, keys, block_size
+    )
+    return fitted.unionByName(rest)
+
+
+def _fit_by_rounds(
+    points: DataFrame, num_lines: int, distance: float, trials: int, seed: int, keys,
+    block_size: int,
+) -> DataFrame:
+    base = points.withColumn("block", _block_of(F.col("point_id"), block_size))
+    base = cut_lineage(spread(base, *keys, "block"))
     blocks = cut_lineage(base.select(*keys, "block").distinct())
-    found = None
+    left, found = base, []
     for n in range(num_lines):
-        left = base if found is None else _open_points(base, blocks, found, distance, keys)
-        if found is not None:
-            # A frame whose last round found nothing stays out of later rounds.
-            live = found.filter(F.col("line_idx") == n - 1).select(*keys)
-            left = left.join(live, keys, "left_semi")
         picks = ransac_picks(left, trials, seed + n * trials, keys)
-        tried = _lines_through(picks, base, keys, block_size)
-        best = _best_trial(base, blocks, tried, found, distance, keys).withColumn(
-            "line_idx", F.lit(n).cast("bigint")
-        )
-        found = cut_lineage(best if found is None else found.unionByName(best))
-    return found
+        tried = _lines_through(picks, left, keys, block_size)
+        best = cut_lineage(_best_trial(left, blocks, tried, distance, keys))
+        best = best.withColumn("line_idx", F.lit(n).cast("bigint"))
+        found.append(best)
+        if n + 1 < num_lines:
+            # A frame that found no line drops out here and gets no more rounds.
+            side = _per_block(blocks, best.select(*keys, F.struct("a", "b", "c").alias("l")), keys)
+            far = distance_sq(F.col("l"), F.col("x"), F.col("y")) > float(distance) ** 2
+            left = cut_lineage(left.join(side, [*keys, "block"]).filter(far).drop("l"))
+    out = found[0]
+    for lines in found[1:]:
+        out = out.unionByName(lines)
+    return out
 
 
 def assign_points(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -71,16 +73,16 @@ def run_summary(
 
 
 def _has_any(line: Column, words) -> Column:
-    low = F.lower(line)
-    out = F.lit(False)
-    for w in words:
-        out = out | low.contains(w)
-    return out
+    """True where the line holds one of the words: one pattern, to keep generated code small."""
+    return line.rlike("(?i)" + "|".join(re.escape(w) for w in words))
 
 
 def _numbers(text: Column, sep: str, *names: str) -> Column:
     parts = [F.split_part(text, F.lit(sep), F.lit(i + 1)) for i in range(len(names))]
-    return F.struct(*[p.try_cast("bigint").alias(n) for p, n in zip(parts, names)])
+    # A failing cast is slow inside Spark, so the common empty text is nulled before it.
+    return F.struct(
+        *[F.nullif(p, F.lit("")).try_cast("bigint").alias(n) for p, n in zip(parts, names)]
+    )
 
 
 def parse_training_log(log: DataFrame, total_epochs: int = 100, parity: bool = False) -> DataFrame:
@@ -177,7 +179,7 @@ def parse_training_log(log: DataFrame, total_epochs: int = 100, parity: bool = F
     if parity:
         batch_line = batch_line & ~(F.col("__bar") & ~F.col("__prep"))
     done = _numbers(F.regexp_extract("__batch", r"\d+/\d+$", 0), "/", "n", "of")
-    share = F.split_part("__batch", F.lit("%"), F.lit(1)).try_cast("bigint")
+    share = _numbers(F.col("__batch"), "%", "n")["n"]
     overall = (epoch - 1) / total * 100 + share / 100 * (F.lit(1.0) / total) * 100
     phase = (
         F.when(epoch > 0, "training")
@@ -191,7 +193,8 @@ def parse_training_log(log: DataFrame, total_epochs: int = 100, parity: bool = F
         F.when(batch_line, done["n"]).alias("batch"),
         F.when(batch_line, done["of"]).alias("batches"),
         F.when(
-            batch_line, F.regexp_extract(line, SPEED_FORMAT, 1).try_cast("double")
+            batch_line,
+            F.nullif(F.regexp_extract(line, SPEED_FORMAT, 1), F.lit("")).try_cast("double"),
         ).alias("its_per_sec"),
         F.when(F.col("is_epoch_line"), F.floor(epoch / total * 100))
         .when(batch_line, F.least(F.lit(100), F.floor(overall)))
