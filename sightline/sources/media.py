@@ -52,7 +52,7 @@ def dataset_inventory(spark: SparkSession, root: str) -> DataFrame:
 
 def dataset_classes(spark: SparkSession, path: str) -> DataFrame:
     """Class names from a dataset description with a ``names:`` list, inline or one per line."""
-    text = spark.read.option("wholetext", "true").text(path)
+    text = spark.read.text(path, wholetext=True)
     block = F.regexp_extract("value", r"(?m)^names:[ \t]*(\[[^\]]*\]|(?:\r?\n[ \t]*-[^\r\n]*)+)", 1)
     items = F.filter(
         F.transform(F.split(block, r"[\[\],\n]"), lambda s: F.regexp_replace(
