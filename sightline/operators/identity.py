@@ -223,14 +223,19 @@ def jersey_stats(
 ) -> DataFrame:
     """One row: tracks, readings held, probability entries and their averages per track."""
     held = measurements.groupBy(*keys).agg(F.least(F.count("*"), F.lit(n)).alias("held"))
-    totals = held.agg(
-        F.count("*").alias("total_tracks"),
-        F.coalesce(F.sum("held"), F.lit(0)).alias("total_measurements"),
+    counted = held.select(F.lit(1).alias("track"), "held", F.lit(0).alias("entry")).unionByName(
+        probabilities.select(F.lit(0).alias("track"), F.lit(0).cast("bigint").alias("held"),
+                             F.lit(1).alias("entry"))
+    )
+    totals = counted.agg(
+        *[
+            F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(name)
+            for c, name in (("track", "total_tracks"), ("held", "total_measurements"),
+                            ("entry", "total_probabilities"))
+        ]
     )
-    entries = probabilities.agg(F.count("*").alias("total_probabilities"))
     per_track = F.greatest(F.lit(1), F.col("total_tracks"))
-    # Both sides are global aggregates of exactly one row.
-    return totals.join(entries, F.lit(True)).withColumns(
+    return totals.withColumns(
         {
             "avg_measurements_per_track": F.col("total_measurements") / per_track,
             "avg_probabilities_per_track": F.col("total_probabilities") / per_track,

@@ -40,13 +40,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition by ``keys`` into the session's number of shuffle partitions.
+    """Hash-partition by ``keys`` into the session's shuffle partitions, or one per core if more.
 
     The explicit number keeps adaptive execution from merging small inputs of
     work that is heavy per row.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys)
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(n, spark.sparkContext.defaultParallelism), *keys)
 
 
 def salted_join(facts: DataFrame, small: DataFrame, keys, how="inner", salts=16, by=None):
