@@ -7,9 +7,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
 from ..operators.identity import JerseyFusion
-from ..operators.tracking import COLUMNS, TRACKED, TrackSet, track_frame
+from ..operators.tracking import COLUMNS, TRACKED, TrackSet, track_rows
 
-_ROW = ["det_idx", "x1", "y1", "x2", "y2", "class_name", "confidence"]
+_ROW = [c for c in COLUMNS if c not in ("track_id", "confirmed")]
 _FUSED = "track_id BIGINT, jersey_number STRING, probability DOUBLE, last_seen_frame BIGINT"
 
 
@@ -17,20 +17,18 @@ class _TrackObjects:
     """One partition is one video; a frame is matched when the next one starts."""
 
     def __init__(self):
-        self.state, self.video, self.frame, self.rows = TrackSet(), None, None, []
+        self.state, self.frame, self.rows = TrackSet(), None, []
 
     def _flush(self):
         if self.rows:
-            out = track_frame(
-                self.state, self.video, self.frame, pd.DataFrame(self.rows, columns=_ROW)
-            )
+            out = track_rows(self.state, pd.DataFrame(self.rows, columns=_ROW))
             yield from out[COLUMNS].astype(object).itertuples(index=False, name=None)
         self.rows = []
 
     def eval(self, row):
-        if self.frame is not None and row["frame_idx"] != self.frame:
+        if row["frame_idx"] != self.frame:
             yield from self._flush()
-        self.video, self.frame = row["video_id"], row["frame_idx"]
+        self.frame = row["frame_idx"]
         self.rows.append([row[c] for c in _ROW])
 
     def terminate(self):

@@ -162,29 +162,31 @@ def simplify_contours(
     """
     keys = list(keys)
     points = points.select(*keys, "pt_idx", "x", "y")
-    sizes = contour_measures(points, keys).select(
-        *keys, "points", (F.col("perimeter") * epsilon).alias("eps")
+    large = (
+        points.groupBy(*keys).count().filter(F.col("count") > group_limit).select(*keys)
     )
     schema = points.schema
 
     def simplify(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pt_idx", ignore_index=True)
-        kept = _simplify_one(
-            pdf["x"].to_numpy(float), pdf["y"].to_numpy(float), float(pdf["eps"].iloc[0])
-        )
-        return pdf.iloc[kept][schema.names]
+        x, y = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)
+        perimeter = float(np.hypot(np.roll(x, -1) - x, np.roll(y, -1) - y).sum())
+        return pdf.iloc[_simplify_one(x, y, epsilon * perimeter)]
 
-    small = spread(points.join(sizes.filter(F.col("points") <= group_limit), keys), *keys)
+    if large.isEmpty():
+        return spread(points, *keys).groupBy(*keys).applyInPandas(simplify, schema)
+    small = spread(points.join(large, keys, "left_anti"), *keys)
     out = small.groupBy(*keys).applyInPandas(simplify, schema)
-    long = sizes.filter(F.col("points") > group_limit)
-    if long.isEmpty():
-        return out
-    return out.unionByName(_simplify_by_rounds(points, long, keys))
+    long = points.join(large, keys, "left_semi")
+    sizes = contour_measures(long, keys).select(
+        *keys, (F.col("perimeter") * epsilon).alias("eps")
+    )
+    return out.unionByName(_simplify_by_rounds(long, sizes, keys))
 
 
 def _simplify_by_rounds(points: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
     big, end = 1 << 40, 1 << 41
-    base = cut_lineage(points.join(sizes.select(*keys, "eps"), keys))
+    base = cut_lineage(points.join(sizes, keys))
     here = base.groupBy(*keys).agg(F.min(F.struct("pt_idx", "x", "y")).alias("far"))
     for _ in range(3):
         at = here.select(*keys, F.col("far.pt_idx").alias("p"), F.col("far.x").alias("px"),

@@ -33,6 +33,10 @@ def _iou_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 1.0 - np.divide(inter, union, out=np.zeros_like(inter), where=union > 0)
 
 
+def _differ(tracks: list[dict], classes: list) -> np.ndarray:
+    return np.array([t["class_name"] for t in tracks])[:, None] != np.array(classes)[None, :]
+
+
 def _greedy_pairs(cost: np.ndarray, limit: float) -> list[tuple[int, int]]:
     """Cheapest pairs first, each row and column once; ties to the lower row, then column."""
     rows, cols = np.nonzero(cost <= limit)
@@ -84,10 +88,7 @@ class TrackSet:
             at = np.flatnonzero(seen)
             new = np.stack([looks[i] for i in at])
             cost = np.stack([1.0 - (np.stack(t["looks"]) @ new.T).max(axis=0) for t in confirmed])
-            other = np.array(
-                [[t["class_name"] != classes[i] for i in at] for t in confirmed], dtype=bool
-            )
-            cost[other] = np.inf
+            cost[_differ(confirmed, [classes[i] for i in at])] = np.inf
             for r, c in _greedy_pairs(cost, s.max_cosine_distance):
                 owner[int(at[c])] = confirmed[r]
         taken = {id(t) for t in owner if t is not None}
@@ -95,10 +96,7 @@ class TrackSet:
         free = [i for i, t in enumerate(owner) if t is None]
         if rest and free:
             cost = _iou_distance(np.array([t["box"] for t in rest]), boxes[free])
-            other = np.array(
-                [[t["class_name"] != classes[i] for i in free] for t in rest], dtype=bool
-            )
-            cost[other] = np.inf
+            cost[_differ(rest, [classes[i] for i in free])] = np.inf
             for r, c in _greedy_pairs(cost, s.max_iou_distance):
                 owner[free[c]] = rest[r]
         for i, t in enumerate(owner):
@@ -123,38 +121,41 @@ def _unit(v) -> np.ndarray | None:
     return v / norm if norm > 0 else None
 
 
-def track_frame(state: TrackSet, video: int, frame: int, rows: pd.DataFrame) -> pd.DataFrame:
-    """One frame's rows (in det_idx order) through ``state``."""
+def track_rows(state: TrackSet, rows: pd.DataFrame) -> pd.DataFrame:
+    """Whole frames, sorted by (frame, detection), through ``state``."""
+    frames = rows["frame_idx"].to_numpy(np.int64)
     boxes = rows[["x1", "y1", "x2", "y2"]].to_numpy(dtype=float)
-    looks = (
-        [_unit(v) for v in rows["embedding"]] if "embedding" in rows.columns else [None] * len(rows)
-    )
-    owners = state.step(int(frame), boxes, rows["class_name"].tolist(), looks)
-    out = pd.DataFrame(boxes, columns=["x1", "y1", "x2", "y2"])
-    out.insert(0, "video_id", video)
-    out.insert(1, "frame_idx", int(frame))
-    out.insert(2, "det_idx", rows["det_idx"].to_numpy())
-    out.insert(3, "track_id", [t["track_id"] for t in owners])
-    out["class_name"] = rows["class_name"].to_numpy()
-    out["confidence"] = rows["confidence"].to_numpy(dtype=float)
-    out["confirmed"] = [t["hits"] >= state.settings.n_init for t in owners]
-    return out[COLUMNS]
-
-
-def frames_of(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame]]:
-    """Whole frames, in order, from batches sorted by (frame, detection)."""
+    classes = rows["class_name"].tolist()
+    if "embedding" in rows.columns:
+        looks = [_unit(v) for v in rows["embedding"]]
+    else:
+        looks = [None] * len(rows)
+    ids, confirmed = np.empty(len(rows), np.int64), np.empty(len(rows), bool)
+    cuts = [0, *(np.flatnonzero(np.diff(frames)) + 1).tolist(), len(rows)]
+    for lo, hi in zip(cuts, cuts[1:]):
+        if lo == hi:
+            continue
+        owners = state.step(int(frames[lo]), boxes[lo:hi], classes[lo:hi], looks[lo:hi])
+        ids[lo:hi] = [t["track_id"] for t in owners]
+        confirmed[lo:hi] = [t["hits"] >= state.settings.n_init for t in owners]
+    out = rows.drop(columns="embedding", errors="ignore").assign(track_id=ids, confirmed=confirmed)
+    return out.astype({c: float for c in ("x1", "y1", "x2", "y2", "confidence")})
+
+
+def whole_frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches sorted by frame, cut again so that no frame spans two of them."""
     held: pd.DataFrame | None = None
     for pdf in batches:
         if held is not None:
             pdf = pd.concat([held, pdf], ignore_index=True)
         if pdf.empty:
             continue
-        last = pdf["frame_idx"].iloc[-1]
-        done, held = pdf[pdf["frame_idx"] != last], pdf[pdf["frame_idx"] == last]
-        for frame, rows in done.groupby("frame_idx", sort=True):
-            yield int(frame), rows.reset_index(drop=True)
+        last = pdf["frame_idx"].to_numpy() == pdf["frame_idx"].iloc[-1]
+        if not last.all():
+            yield pdf[~last].reset_index(drop=True)
+        held = pdf[last].reset_index(drop=True)
     if held is not None and len(held):
-        yield int(held["frame_idx"].iloc[0]), held.reset_index(drop=True)
+        yield held
 
 
 def track_objects(
@@ -180,21 +181,12 @@ def track_objects(
         F.explode(F.when(early, F.array("core", F.col("core") + 1)).otherwise(F.array("core"))),
     )
 
+    names = [*COLUMNS, "segment", "core"]
+
     def run(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        video, segment = (int(k) for k in key)
         state = TrackSet(settings, age_by)
-        chunk, held = [], 0
-        for frame, rows in frames_of(batches):
-            out = track_frame(state, video, frame, rows)
-            out["segment"] = segment
-            out["core"] = frame // segment_frames
-            chunk.append(out)
-            held += len(out)
-            if held > 10_000:
-                yield pd.concat(chunk, ignore_index=True)
-                chunk, held = [], 0
-        if chunk:
-            yield pd.concat(chunk, ignore_index=True)
+        for rows in whole_frames(batches):
+            yield track_rows(state, rows)[names]
 
     ordered = spread(d, "video_id", "segment").sortWithinPartitions(
         "video_id", "segment", "frame_idx", "det_idx"

@@ -142,4 +142,4 @@ def _(spark, sf):
 @query("track_objects")
 def _(spark, sf):
     d = filter_confidence(table(spark, sf, "detections"))
-    return track_objects(nms(d), segment_frames=24, overlap=8)
+    return track_objects(nms(d), segment_frames=150, overlap=30)

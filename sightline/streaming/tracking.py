@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.tracking import COLUMNS, TRACKED, TrackSet, track_frame
+from ..operators.tracking import COLUMNS, TRACKED, TrackSet, track_rows
 from ..settings import TRACK, TrackDefaults
 from .ordered import InOrder
 
@@ -40,13 +40,10 @@ class _Tracker(InOrder):
             state.tracks = json.loads(tracks)
             for t in state.tracks:
                 t["looks"] = [np.array(v) for v in t["looks"]]
-        out = [
-            track_frame(state, int(key[0]), int(frame), part.reset_index(drop=True))
-            for frame, part in rows.groupby("frame_idx", sort=True)
-        ]
+        out = track_rows(state, rows).assign(video_id=int(key[0]))
         kept = [{**t, "looks": [v.tolist() for v in t["looks"]]} for t in state.tracks]
         self.live.update((int(state.next_id), int(state.last_frame), json.dumps(kept)))
-        return pd.concat(out, ignore_index=True)[COLUMNS]
+        return out[COLUMNS]
 
 
 def track_stream(

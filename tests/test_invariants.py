@@ -237,8 +237,8 @@ def test_results_do_not_depend_on_partitions(spark, partitions):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
-def test_frames_of_joins_split_batches():
+def test_whole_frames_joins_split_batches():
     pdf = pd.DataFrame({"frame_idx": [1, 1, 2, 2, 2, 5], "v": range(6)})
     pieces = [pdf.iloc[:1], pdf.iloc[1:4], pdf.iloc[4:]]
-    got = [(f, r["v"].tolist()) for f, r in tracking.frames_of(iter(pieces))]
-    assert got == [(1, [0, 1]), (2, [2, 3, 4]), (5, [5])]
+    got = [r["v"].tolist() for r in tracking.whole_frames(iter(pieces))]
+    assert got == [[0, 1], [2, 3, 4], [5]]
