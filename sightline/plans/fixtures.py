@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 DETECTIONS = """
 SELECT video_id, frame_idx,
-       CAST(row_number() OVER (PARTITION BY video_id, frame_idx ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS BIGINT) AS det_idx,
+       CAST(row_number() OVER (PARTITION BY video_id, frame_idx ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax) - 1 AS BIGINT) AS det_idx,
        CAST(l_partkey * 37 % 1800 AS INT) AS x1, CAST(l_suppkey * 53 % 900 AS INT) AS y1,
        CAST(l_partkey * 37 % 1800 + 20 + 2 * l_quantity AS INT) AS x2,
        CAST(l_suppkey * 53 % 900 + 40 + 3 * l_quantity AS INT) AS y2,
