@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators.identity import FUSED, JerseyFusion, _weighted
 from ..settings import JERSEY, JerseyDefaults
-from .ordered import InOrder
+from .ordered import InOrder, carry_code
 
 
 class _Fusion(InOrder):
@@ -56,6 +56,7 @@ def fuse_jerseys_stream(
     Out-of-order readings wait for the watermark, so the result equals the batch
     fold over the readings passed so far.
     """
+    carry_code()
     d = _weighted(measurements, settings).select(
         "video_id", "track_id", F.col("ts").cast("timestamp").alias("ts"), "frame_idx", "seq",
         "jersey_number", "weight",

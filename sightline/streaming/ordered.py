@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -16,6 +18,11 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+def carry_code() -> None:
+    """Pickle this package's classes by value: the driver's streaming worker starts without it."""
+    cloudpickle.register_pickle_by_value(sys.modules[__package__.split(".")[0]])
+
+
 class InOrder(StatefulProcessor):
     """Buffers each key's rows and hands them on sorted, once no earlier row can arrive.
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.tracking import COLUMNS, TRACKED, TrackSet, track_rows
 from ..settings import TRACK, TrackDefaults
-from .ordered import InOrder
+from .ordered import InOrder, carry_code
 
 
 class _Tracker(InOrder):
@@ -51,6 +51,7 @@ def track_stream(
     age_by: str = "frame", idle_ms: int = 60_000,
 ) -> DataFrame:
     """Tracks of each video as frames arrive (append mode); frames out of order wait."""
+    carry_code()
     looks = "embedding" in detections.columns
     box = [F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")]
     keep = [F.col("embedding").cast("array<double>").alias("embedding")] if looks else []
