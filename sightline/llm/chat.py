@@ -68,18 +68,16 @@ def best_paths(messages: DataFrame, per_tree: int = 1, max_depth: int = 1 << 20)
     links = links.join(ids.withColumn("there", F.lit(True)), "up", "left")
     step = cut_lineage(links.select("node", F.when(F.col("there"), F.col("up")).alias("up"), "score", F.lit(1).cast("long").alias("length")))
     # Each round: a pointer spans twice as far; score and length cover the messages it passes.
-    jumps = [step.select("node", "up")]
-    while step.where("up IS NOT NULL").limit(1).count() and 1 << len(jumps) <= max_depth:
+    jumps = [step.select("node", "up").where("up IS NOT NULL")]
+    while jumps[-1].limit(1).count() and 1 << len(jumps) <= max_depth:
         far = step.select(F.col("node").alias("up"), F.col("up").alias("__up"), F.col("score").alias("__s"), F.col("length").alias("__l"))
-        step = cut_lineage(
-            step.join(far, "up", "left").select(
-                "node", F.col("__up").alias("up"),
-                (F.col("score") + F.coalesce("__s", F.lit(0.0))).alias("score"),
-                (F.col("length") + F.coalesce("__l", F.lit(0))).alias("length"),
-            )
+        # Messages whose pointer has come to the root wait as they are; the others alone are joined.
+        moved = step.where("up IS NOT NULL").join(far, "up").select(
+            "node", F.col("__up").alias("up"), (F.col("score") + F.col("__s")).alias("score"), (F.col("length") + F.col("__l")).alias("length")
         )
-        jumps.append(step.select("node", "up"))
-    parents = jumps[0].where("up IS NOT NULL").select(F.col("up").alias("node")).distinct()
+        step = cut_lineage(step.where("up IS NULL").union(moved))
+        jumps.append(step.select("node", "up").where("up IS NOT NULL"))
+    parents = jumps[0].select(F.col("up").alias("node")).distinct()
     leaves = step.where("up IS NULL").join(parents, "node", "left_anti")
     rank = W.partitionBy("node.tree_id").orderBy(
         (F.col("score") / F.col("length")).desc(), F.col("length").desc(), F.col("node.message_id")
@@ -88,7 +86,7 @@ def best_paths(messages: DataFrame, per_tree: int = 1, max_depth: int = 1 << 20)
     # From each chosen leaf, the longest jumps first: every ancestor is reached exactly once.
     path = leaves.select("branch", "node", (F.col("length") - 1).alias("position"))
     for k in reversed(range(len(jumps) - 1)):
-        far = path.join(jumps[k], "node").where("up IS NOT NULL")
+        far = path.join(jumps[k], "node")
         path = path.union(far.select("branch", F.col("up").alias("node"), (F.col("position") - (1 << k)).alias("position")))
         path = cut_lineage(path)
     return path.join(base, "node").select("tree_id", "branch", "position", "message_id", "role", "text")
