@@ -10,6 +10,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
+def _column(values, kind: pa.DataType) -> pa.Array:
+    return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, type=kind, from_pandas=False)
+
+
 def map_texts(
     docs: DataFrame,
     make: Callable[[], Callable[[list], dict]],
@@ -36,7 +40,7 @@ def map_texts(
                 continue
             out = compute(batch.column(text).to_pylist())
             columns = [batch.column(c) for c in carry]
-            columns += [pa.array(out[f.name], type=t, from_pandas=False) for f, t in zip(added, types)]
+            columns += [_column(out[f.name], t) for f, t in zip(added, types)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.select(*wanted).mapInArrow(run, schema)
