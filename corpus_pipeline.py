@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sightline.llm import line_dedup, quality_rules
+from sightline.llm import bpe, decontaminate, line_dedup, quality_rules, shingle_join
 from sightline.operators.support import shared_folder
 from sightline.plans import ship_package
 
@@ -18,13 +19,41 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the boilerplate lines of their source."""
-    return line_dedup.drop_boilerplate(docs)
+    """Documents without the boilerplate lines of their source; ``n_chars`` follows the text."""
+    cut = line_dedup.drop_boilerplate(docs)
+    return cut.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: that with the group's least id."""
+    ship_package(spark)
+    # A null id is the least of its group, and its own row says so with a null component.
+    copies = shingle_join.near_duplicates(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
+    return docs.join(copies.distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    ship_package(spark)
+    return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document left, and whether they decode to its text."""
+    ship_package(spark)
+    both = bpe.decode(bpe.encode(docs, carry=("doc_id", "text")))
+    return both.select(
+        "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"),
+    )
 
 
 STAGES = [
     ("quality rules", quality),
     ("line dedup", lines),
+    ("n-gram Jaccard join", near_copies),
+    ("benchmark decontamination", benchmark),
+    ("byte-level BPE", tokens),
 ]
 
 # Token ids of byte-level merges are beyond SQL; tests hold the stages against plain versions.

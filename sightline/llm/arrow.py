@@ -20,11 +20,12 @@ def map_texts(
     fields: str,
     carry: Sequence[str] = ("doc_id",),
     text: str = "text",
+    read: Callable = pa.Array.to_pylist,
 ) -> DataFrame:
     """``carry`` columns as they are, and the columns of ``fields`` computed from each batch of texts.
 
     ``make()`` runs once per task and returns the function from a list of texts (None: null) to
-    a dict with a list or array for each field. Ids never pass through Python, so null and very
+    a dict with a list or array for each field. ``read`` turns the column into that list. Ids never pass through Python, so null and very
     large ones stay exact.
     """
     added = StructType.fromDDL(fields)
@@ -38,7 +39,7 @@ def map_texts(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            out = compute(batch.column(text).to_pylist())
+            out = compute(read(batch.column(text)))
             columns = [batch.column(c) for c in carry]
             columns += [_column(out[f.name], t) for f, t in zip(added, types)]
             yield pa.RecordBatch.from_arrays(columns, names=names)

@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -249,7 +248,7 @@ class Codec:
         ranks = read_ranks(content)
         self.transducer, self.decoder = Transducer(ranks), StreamDecoder(ranks)
         self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.cache = ChunkCache(lambda chunks: [array("I", self._chunk(c)).tobytes() for c in chunks])
+        self.cache = ChunkCache(lambda chunks: [self._chunk(c) for c in chunks])
 
     def _chunk(self, chunk: str) -> list[int]:
         return [i for piece in self.pattern.findall(chunk) for i in self.transducer.encode(piece.encode())]
@@ -301,9 +300,17 @@ def encode(docs: DataFrame, path: str | None = None, carry=("doc_id",)) -> DataF
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """``encoded`` with ``decoded``: the text of ``ids`` (null: empty), in place of a column so named."""
     content = _content(encoded, path)
+    carry = [c for c in encoded.columns if c != "decoded"]
 
     def make():
         decoder = codec(content.value).decoder
-        return lambda rows: {"decoded": [decoder.decode(ids or ()) for ids in rows]}
+        return lambda rows: {"decoded": [decoder.decode(ids) for ids in rows]}
 
-    return map_texts(encoded, make, "decoded string", carry=[c for c in encoded.columns if c != "decoded"], text="ids")
+    return map_texts(encoded, make, "decoded string", carry=carry, text="ids", read=_id_lists)
+
+
+def _id_lists(column: pa.ListArray):
+    """The ids of each row (null: none), one row at a time."""
+    ends, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    for a, b in zip(ends[:-1], ends[1:]):
+        yield values[a:b].tolist()

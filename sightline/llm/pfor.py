@@ -26,50 +26,85 @@ DOCUMENT = np.dtype([("null", "u1"), ("doc_id", "<i8"), ("n_ids", "<u8")])
 
 def _bits(x: np.ndarray) -> np.ndarray:
     """Bits of each value (0: none); exact, as doubles hold 32-bit values."""
-    return np.frexp(x.astype(np.float64))[1]
+    return np.frexp(x.astype(np.float64))[1].astype(np.uint8)
+
+
+def _pack(low: np.ndarray, width: int) -> np.ndarray:
+    """Rows of BLOCK values below 2**width to rows of bytes."""
+    kind = "<u2" if width <= 16 else "<u4"
+    bits = np.unpackbits(low.astype(kind).view(np.uint8), axis=1, bitorder="little")
+    return np.packbits(bits.reshape(len(low), BLOCK, -1)[:, :, :width].reshape(len(low), -1), axis=1, bitorder="little")
+
+
+def _unpack(rows: np.ndarray, width: int) -> np.ndarray:
+    """The inverse of ``_pack``."""
+    size = 16 if width <= 16 else 32
+    bits = np.zeros((len(rows), BLOCK, size), np.uint8)
+    bits[:, :, :width] = np.unpackbits(rows, axis=1, bitorder="little").reshape(len(rows), BLOCK, width)
+    return np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little").view(f"<u{size // 8}").astype(np.uint32)
 
 
 def pack_blocks(values: np.ndarray, share: float = SHARE) -> list[bytes]:
     """Blocks of ``values`` (below 2**32); the last is filled up with its minimum."""
-    n = -(-len(values) // BLOCK)
-    if not n:
-        return []
-    rows = np.full((n, BLOCK), values[(n - 1) * BLOCK :].min(), np.uint32)
-    rows.reshape(-1)[: len(values)] = values
+    out: list[bytes] = []
+    for at in range(0, len(values), 512 * BLOCK):
+        part = values[at : at + 512 * BLOCK]
+        n = -(-len(part) // BLOCK)
+        rows = np.full((n, BLOCK), part[(n - 1) * BLOCK :].min(), np.uint32)
+        rows.reshape(-1)[: len(part)] = part
+        out += _pack_rows(rows, share)
+    return out
+
+
+def _pack_rows(rows: np.ndarray, share: float) -> list[bytes]:
     least = rows.min(axis=1)
     over = rows - least[:, None]
     bits = _bits(over)
-    widths = np.sort(bits, axis=1)[:, min(BLOCK - 1, int(np.ceil(share * BLOCK)) - 1)]
-    out: list[bytes] = [b""] * n
+    place = min(BLOCK - 1, int(np.ceil(share * BLOCK)) - 1)
+    widths = np.partition(bits, place, axis=1)[:, place]
+    packed: list[bytes] = [b""] * len(rows)
     for width in np.unique(widths):
-        of_width = np.flatnonzero(widths == width)
-        for at in np.array_split(of_width, -(-len(of_width) // 512)):
+        at = np.flatnonzero(widths == width)
+        if width:
             low = over[at] & np.uint32((1 << int(width)) - 1)
-            packed = np.packbits(((low[:, :, None] >> np.arange(width, dtype=np.uint32)) & 1).astype(np.uint8).reshape(len(at), -1), axis=1, bitorder="little")
-            for i, row in zip(at, packed):
-                where = np.flatnonzero(bits[i] > width)
-                upper = over[i][where] >> np.uint32(width)
-                size = 1 if not len(upper) or upper.max() < 1 << 8 else 2 if upper.max() < 1 << 16 else 4
-                out[i] = (
-                    BLOCK_HEADER.pack(int(least[i]), int(width), len(where), size) + row.tobytes()
-                    + where.astype(np.uint8).tobytes() + upper.astype(f"<u{size}").tobytes()
-                )
+            for i, row in zip(at, _pack(low, int(width))):
+                packed[i] = row.tobytes()
+    row, column = np.nonzero(bits > widths[:, None])
+    upper = over[row, column] >> widths[row].astype(np.uint32)
+    ends = np.searchsorted(row, np.arange(len(rows) + 1))
+    most = np.zeros(len(rows), np.uint32)
+    np.maximum.at(most, row, upper)
+    sizes = np.where(most < 1 << 8, 1, np.where(most < 1 << 16, 2, 4))
+    places, uppers = column.astype(np.uint8), {s: upper.astype(f"<u{s}") for s in (1, 2, 4)}
+    out = []
+    for i, (low, width, size) in enumerate(zip(least.tolist(), widths.tolist(), sizes.tolist())):
+        a, b = ends[i], ends[i + 1]
+        out.append(BLOCK_HEADER.pack(low, width, b - a, size) + packed[i] + places[a:b].tobytes() + uppers[size][a:b].tobytes())
     return out
 
 
-def unpack_block(data: bytes, at: int) -> np.ndarray:
-    """The 256 values of the block that starts at ``at``."""
-    least, width, n, size = BLOCK_HEADER.unpack_from(data, at)
-    at += BLOCK_HEADER.size
-    over = np.zeros(BLOCK, np.uint32)
-    if width:
-        bits = np.unpackbits(np.frombuffer(data, np.uint8, BLOCK // 8 * width, at), bitorder="little").reshape(BLOCK, width)
-        over = bits @ (np.uint32(1) << np.arange(width, dtype=np.uint32))
-        at += BLOCK // 8 * width
-    if n:
-        where = np.frombuffer(data, np.uint8, n, at)
-        over[where] |= np.frombuffer(data, f"<u{size}", n, at + n).astype(np.uint32) << np.uint32(width)
-    return over + np.uint32(least)
+def unpack_blocks(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Rows of 256 values: the blocks that start at ``starts`` of a file's bytes."""
+    starts = starts.astype(np.int64)
+    head = data[starts[:, None] + np.arange(BLOCK_HEADER.size)]
+    least = np.ascontiguousarray(head[:, :4]).view("<u4")[:, 0]
+    widths, counts, sizes = head[:, 4].astype(np.int64), np.ascontiguousarray(head[:, 5:7]).view("<u2")[:, 0].astype(np.int64), head[:, 7]
+    over = np.zeros((len(starts), BLOCK), np.uint32)
+    body = starts + BLOCK_HEADER.size
+    for width in np.unique(widths[widths > 0]):
+        at = np.flatnonzero(widths == width)
+        over[at] = _unpack(data[body[at, None] + np.arange(BLOCK // 8 * width)], int(width))
+    body = body + BLOCK // 8 * widths
+    row = np.repeat(np.arange(len(starts)), counts)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+    column = data[body[row] + nth]
+    first = body[row] + counts[row] + nth * sizes[row]
+    upper = np.zeros(len(row), np.uint32)
+    for k in range(4):
+        has = sizes[row] > k
+        upper[has] |= data[first[has] + k].astype(np.uint32) << np.uint32(8 * k)
+    over[row, column] |= upper << widths[row].astype(np.uint32)
+    return over + least[:, None]
 
 
 def write(doc_ids: list, ids: list[np.ndarray], share: float = SHARE) -> bytes:
@@ -92,7 +127,7 @@ class File:
         magic, self.n_docs, self.n_ids, self.n_blocks = HEADER.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a file of packed ids")
-        self.data = data
+        self.data = np.frombuffer(data, np.uint8)
         self.documents = np.frombuffer(data, DOCUMENT, self.n_docs, len(data) - DOCUMENT.itemsize * self.n_docs)
         index_at = len(data) - DOCUMENT.itemsize * self.n_docs - 8 * (self.n_blocks + 1)
         self.index = np.frombuffer(data, "<u8", self.n_blocks + 1, index_at)
@@ -102,9 +137,9 @@ class File:
         """Ids ``start`` to ``end`` of the file; only the blocks that hold them are read."""
         if start >= end:
             return np.zeros(0, np.uint32)
-        first = start // BLOCK
-        parts = [unpack_block(self.data, int(self.index[b])) for b in range(first, -(-end // BLOCK))]
-        return np.concatenate(parts)[start - first * BLOCK : end - first * BLOCK]
+        first, last = start // BLOCK, -(-end // BLOCK)
+        values = [unpack_blocks(self.data, self.index[b : min(b + 512, last)]).reshape(-1) for b in range(first, last, 512)]
+        return np.concatenate(values)[start - first * BLOCK : end - first * BLOCK]
 
     def document(self, k: int) -> np.ndarray:
         return self.slice(int(self.ends[k] - self.documents["n_ids"][k]), int(self.ends[k]))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.support import cut_lineage, shared_folder
-from . import bpe, chat, line_dedup, quality_knn, quality_rules, secret_scan, token_files
+from . import bpe, chat, decontaminate, line_dedup, quality_knn, quality_rules, secret_scan, shingle_join, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -79,6 +79,18 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op6_benchmark_decontamination")
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in the documents: a row per document and item found."""
+    return decontaminate.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query("op7_ngram_jaccard_join")
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under links of shingle similarity 0.8."""
+    return shingle_join.near_duplicates(documents(spark, sf_dir))
+
+
 @query("op8_byte_level_bpe")
 def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and the text that they decode to."""

@@ -40,9 +40,8 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text here
         self.cache = ChunkCache(self._chunks)
 
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+    def _chunks(self, chunks: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
     def encode(self, texts: list) -> list[np.ndarray]:
         return self.cache.ids(texts)
