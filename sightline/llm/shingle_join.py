@@ -26,7 +26,7 @@ from .words import blocks, lower_ascii, mix
 
 K = 5
 PERCENT = 80
-EXTEND = 16  # common tokens asked for in extended prefixes
+EXTEND = 5  # a set's size by this: common tokens asked for in extended prefixes
 RARE = 16  # a token in at most so many sets is an index key by itself
 TILE = 1500  # sets compared in one task
 
@@ -40,7 +40,7 @@ def overlap(n: int, percent: int) -> int:
 
 def wanted(n: int, percent: int) -> int:
     """Common tokens to ask for in the extended prefix of a set of ``n``."""
-    return max(1, min(EXTEND, overlap(n, percent)))
+    return max(1, n // EXTEND)
 
 
 def prefix(n: int, percent: int) -> int:
