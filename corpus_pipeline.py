@@ -41,7 +41,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document left, and whether they decode to its text."""
     ship_package(spark)
-    both = bpe.decode(bpe.encode(docs, carry=("doc_id", "text")))
+    both = bpe.encode(docs, carry=("doc_id", "text"), decoded=True)
     return both.select(
         "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"),

@@ -23,7 +23,7 @@ from .arrow import map_texts
 from .chunk_cache import ChunkCache
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-MAX_STATES = 250_000
+MAX_STATES = 150_000
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
@@ -275,11 +275,12 @@ def _content(docs: DataFrame, path: str | None):
         return docs.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, path: str | None = None, carry=("doc_id",)) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, carry=("doc_id",), decoded: bool = False) -> DataFrame:
     """``carry`` columns and ``ids``, array of int: the text's tokens without special ones.
 
-    A null text counts as empty: no ids. Ids may be null or repeated; other columns, an ``ids``
-    column included, are ignored. One pass, no shuffle.
+    ``decoded`` adds the text that the ids decode to, in the same pass. A null text counts as
+    empty: no ids. Ids may be null or repeated; other columns, an ``ids`` column included, are
+    ignored. One pass, no shuffle.
     """
     content = _content(docs, path)
 
@@ -290,11 +291,14 @@ def encode(docs: DataFrame, path: str | None = None, carry=("doc_id",)) -> DataF
             found = own.encode(texts)
             ends = np.cumsum([0, *map(len, found)])
             values = np.concatenate(found).astype(np.int32) if found else np.zeros(0, np.int32)
-            return {"ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))}
+            out = {"ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))}
+            if decoded:
+                out["decoded"] = [own.decoder.decode(ids.tolist()) for ids in found]
+            return out
 
         return run
 
-    return map_texts(docs, make, "ids array<int>", carry=carry)
+    return map_texts(docs, make, "ids array<int>" + ", decoded string" * decoded, carry=carry)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:

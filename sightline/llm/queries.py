@@ -94,7 +94,7 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_byte_level_bpe")
 def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and the text that they decode to."""
-    both = bpe.decode(bpe.encode(documents(spark, sf_dir)))
+    both = bpe.encode(documents(spark, sf_dir), decoded=True)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
