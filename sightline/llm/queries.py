@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.support import cut_lineage, shared_folder
-from . import bpe, chat, decontaminate, line_dedup, quality_knn, quality_rules, secret_scan, shingle_join, token_files
+from . import bpe, chat, decontaminate, line_dedup, quality_knn, quality_rules, secret_scan, shingle_join, suffix_dedup, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -66,6 +66,18 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "source", "n_lines", "n_dropped", "text")
 
 
+@query("op4_suffix_dedup")
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 50-byte strings that an earlier one holds."""
+    out = suffix_dedup.remove_repeats(documents(spark, sf_dir))
+    return out.select(
+        "doc_id", "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query("op5_quality_classifier")
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, from labels outside the held-out quarter."""
