@@ -5,9 +5,10 @@ first of their common tokens within their prefixes, and k of them if both prefix
 k - 1. So a set matters only if enough tokens of its extended prefix stand in other sets too; these
 few sets are indexed. Rare tokens are index keys by themselves. A set with enough frequent tokens
 may have them alone in common with another and is indexed by combinations: neighbouring tokens in
-the order, of which two similar sets always share some of the smallest. Sets with a common key are
-gathered around the key's least set, never paired; each resulting cluster is compared exactly, in
-tiles of bounded size, and hands on a spanning forest of its links.
+the order, of which two similar sets always share some of the smallest. Sets with a rare token in
+common are counted pair by pair, a few each; those with a combination in common are gathered
+around the key's least set, never paired. Each resulting cluster is compared exactly, in tiles of
+bounded size, and hands on a spanning forest of its links.
 """
 
 from __future__ import annotations
@@ -89,19 +90,16 @@ def signature(tokens: np.ndarray) -> int:
     return int(mix(tokens.sum(dtype=np.uint64, keepdims=True) + size).view(np.int64)[0])
 
 
-def index_keys(tokens: np.ndarray, totals: np.ndarray, percent: int) -> list[np.ndarray]:
-    """Index keys of one set, from the totals of its extended prefix's tokens."""
-    head = tokens[: len(totals)]
-    keys = [head[(totals > 1) & (totals <= RARE)]]
-    if (totals > RARE).sum() >= wanted(overlap(len(tokens), percent), percent):
-        # Small sets are indexed by pairs, large ones by triples, those between by both.
-        for size, least, most in ((2, 2, 10), (3, 6, 1 << 60)):
-            if least <= len(tokens) <= most and (n := combination_keys(len(tokens), size, percent)):
-                combined = np.full(len(tokens) - size + 1, size, np.uint64)
-                for j in range(size):
-                    combined = mix(combined + tokens[j : len(tokens) - size + 1 + j])
-                keys.append(np.sort(combined)[:n])
-    return keys
+def combinations(tokens: np.ndarray, percent: int) -> np.ndarray:
+    """Combination keys of one set. Small sets have pairs, large ones triples, those between both."""
+    keys = [np.zeros(0, np.uint64)]
+    for size, least, most in ((2, 2, 10), (3, 6, 1 << 60)):
+        if least <= len(tokens) <= most and (n := combination_keys(len(tokens), size, percent)):
+            combined = np.full(len(tokens) - size + 1, size, np.uint64)
+            for j in range(size):
+                combined = mix(combined + tokens[j : len(tokens) - size + 1 + j])
+            keys.append(np.sort(combined)[:n])
+    return np.unique(np.concatenate(keys))
 
 
 def links_within(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -187,19 +185,43 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, tile: i
     rows = cut_lineage(batches.each_with(totals, describe, "doc_id long, n int, sig long, tokens binary, totals binary"))
     active = cut_lineage(rows.where("tokens IS NOT NULL").select("sig", "tokens", "totals").dropDuplicates(["sig"]))
 
-    def keys_of(parts):
+    def rare_of(parts):
+        for pdf in parts:
+            rows = []
+            for sig, tokens, marks in zip(pdf["sig"], pdf["tokens"], pdf["totals"]):
+                marks, n = np.frombuffer(marks, np.uint8), len(tokens) // 8
+                own = np.frombuffer(tokens, np.uint64)[: len(marks)][(marks > 1) & (marks <= RARE)].astype(np.int64)
+                rows.append((own, sig, n, int((marks > RARE).sum())))
+            if rows:
+                sizes = [len(r[0]) for r in rows]
+                columns = {c: np.repeat([r[k] for r in rows], sizes) for k, c in ((1, "sig"), (2, "n"), (3, "frequent"))}
+                yield pd.DataFrame({"key": np.concatenate([r[0] for r in rows]), **columns})
+
+    def combined_of(parts):
         for pdf in parts:
             sigs, keys = [], []
             for sig, tokens, marks in zip(pdf["sig"], pdf["tokens"], pdf["totals"]):
-                own = np.unique(np.concatenate(index_keys(np.frombuffer(tokens, np.uint64), np.frombuffer(marks, np.uint8), percent)))
-                keys.append(own.astype(np.int64))
-                sigs.append(np.full(len(own), sig, np.int64))
+                if (np.frombuffer(marks, np.uint8) > RARE).sum() >= wanted(overlap(len(tokens) // 8, percent), percent):
+                    keys.append(combinations(np.frombuffer(tokens, np.uint64), percent).astype(np.int64))
+                    sigs.append(np.full(len(keys[-1]), sig, np.int64))
             if keys:
                 yield pd.DataFrame({"key": np.concatenate(keys), "sig": np.concatenate(sigs)})
 
-    index = active.mapInPandas(keys_of, "key long, sig long")
+    # A rare token stands in RARE sets at most, so its pairs are few. Of the common tokens that two
+    # similar sets have in their extended prefixes, those not rare are frequent in both.
+    rare = active.mapInPandas(rare_of, "key long, sig long, n int, frequent int")
+    other = rare.select("key", *(F.col(c).alias(f"{c}_b") for c in ("sig", "n", "frequent")))
+    ask = F.greatest(F.lit(1), F.floor(F.least("n", "n_b") / EXTEND))
+    alike = (F.col("n") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n") * percent)
+    pairs = (
+        rare.join(other, "key").where((F.col("sig") < F.col("sig_b")) & alike)
+        .groupBy("sig", "sig_b").agg(F.count("*").alias("common"), F.first(ask).alias("ask"), F.first(F.least("frequent", "frequent_b")).alias("frequent"))
+        .where("common + frequent >= ask").select(F.col("sig").alias("a"), F.col("sig_b").alias("b"))
+    )
+    index = active.mapInPandas(combined_of, "key long, sig long")
     centre = index.groupBy("key").agg(F.min("sig").alias("centre"), F.max("sig").alias("last")).where("centre <> last")
-    near = index.join(centre.select("key", "centre"), "key").where("sig <> centre").select(F.col("sig").alias("a"), F.col("centre").alias("b")).distinct()
+    stars = index.join(centre.select("key", "centre"), "key").where("sig <> centre").select(F.col("sig").alias("a"), F.col("centre").alias("b")).distinct()
+    near = pairs.union(stars)
     clusters = cut_lineage(components(near))
     parts = clusters.groupBy("root").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("parts"))
     placed = clusters.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
