@@ -23,7 +23,7 @@ from .arrow import map_texts
 from .chunk_cache import ChunkCache
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-MAX_STATES = 150_000
+MAX_STATES = 220_000
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:

@@ -14,7 +14,7 @@ from itertools import chain, islice
 
 import numpy as np
 
-LIMIT = 400_000
+LIMIT = 600_000
 _ADJACENT = re.compile(r"\s\s")
 _SINGLE = re.compile(r"(?<!\s) (?!\s)")
 
