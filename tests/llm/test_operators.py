@@ -1,0 +1,427 @@
+"""Corpus operators against plain versions of the same result, over awkward and ordinary texts."""
+
+import base64
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from sightline.llm import (
+    bpe, chat, chunk_cache, decontaminate, line_dedup, pfor, quality_knn, quality_rules, secret_scan, shingle_join,
+    suffix_dedup, token_files,
+)
+from sightline.llm.words import blocks
+
+WORD = r"[^\x20\x09-\x0D]+"
+VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, findings string, ids string"
+
+
+def made_texts(n=60, seed=1):
+    """Texts with copies, near copies, shared passages, and the awkward cases."""
+    rng = random.Random(seed)
+    vocabulary = ["the", "of", "and", *("".join(rng.choices("aeinorstéßñ", k=rng.randint(2, 8))) for _ in range(400))]
+    some = lambda k: rng.choices(vocabulary, k=k)
+    passage = " ".join(some(60))
+    texts = [None, "", " \n\t ", "one", "One", "two words", "a b c d", "word " * 300, "\n\n", "é" * 90]
+    base = some(120)
+    for i in range(n):
+        if i % 4 == 0:
+            words = [w if rng.random() > 0.01 * (i % 7) else rng.choice(vocabulary) for w in base]
+        elif i % 4 == 1:
+            words = some(40) + passage.split(" ") + some(30)
+        else:
+            words = some(rng.randint(1, 200))
+        texts.append("".join(w + (".\n" if rng.random() < 0.08 else " ") for w in words).strip())
+    return texts + texts[12:20] + [" ".join(some(9000))]
+
+
+@pytest.fixture(scope="module")
+def texts():
+    return made_texts()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    rows = [(i * 3 + 1, t, "en", f"s{i % 3}" if i % 5 else None, 0, "k", "f", "x") for i, t in enumerate(texts)]
+    rows += [rows[20], (None, texts[21], None, None, None, None, None, None)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def rows(df):
+    return sorted(df.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))
+
+
+# --- quality rules
+
+
+def plain_counts(text):
+    text = text or ""
+    words = re.findall(WORD, text)
+    windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    inside = {i + j for i, w in enumerate(windows) if windows.count(w) > 1 for j in range(8)}
+    lines = [x for x in text.split("\n") if re.search(WORD, x)]
+    return (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(inside))
+
+
+def test_quality_counts(docs, none):
+    texts = {(r["doc_id"], r["text"]): r["text"] for r in docs.collect()}
+    short = docs.where("length(text) < 3000 OR text IS NULL")
+    got = quality_rules.judge_quality(short).collect()
+    assert len(got) == short.count()
+    want = sorted(plain_counts(t) for t in texts.values() if len(t or "") < 3000)
+    assert sorted({tuple(r[1:6]) for r in got}) == sorted(set(want))
+    for r in got:
+        failed = r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"]
+        assert r["base_failed"] == failed and not (failed and r["kept"])
+    assert quality_rules.judge_quality(none).count() == 0
+    kept = quality_rules.keep_quality(docs)
+    assert kept.columns == docs.columns and kept.count() == sum(r["kept"] for r in quality_rules.judge_quality(docs).collect())
+
+
+def test_compression_bands(spark):
+    rng = random.Random(4)
+    prose = " ".join("".join(rng.choices("etaoinshr", k=rng.randint(1, 9))) for _ in range(900))
+    noise = base64.b85encode(rng.randbytes(6000)).decode()
+    noise = " ".join(noise[i : i + 9] for i in range(0, len(noise), 9))
+    loop = "\n".join(f"row {i % 7} of the same old table" for i in range(2000))
+    frame = spark.createDataFrame([(1, prose), (2, noise), (3, loop)], "doc_id long, text string")
+    assert [r["kept"] for r in rows(quality_rules.judge_quality(frame))] == [True, False, False]
+
+
+# --- line dedup
+
+
+def test_line_dedup(spark, none):
+    data = [(i, f"menu\nown line {i}\n\nfoot {i % 2}", "a") for i in range(10)]
+    data += [(20, "menu\nx", "b"), (21, None, "a"), (22, "", "a"), (23, "menu", None)] + [(30 + i, "menu", None) for i in range(5)]
+    frame = spark.createDataFrame(data, "doc_id long, text string, source string").withColumn("n_lines", F.lit("mine"))
+    got = {r["doc_id"]: r for r in line_dedup.drop_boilerplate(frame, ratio=0.3, min_pages=5, counts=True).collect()}
+    assert len(got) == len(data)
+    assert got[3]["text"] == "own line 3\n" and got[3]["n_dropped"] == 2 and got[3]["n_lines"] == 4
+    assert got[20]["text"] == "menu\nx" and got[21]["text"] is None and got[22]["text"] == ""
+    assert got[23]["text"] == ""  # null hosts are one host
+    assert line_dedup.drop_boilerplate(frame).columns == frame.columns
+    assert line_dedup.drop_boilerplate(none, counts=True).count() == 0
+
+
+# --- chat
+
+
+def test_chat_round_trip(spark):
+    odd = [r"\### Assistant: </turn> ok", r"\s\h\l\\", "", None, "</turn>\n### user: x", "a: b\n", "é漢😀#<\\"]
+    data = [(c, t, role, odd[(c + t) % len(odd)]) for c in range(7) for t, role in enumerate(["system", "user", "assistant", "user", "assistant"])]
+    data += [(None, 0, "assistant", "x"), (50, 0, "assi: #stant", "y"), (51, None, None, None), (52, 1, "user", "t"), (52, 1, "assistant", "t")]
+    frame = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").withColumn("tree_id", F.lit(1))
+    out = chat.format_conversations(frame)
+    got = {r["conv_id"]: r for r in out.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss")).alias("loss")).collect()}
+    assert len(got) == 11
+    for c in range(7):
+        want = [(role, text or "") for cc, _, role, text in data if cc == c]
+        assert [tuple(t) for t in got[c]["turns"]] == want
+        assert got[c]["loss"] == [t for r, t in want if r == "assistant"]
+    assert [tuple(t) for t in got[50]["turns"]] == [("assi: #stant", "y")]
+    assert got[None]["loss"] == ["x"] and [tuple(t) for t in got[51]["turns"]] == [("", "")]
+    assert len(got[52]["turns"]) == 2
+    assert chat.format_conversations(frame.limit(0)).count() == 0
+
+
+def test_reply_tree_branches(spark):
+    #  1 ─ 2 ─ 4 ─ 6     scores: the branch over 3 is best by mean, then 4-6
+    #    └ 3 ─ 5   └ 7
+    data = [(1, 1, None, 1.0), (1, 2, 1, 1.0), (1, 3, 1, 5.0), (1, 4, 2, 1.0), (1, 5, 3, 5.0), (1, 6, 4, 3.0), (1, 7, 4, None), (2, 8, 99, 0.0), (3, 1, 2, 0.0), (3, 2, 1, 0.0)]
+    frame = spark.createDataFrame([(*r[:3], "user", f"m{r[1]}", r[3]) for r in data], "tree_id long, message_id long, parent_id long, role string, text string, score double")
+    got = {}
+    for r in chat.best_paths(frame, per_tree=2, max_depth=64).orderBy("tree_id", "branch", "position").collect():
+        got.setdefault((r["tree_id"], r["branch"]), []).append(r["message_id"])
+    assert got[1, 1] == [1, 3, 5] and got[1, 2] == [1, 2, 4, 6]
+    assert got[2, 1] == [8] and not any(t == 3 for t, _ in got)  # an absent parent makes a root, a cycle none
+    chain = spark.range(150).selectExpr("1L tree_id", "id message_id", "nullif(id, 0) - 1 parent_id", "'user' role", "'t' text", "0D score")
+    path = chat.best_paths(chain).orderBy("position").collect()
+    assert [r["message_id"] for r in path] == list(range(150)) and [r["position"] for r in path] == list(range(150))
+
+
+# --- secrets
+
+
+def test_secret_scan(spark, none):
+    hexes = "0123456789abcdef" * 2
+    data = [
+        (1, f'Token = "{hexes}aa" end'), (2, "password=short api-key: x apikey:'abcdefgh12'"), (3, "xAKIAABCDEFGHIJKL1 AKIASHORT"),
+        (4, None), (5, ""), (None, f"é {hexes} {hexes}"), (7, "toKen=abcdefghijk"), (8, "passwd: abcdefg= secret=a.b-c_d+e/f"),
+    ]
+    frame = spark.createDataFrame(data, "doc_id long, text string")
+    model = secret_scan.fit_model(frame, texts=8, rows=1500)
+    got = {r["doc_id"]: [(f["kind"], f["start"], f["end"]) for f in r["findings"]] for r in secret_scan.scan(frame, model).collect()}
+    assert got[1] == [("assign", 0, 43), ("hex", 9, 43)]
+    assert got[2] == [("assign", 26, 44)] and got[3] == [("access", 1, 18)]
+    assert got[4] == got[5] == got[7] == []
+    assert got[None] == [("hex", 2, 34), ("hex", 35, 67)]
+    assert got[8] == [("assign", 0, 16), ("assign", 17, 35)]
+    assert secret_scan.scan(none, secret_scan.fit_model(none, rows=600)).count() == 0
+
+
+def test_network_finds_held_out_secrets(texts):
+    model = secret_scan.train([t or "" for t in texts], seed=3)
+    rng = np.random.default_rng(99)
+    fresh = secret_scan.planted([("some text with ", " and more")], ["river", "stone", "market", "walking"], 600, rng)
+    scores = model.score([w for w, _ in fresh])
+    accepted = np.array(model.accepts([w for w, _ in fresh], scores))
+    labels = np.array([y for _, y in fresh]) > 0
+    assert accepted[labels].mean() > 0.9 and accepted[~labels].mean() < 0.1
+
+
+# --- quality classifier
+
+
+def test_neighbour_votes(spark, none):
+    rng = random.Random(8)
+    good = lambda: " ".join("".join(rng.choices("etaoinshr", k=rng.randint(1, 9))) for _ in range(90))
+    bad = lambda: "|".join([f"{''.join(rng.choices('XYZ', k=4))}!!"] * 60)
+    data = [(i, good() if i % 3 else bad()) for i in range(120)] + [(200, None), (201, ""), (None, good())]
+    docs = spark.createDataFrame(data, "doc_id long, text string").withColumn("score", F.lit("x"))
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(60)] + [(3, 1), (None, 1), (4, None)], "doc_id long, quality int")
+    model = quality_knn.fit_model(docs, labels, sample=30)
+    got = {r["doc_id"]: r["score"] for r in quality_knn.score_quality(docs, model).collect()}
+    assert len(got) == len(data) and all(0 <= s <= 1 for s in got.values())
+    assert all((got[i] >= 0.7) == (i % 3 > 0) for i in range(60, 120)) and got[None] > 0.7
+    assert got[200] == got[201] == pytest.approx(model.prior)
+    empty = quality_knn.fit_model(docs, labels.limit(0))
+    assert {r["score"] for r in quality_knn.score_quality(docs, empty).collect()} == {0.5}
+    assert quality_knn.score_quality(none, model).count() == 0
+
+
+# --- byte-level merges
+
+
+@pytest.fixture(scope="module")
+def reference():
+    import tiktoken
+
+    with open(VOCABULARY, "rb") as f:
+        ranks = bpe.read_ranks(f.read())
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe_as_defined(reference):
+    with open(VOCABULARY, "rb") as f:
+        own = bpe.Codec(f.read())
+    rng = random.Random(5)
+    alphabet = list("abcdefgh thé  \n\t'srelvmd0123!?.,-_\xa0\x1c\x85　漢字😀ßñ‍İſ")
+    made = ["".join(rng.choices(alphabet, k=rng.randint(0, 30))) for _ in range(4000)] + ["a" * 3000, "the " * 900, "\n", " ", " x\n\ny "]
+    for text, ids in zip(made, own.encode(made)):
+        assert ids.tolist() == reference.encode_ordinary(text), text
+    tokens = list(own.transducer.ranks)
+    for _ in range(2000):
+        piece = b"".join(rng.choices(tokens, k=rng.randint(1, 4)))
+        assert own.transducer.encode(piece) == reference._encode_single_piece(piece)
+        ids = rng.choices(range(50256), k=8)
+        assert own.decoder.decode(ids) == reference.decode(ids)  # broken sequences too
+    small = bpe.Transducer(own.transducer.ranks, max_states=5)  # starts anew all the time
+    assert [small.encode(b" hello there"), small.encode(b" hello there")] == [own.transducer.encode(b" hello there")] * 2
+
+
+def test_bpe_frames(docs, none, reference):
+    both = bpe.encode(docs, carry=("doc_id", "text"), decoded=True).collect()
+    assert len(both) == docs.count()
+    assert all(r["decoded"] == (r["text"] or "") and r["ids"] == reference.encode_ordinary(r["text"] or "") for r in both)
+    again = bpe.decode(bpe.encode(docs)).collect()
+    assert sorted(r["decoded"] for r in again) == sorted(r["decoded"] for r in both)
+    assert bpe.encode(none).count() == 0
+
+
+def test_cache_drops_the_rare():
+    seen = []
+    cache = chunk_cache.ChunkCache(lambda chunks: [seen.append(c) or [len(c)] for c in chunks], limit=10)
+    many = [" ".join(f"w{i}{'x' * j}" for j in range(6)) for i in range(20)]
+    for text in many + many:
+        assert cache.ids([text])[0].tolist() == [len(p) + (k > 0) for k, p in enumerate(text.split(" "))]
+    assert len(cache.inner) < 40
+
+
+# --- token files
+
+
+def test_packed_blocks():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 255, 256, 257, 3000):
+        for top in (1, 2, 300, 50257, 2**32 - 1):
+            values = rng.integers(0, top, n, dtype=np.uint64).astype(np.uint32)
+            values[::17] = 2**32 - 1 if top > 300 else top
+            cuts = np.sort(rng.integers(0, n + 1, 5))
+            ids = [values[a:b] for a, b in zip([0, *cuts], [*cuts, n])]
+            held = pfor.File(pfor.write([None, *range(5)], ids))
+            assert all(np.array_equal(a, b) for (_, a), b in zip(held.runs(7), ids))
+            assert all(np.array_equal(held.document(k), b) for k, b in enumerate(ids))
+
+
+def test_token_files(spark, docs, none, tmp_path):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    plain.encode_special_tokens = True
+    for name, frame in (("some", docs), ("none", none)):
+        folder = f"file://{tmp_path}/{name}"
+        token_files.write_ids(frame, folder, files=4)
+        read = token_files.read_ids(spark, folder, token_files.digest, "n_tokens long, ids_crc32 long")
+        got = token_files.document_starts(read).orderBy("start").collect()
+        source = sorted(frame.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))
+        assert [r["doc_id"] for r in got] == [r["doc_id"] for r in source]
+        at = 0
+        for r, s in zip(got, source):
+            ids = [*plain.encode(s["text"] or "", add_special_tokens=False).ids, 2]
+            assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+            at += len(ids)
+
+
+# --- decontamination
+
+
+def test_leaks(spark, docs, none):
+    rng = random.Random(6)
+    prose = lambda k: " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randint(1, 9))) for _ in range(k))
+    items = [(i, prose(rng.randint(15, 60))) for i in range(30)] + [(90, None), (91, ""), (92, "tiny item")]
+    long = [t for i, t in items if i < 90]
+
+    def edited(text, share):
+        out = list(text)
+        for _ in range(int(share * len(out))):
+            out[rng.randrange(len(out))] = rng.choice("etaoin ")
+        return "".join(out)
+
+    data = [(i, f"{prose(rng.randint(0, 40))} {edited(long[i % 30], 0.04 * (i % 2)).upper() if i % 3 else long[i % 30]} {prose(20)}") for i in range(200)]
+    clean = [(1000 + i, prose(150)) for i in range(100)] + [(2000, None), (2001, "")]
+    data_tiny = [(3000, "a TINY\nitem here"), (None, long[0])]
+    frame = spark.createDataFrame(data + clean + data_tiny, "doc_id long, text string").withColumn("item_id", F.lit("x"))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.find_leaks(frame, benchmark, items=12).collect()}
+    assert all((i, i % 30) in got for i in range(0, 200, 2))  # unedited: always
+    assert sum((i, i % 30) in got for i in range(1, 200, 2)) >= 95
+    assert not any(d is not None and 1000 <= d < 3000 for d, _ in got)
+    assert (3000, 92) in got and (None, 0) in got
+    kept = {r["doc_id"] for r in decontaminate.drop_leaks(frame, benchmark).collect()}
+    assert {d for d, _ in clean} <= kept and not kept & set(range(0, 200, 2))
+    assert decontaminate.find_leaks(none, benchmark).count() == 0
+    assert decontaminate.find_leaks(frame, benchmark.limit(0)).count() == 0
+
+
+def test_edit_distance():
+    rng = random.Random(7)
+    for _ in range(300):
+        a, b = (bytes(rng.choices(b"ab c", k=rng.randint(lo, 30))) for lo in (1, 0))
+        row = [0] * (len(b) + 1)
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        assert decontaminate.edit_distance(a, b, len(a))[0] == min(row)
+
+
+# --- near duplicates
+
+
+def plain_components(data):
+    sets, root = {}, {}
+    for d, t in data:
+        w = re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+        root[d] = d
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {d: (len(sets[d]), find(d)) for d in ids}
+
+
+def test_near_duplicates(spark, docs, none):
+    whole = docs.where("doc_id IS NOT NULL")
+    want = plain_components({(r["doc_id"], r["text"]) for r in whole.collect()})
+    got = shingle_join.near_duplicates(whole).collect()
+    assert len(got) == whole.count()
+    assert all(want[r["doc_id"]] == (r["n_shingles"], r["component_id"]) for r in got)
+    with_null = shingle_join.near_duplicates(docs).where("doc_id IS NULL").collect()
+    assert [(r["doc_id"], r["component_id"]) for r in with_null] == [(None, None)]
+    assert shingle_join.near_duplicates(none).count() == 0
+
+
+def test_near_duplicates_of_a_large_group(spark):
+    """More sets than a tile holds, few of them alike enough, and small sets around the borders."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    data = []
+    for i in range(150):
+        words = [w if rng.random() > rng.random() * 0.12 else f"x{rng.randrange(9999)}" for w in base]
+        data.append((i, " ".join(words)))
+    data += [(1000 + i, " ".join(f"s{j}" for j in range(n)) + (" end" if i % 2 else "")) for i, n in enumerate([4, 4, 5, 5, 6, 6, 8, 8, 9, 9, 12, 12, 14, 14, 15] * 3)]
+    frame = spark.createDataFrame(data, "doc_id long, text string")
+    want = plain_components(data)
+    got = shingle_join.near_duplicates(frame, tile=20).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
+# --- repeated strings
+
+
+def plain_repeats(data, length=50):
+    first, out = {}, {}
+    for d, t in sorted(data):
+        blob = t.encode()
+        cover = bytearray(len(blob))
+        for p in range(len(blob) - length + 1):
+            w = blob[p : p + length]
+            if first.setdefault(w, d) < d:
+                cover[p : p + length] = b"\1" * length
+        kept = bytes(x for x, c in zip(blob, cover) if not c)
+        spans = sum(1 for i, c in enumerate(cover) if c and not (i and cover[i - 1]))
+        out[d] = (len(blob), spans, hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def test_suffix_dedup(spark, docs, none):
+    whole = docs.where("doc_id IS NOT NULL")
+    want = plain_repeats({(r["doc_id"], r["text"] or "") for r in whole.collect()})
+    got = suffix_dedup.remove_repeats(whole).collect()
+    assert len(got) == whole.count()
+    for r in got:
+        assert want[r["doc_id"]] == (r["n_bytes"], len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest())
+    null = suffix_dedup.remove_repeats(docs).where("doc_id IS NULL").collect()
+    assert len(null) == 1 and not null[0]["spans"]
+    assert suffix_dedup.remove_repeats(none).count() == 0
+
+
+def test_levels_merge_geometrically():
+    rng = np.random.default_rng(3)
+    levels, best = suffix_dedup.Levels(), {}
+    for _ in range(40):
+        keys, docs = rng.integers(0, 500, 30).astype(np.uint64), rng.integers(0, 10_000, 30)
+        levels.add(keys, docs)
+        for k, d in zip(keys.tolist(), docs.tolist()):
+            best[k] = min(best.get(k, d), d)
+    sizes = [len(k) for k, _ in levels.levels]
+    assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
+    got = levels.least(np.arange(600, dtype=np.uint64))
+    assert all(got[k] == best.get(k, np.iinfo(np.int64).max) for k in range(600))
+
+
+def test_blocks_hold_whole_texts(texts):
+    assert [b for block in blocks(texts, 500) for b in block.blobs] == [(t or "").encode() for t in texts]
