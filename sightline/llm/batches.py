@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 8 << 20
 
 
 class Batches:

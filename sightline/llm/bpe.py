@@ -23,7 +23,8 @@ from .arrow import map_texts
 from .chunk_cache import ChunkCache
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-MAX_STATES = 220_000
+MAX_STATES = 220_000  # some 0.6 KB each, in every worker process
+MAX_CHUNKS = 600_000
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
@@ -242,13 +243,13 @@ class StreamDecoder:
 class Codec:
     """Encoder and decoder of one vocabulary."""
 
-    def __init__(self, content: bytes):
+    def __init__(self, content: bytes, max_states: int = MAX_STATES, max_chunks: int = MAX_CHUNKS):
         import regex
 
         ranks = read_ranks(content)
-        self.transducer, self.decoder = Transducer(ranks), StreamDecoder(ranks)
+        self.transducer, self.decoder = Transducer(ranks, max_states), StreamDecoder(ranks)
         self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.cache = ChunkCache(lambda chunks: [self._chunk(c) for c in chunks])
+        self.cache = ChunkCache(lambda chunks: [self._chunk(c) for c in chunks], max_chunks)
 
     def _chunk(self, chunk: str) -> list[int]:
         return [i for piece in self.pattern.findall(chunk) for i in self.transducer.encode(piece.encode())]
@@ -257,15 +258,15 @@ class Codec:
         return self.cache.ids(texts)
 
 
-_CODECS: dict[str, Codec] = {}
+_CODECS: dict[tuple, Codec] = {}
 
 
-def codec(content: bytes) -> Codec:
+def codec(content: bytes, max_states: int = MAX_STATES, max_chunks: int = MAX_CHUNKS) -> Codec:
     """The codec of a vocabulary file's content, built once per process."""
-    key = hashlib.sha256(content).hexdigest()
+    key = (hashlib.sha256(content).hexdigest(), max_states, max_chunks)
     if key not in _CODECS:
         _CODECS.clear()
-        _CODECS[key] = Codec(content)
+        _CODECS[key] = Codec(content, max_states, max_chunks)
     return _CODECS[key]
 
 
@@ -275,17 +276,19 @@ def _content(docs: DataFrame, path: str | None):
         return docs.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, path: str | None = None, carry=("doc_id",), decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, carry=("doc_id",), decoded: bool = False,
+           max_states: int = MAX_STATES, max_chunks: int = MAX_CHUNKS) -> DataFrame:
     """``carry`` columns and ``ids``, array of int: the text's tokens without special ones.
 
-    ``decoded`` adds the text that the ids decode to, in the same pass. A null text counts as
+    ``decoded`` adds the text that the ids decode to, in the same pass. ``max_states`` and
+    ``max_chunks`` bound what a worker process remembers; they change speed only. A null text counts as
     empty: no ids. Ids may be null or repeated; other columns, an ``ids`` column included, are
     ignored. One pass, no shuffle.
     """
     content = _content(docs, path)
 
     def make():
-        own = codec(content.value)
+        own = codec(content.value, max_states, max_chunks)
 
         def run(texts: list) -> dict:
             found = own.encode(texts)
