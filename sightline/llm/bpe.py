@@ -2,11 +2,13 @@
 
 A token sequence is what the merges give if and only if each token alone and each two neighbours
 are. So the last token of every prefix of a piece follows from the last tokens of the shorter
-prefixes within reach, and a state holds just those: for each place where a token may still begin,
-the bytes since and the token before it. Reading a byte leads to the next state and to the token
-that would end there; transitions are worked out the first time they are met. A token is final,
-and is emitted, once every place where one may still begin follows it, which the longest token
-bounds.
+prefixes within reach: it is the longest token that ends there and may follow the one before it.
+Of the places where a token may still begin, the first tells all others, so a state is just the
+bytes since that place; states and transitions are worked out the first time they are met, and
+there are never more than the vocabulary has prefixes. A state puts out the tokens that may end
+in it, longest first, and which pairs of tokens may be neighbours is compiled from the merges. A
+token is final, and is emitted, once every place where one may still begin follows it, which the
+longest token bounds.
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ from .arrow import map_texts
 from .chunk_cache import ChunkCache
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-MAX_STATES = 220_000  # some 0.6 KB each, in every worker process
+MAX_STEPS = 500_000  # transitions, and pairs of neighbours: some 0.1 KB each, in every worker process
 MAX_CHUNKS = 600_000
+SHORT = 64  # bytes of a piece that is settled from its end
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
@@ -47,21 +50,21 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Transducer:
     """Ids of one piece, byte by byte."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
-        self.ranks, self.max_states = ranks, max_states
+    def __init__(self, ranks: dict[bytes, int], max_steps: int = MAX_STEPS):
+        self.ranks, self.max_steps = ranks, max_steps
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.length = {i: len(t) for t, i in ranks.items()}
         self.prefixes = {t[:k] for t in ranks for k in range(1, len(t) + 1)}
         self.reach = max(map(len, ranks))
         self.halves: dict[int, tuple[bytes, bytes] | None] = {}
         self.sides: dict[tuple[int, int], tuple] = {}
-        self.neighbours: dict[tuple[int, int], bool] = {}
+        self.neighbours: dict[int, bool] = {}
         self.reset()
 
     def reset(self) -> None:
-        start = (b"", (0,), (-1,))
-        self.states, self.number = [start], {start: 0}
-        self.moves: dict[int, tuple[int, int]] = {}
+        self.states, self.number = [b""], {b"": 0}
+        self.outputs: list[tuple[tuple[int, int], ...]] = [()]  # tokens that may end, and their lengths
+        self.moves: dict[int, int] = {}
 
     def split(self, token: bytes) -> tuple[bytes, bytes] | None:
         """The two parts that the merges join last into ``token``; None if they never form it."""
@@ -93,88 +96,97 @@ class Transducer:
         return self.sides[key]
 
     def fits(self, before: int, token: int) -> bool:
-        """Can ``token`` stand alone, and next to ``before`` (-1: nothing)?
+        """Can ``token`` stand next to ``before``?
 
         Not if two parts at the border would be merged before either is taken up within its own
         token; of equal ranks the left merge comes first.
         """
-        piece = self.bytes_of[token]
-        if len(piece) > 1 and self.split(piece) is None:
-            return False
-        if before < 0:
-            return True
-        pair = (before, token)
-        known = self.neighbours.get(pair)
-        if known is None:
-            if len(self.neighbours) > 2 * self.max_states:
-                self.neighbours.clear()
-            get = self.ranks.get
-            known = not any(
-                (rank := get(x + y)) is not None and rank < x_taken and rank <= y_taken
-                for x, x_taken in self.side(before, 1)
-                for y, y_taken in self.side(token, 0)
-            )
-            self.neighbours[pair] = known
-        return known
-
-    def _move(self, state: int, byte: int) -> tuple[int, int]:
-        """Work out a transition: the next state and the token that would end here."""
-        suffix, lengths, befores = self.states[state]
-        grown = suffix + bytes((byte,))
-        end, ended, live, kept = len(grown), -1, [], []
-        for length, before in zip(lengths, befores):
-            since = grown[end - length - 1 :]
-            if since in self.prefixes:
-                if ended < 0 and (token := self.ranks.get(since)) is not None and self.fits(before, token):
-                    ended = token
-                live.append(length + 1)
-                kept.append(before)
-        key = (grown[end - max(live, default=0) :], (*live, 0), (*kept, ended))
-        number = self.number.get(key)
+        get = self.ranks.get
+        return not any(
+            (rank := get(x + y)) is not None and rank < x_taken and rank <= y_taken
+            for x, x_taken in self.side(before, 1)
+            for y, y_taken in self.side(token, 0)
+        )
+
+    def _move(self, state: int, byte: int) -> int:
+        """Work out a transition: the next state, and what it puts out if it is new."""
+        suffix = self.states[state] + bytes((byte,))
+        while suffix not in self.prefixes:
+            suffix = suffix[1:]
+        number = self.number.get(suffix)
         if number is None:
-            number = self.number[key] = len(self.states)
-            self.states.append(key)
-        made = self.moves[state << 8 | byte] = (number, ended)
-        return made
+            number = self.number[suffix] = len(self.states)
+            self.states.append(suffix)
+            tails = (suffix[i:] for i in range(len(suffix)))
+            self.outputs.append(tuple(
+                (self.ranks[t], len(t)) for t in tails if t in self.ranks and (len(t) == 1 or self.split(t))
+            ))
+        self.moves[state << 8 | byte] = number
+        return number
 
     def encode(self, piece: bytes) -> list[int]:
         """Ids of a piece. A piece that is a token is that token, as in the defining library."""
         known = self.ranks.get(piece)
         if known is not None:
             return [known]
-        if len(self.states) > self.max_states:
+        if len(self.moves) > self.max_steps:
             self.reset()
+        if len(self.neighbours) > self.max_steps:
+            self.neighbours.clear()
         out: list[int] = []
-        ends: list[int] = []  # the token that would end after each byte not yet settled
+        path, ends = [0], [-1]  # of each place since the last settled one: the state, the last token before it
         state, moves, room = 0, self.moves, 8 * self.reach
+        long = len(piece) > SHORT
         for byte in piece:
-            step = moves.get(state << 8 | byte)
-            if step is None:
-                step = self._move(state, byte)
-            state, token = step
-            ends.append(token)
-            if len(ends) >= room:
-                done = self._settled(ends, self.states[state][1])
-                out += self._back(ends[:done])
-                del ends[:done]
-        return out + self._back(ends)
-
-    def _back(self, ends: list[int]) -> list[int]:
-        """The tokens that lead to the end of ``ends``."""
-        out, at = [], len(ends)
+            after = moves.get(state << 8 | byte)
+            state = self._move(state, byte) if after is None else after
+            path.append(state)
+            ends.append(None)
+            if long:  # settled as it goes; else only the places on the way back are asked for
+                self._end(path, ends, len(ends) - 1)
+                if len(ends) > room and (done := self._settled(ends, self.states[state])):
+                    out += self._back(path, ends, done)
+                    del ends[:done], path[:done]
+        return out + self._back(path, ends, len(ends) - 1)
+
+    def _end(self, path: list[int], ends: list, at: int) -> int:
+        """The last token before a place."""
+        pairs = self.neighbours
+        for token, length in self.outputs[path[at]]:
+            before = ends[at - length]
+            if before is None:
+                before = self._end(path, ends, at - length)
+            if before < 0:
+                break
+            pair = before << 32 | token
+            fits = pairs.get(pair)
+            if fits is None:
+                fits = pairs[pair] = self.fits(before, token)
+            if fits:
+                break
+        ends[at] = token
+        return token
+
+    def _back(self, path: list[int], ends: list, at: int) -> list[int]:
+        """The tokens that lead to a place."""
+        out = []
         while at:
-            out.append(ends[at - 1])
-            at -= self.length[ends[at - 1]]
+            token = ends[at]
+            if token is None:
+                token = self._end(path, ends, at)
+            out.append(token)
+            at -= self.length[token]
         return out[::-1]
 
-    def _settled(self, ends: list[int], lengths: tuple[int, ...]) -> int:
+    def _settled(self, ends: list[int], suffix: bytes) -> int:
         """The last place that the tokens to every possible beginning pass through."""
-        at = {len(ends) - n for n in lengths}
+        last = len(ends) - 1
+        at = {last} | {last - n for n in range(1, len(suffix) + 1) if suffix[-n:] in self.prefixes}
         while len(at) > 1:
             last = max(at)
             at.remove(last)
-            at.add(last - self.length[ends[last - 1]])
-        return max(0, at.pop())
+            at.add(last - self.length[ends[last]])
+        return at.pop()
 
 
 class Utf8Machine:
@@ -243,11 +255,11 @@ class StreamDecoder:
 class Codec:
     """Encoder and decoder of one vocabulary."""
 
-    def __init__(self, content: bytes, max_states: int = MAX_STATES, max_chunks: int = MAX_CHUNKS):
+    def __init__(self, content: bytes, max_steps: int = MAX_STEPS, max_chunks: int = MAX_CHUNKS):
         import regex
 
         ranks = read_ranks(content)
-        self.transducer, self.decoder = Transducer(ranks, max_states), StreamDecoder(ranks)
+        self.transducer, self.decoder = Transducer(ranks, max_steps), StreamDecoder(ranks)
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.cache = ChunkCache(lambda chunks: [self._chunk(c) for c in chunks], max_chunks)
 
@@ -261,12 +273,12 @@ class Codec:
 _CODECS: dict[tuple, Codec] = {}
 
 
-def codec(content: bytes, max_states: int = MAX_STATES, max_chunks: int = MAX_CHUNKS) -> Codec:
+def codec(content: bytes, max_steps: int = MAX_STEPS, max_chunks: int = MAX_CHUNKS) -> Codec:
     """The codec of a vocabulary file's content, built once per process."""
-    key = (hashlib.sha256(content).hexdigest(), max_states, max_chunks)
+    key = (hashlib.sha256(content).hexdigest(), max_steps, max_chunks)
     if key not in _CODECS:
         _CODECS.clear()
-        _CODECS[key] = Codec(content, max_states, max_chunks)
+        _CODECS[key] = Codec(content, max_steps, max_chunks)
     return _CODECS[key]
 
 
@@ -277,10 +289,10 @@ def _content(docs: DataFrame, path: str | None):
 
 
 def encode(docs: DataFrame, path: str | None = None, carry=("doc_id",), decoded: bool = False,
-           max_states: int = MAX_STATES, max_chunks: int = MAX_CHUNKS) -> DataFrame:
+           max_steps: int = MAX_STEPS, max_chunks: int = MAX_CHUNKS) -> DataFrame:
     """``carry`` columns and ``ids``, array of int: the text's tokens without special ones.
 
-    ``decoded`` adds the text that the ids decode to, in the same pass. ``max_states`` and
+    ``decoded`` adds the text that the ids decode to, in the same pass. ``max_steps`` and
     ``max_chunks`` bound what a worker process remembers; they change speed only. A null text counts as
     empty: no ids. Ids may be null or repeated; other columns, an ``ids`` column included, are
     ignored. One pass, no shuffle.
@@ -288,7 +300,7 @@ def encode(docs: DataFrame, path: str | None = None, carry=("doc_id",), decoded:
     content = _content(docs, path)
 
     def make():
-        own = codec(content.value, max_states, max_chunks)
+        own = codec(content.value, max_steps, max_chunks)
 
         def run(texts: list) -> dict:
             found = own.encode(texts)

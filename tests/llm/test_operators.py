@@ -227,7 +227,7 @@ def test_bpe_as_defined(reference):
         assert own.transducer.encode(piece) == reference._encode_single_piece(piece)
         ids = rng.choices(range(50256), k=8)
         assert own.decoder.decode(ids) == reference.decode(ids)  # broken sequences too
-    small = bpe.Transducer(own.transducer.ranks, max_states=5)  # starts anew all the time
+    small = bpe.Transducer(own.transducer.ranks, max_steps=5)  # starts anew all the time
     assert [small.encode(b" hello there"), small.encode(b" hello there")] == [own.transducer.encode(b" hello there")] * 2
 
 
