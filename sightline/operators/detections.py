@@ -14,7 +14,7 @@ BOX = ("x1", "y1", "x2", "y2")
 
 
 def by_model(values: dict, default=None, model: Column | None = None) -> Column:
-    """Look a per-model parameter up as an expression, so that it can be pushed down."""
+    """Look a per-model parameter up as an expression."""
     model = F.col("model_type") if model is None else model
     out = F.lit(default)
     for name, value in values.items():
@@ -23,8 +23,15 @@ def by_model(values: dict, default=None, model: Column | None = None) -> Column:
 
 
 def filter_confidence(df: DataFrame, thresholds: dict = DETECTION.thresholds) -> DataFrame:
-    """Keep detections at or above the threshold of their model."""
-    return df.filter(F.col("confidence") >= by_model(thresholds, 0.5))
+    """Keep detections at or above the threshold of their model, 0.5 for a model not named.
+
+    The lowest threshold is a condition of its own, which reaches the scan by itself.
+    """
+    model, confidence, other = F.col("model_type"), F.col("confidence"), 0.5
+    kept = (model.isNull() | ~model.isin(*thresholds)) & (confidence >= other)
+    for name, least in thresholds.items():
+        kept = kept | ((model == name) & (confidence >= least))
+    return df.filter(confidence >= min(other, *thresholds.values())).filter(kept)
 
 
 def tag_detections(df: DataFrame, class_name: str) -> DataFrame:

@@ -85,15 +85,16 @@ def _greedy(sorted_boxes: Column, threshold: float, most: Column | None) -> Colu
 def nms(
     df: DataFrame,
     iou: float = DETECTION.nms_iou,
-    max_det: dict | None = DETECTION.max_det,
+    max_det: dict | None = None,
     keys=GROUP,
     fold_limit: int = 1024,
 ) -> DataFrame:
-    """Greedy non-maximum suppression per group, then at most ``max_det`` boxes per model.
+    """Greedy non-maximum suppression per group, then at most ``max_det`` boxes per model, if given.
 
-    Score order is confidence down, then ``det_idx``. Groups up to ``fold_limit``
+    Score order is confidence down (null last), then ``det_idx``. Groups up to ``fold_limit``
     boxes are folded in place; larger ones are settled by rounds over their
-    overlap pairs, with the same result.
+    overlap pairs, with the same result. A box without a finite area (flat, or with a null or
+    endless coordinate) overlaps none: it is kept and drops no other.
     """
     keys = list(keys)
     over = (
@@ -104,7 +105,7 @@ def nms(
         kept = kept.unionByName(_nms_rounds(df.join(over, keys, "left_semi"), iou, keys))
     if max_det is None:
         return kept
-    score = W.partitionBy(*keys).orderBy(F.col("confidence").desc(), "det_idx")
+    score = W.partitionBy(*keys).orderBy(_score(), "det_idx")
     top = max(max_det.values())
     return (
         kept.withColumn("__rank", F.row_number().over(score))
@@ -114,16 +115,20 @@ def nms(
     )
 
 
+def _score() -> Column:
+    """Ascending in score order; a null confidence comes last."""
+    return F.coalesce(-F.col("confidence").cast("double"), F.lit(float("inf")))
+
+
 def _nms_fold(
     df: DataFrame, iou: float, keys: list[str], limit: int, max_det: dict | None
 ) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     record = F.struct(
-        (-F.col("confidence")).alias("__score"), F.col("det_idx"),
-        *[c for c in rest if c != "det_idx"],
+        _score().alias("__score"), F.col("det_idx"), *[c for c in rest if c != "det_idx"]
     )
     # The row bound keeps an oversize group from being gathered at all: it goes to the rounds.
-    w = W.partitionBy(*keys).orderBy(F.col("confidence").desc(), "det_idx")
+    w = W.partitionBy(*keys).orderBy(_score(), "det_idx")
     few = df.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= limit + 1)
     grouped = (
         few.groupBy(*keys)
@@ -137,10 +142,13 @@ def _nms_fold(
 
 def _nms_rounds(df: DataFrame, iou: float, keys: list[str]) -> DataFrame:
     """Suppression over overlap pairs: each round keeps every box no open better box overlaps."""
-    score = F.struct((-F.col("confidence")).alias("s"), F.col("det_idx").alias("d"))
-    geometry = F.col("x2") > F.col("x1")
-    geometry = geometry & (F.col("y2") > F.col("y1"))
-    # Equal boxes always suppress each other, so only the best of each survives to the pairs.
+    if iou >= 1:
+        return df  # an overlap is never above the whole
+    score = F.struct(_score().alias("s"), F.col("det_idx").alias("d"))
+    finite = boxes.area(boxes.box()).cast("double") < F.lit(float("inf"))  # false if not a number
+    geometry = (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")) & finite
+    geometry = F.coalesce(geometry, F.lit(False))
+    # Below 1 equal boxes suppress each other, so only the best of each survives to the pairs.
     flat = df.filter(~geometry)
     unique = (
         df.filter(geometry)

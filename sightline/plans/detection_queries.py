@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import format_elapsed
 from ..operators import detections as det
 from ..operators import suppression as sup
+from ..settings import DETECTION
 from ..sources import records
 from ..sources.media import normalize_videos
 from .catalog import FRAME, big, query, r6, raw, sql_big, sql_r6, table, view
@@ -35,12 +36,12 @@ def _(spark, sf):
 @query(
     "read_detections",
     "SELECT l_orderkey % 8 AS video_id, l_partkey AS det_idx, round(0.3 + 7 * l_discount, 4) AS confidence "
-    "FROM lineitem WHERE l_linenumber = 7",
+    "FROM lineitem",
 )
 def _(spark, sf):
     schema = "l_orderkey BIGINT, l_partkey BIGINT, l_linenumber INT, l_discount DOUBLE"
     d = records.read_table(spark, f"{sf}/lineitem.parquet", schema)
-    return d.filter("l_linenumber = 7").select(
+    return d.select(
         (F.col("l_orderkey") % 8).alias("video_id"), F.col("l_partkey").alias("det_idx"),
         F.round(F.lit(0.3) + 7 * F.col("l_discount"), 4).alias("confidence"),
     )
@@ -244,18 +245,25 @@ BOX_STRUCT = "{'x1': d.x1, 'y1': d.y1, 'x2': d.x2, 'y2': d.y2, 'id': d.det_idx}"
 CLASH = """CAST(greatest(0, least(k.x2, d.x2) - greatest(k.x1, d.x1)) * greatest(0, least(k.y2, d.y2) - greatest(k.y1, d.y1)) AS DOUBLE)"""
 
 
-@query(
-    "nms",
-    f"""WITH RECURSIVE d AS (SELECT *, row_number() OVER (PARTITION BY video_id, frame_idx, model_type ORDER BY confidence DESC, det_idx) AS n FROM {D}),
+def _nms_sql(kept: str) -> str:
+    return f"""WITH RECURSIVE d AS (SELECT *, row_number() OVER (PARTITION BY video_id, frame_idx, model_type ORDER BY confidence DESC, det_idx) AS n FROM {D}),
     f AS (SELECT video_id, frame_idx, model_type, n, [{BOX_STRUCT}] AS kept FROM d WHERE n = 1
       UNION ALL SELECT d.video_id, d.frame_idx, d.model_type, d.n, CASE WHEN len(list_filter(f.kept, lambda k:
         {CLASH} > 0.45::DOUBLE * ((k.x2 - k.x1) * (k.y2 - k.y1) + (d.x2 - d.x1) * (d.y2 - d.y1) - {CLASH}))) > 0
         THEN f.kept ELSE list_append(f.kept, {BOX_STRUCT}) END
       FROM f JOIN d ON d.video_id = f.video_id AND d.frame_idx = f.frame_idx AND d.model_type = f.model_type AND d.n = f.n + 1),
     g AS (SELECT *, row_number() OVER (PARTITION BY video_id, frame_idx, model_type ORDER BY n DESC) AS last FROM f),
-    k AS (SELECT video_id, frame_idx, model_type, unnest(kept[1:CASE model_type WHEN 'player_model' THEN 50 ELSE 5 END]).id AS det_idx FROM g WHERE last = 1)
-    SELECT {S_ID}, model_type, confidence, {sql_big(*BOX)} FROM {D} SEMI JOIN k USING (video_id, frame_idx, model_type, det_idx)""",
-)
+    k AS (SELECT video_id, frame_idx, model_type, unnest({kept}).id AS det_idx FROM g WHERE last = 1)
+    SELECT {S_ID}, model_type, confidence, {sql_big(*BOX)} FROM {D} SEMI JOIN k USING (video_id, frame_idx, model_type, det_idx)"""
+
+
+@query("nms_capped", _nms_sql("kept[1:CASE model_type WHEN 'player_model' THEN 50 ELSE 5 END]"))
+def _(spark, sf):
+    d = sup.nms(table(spark, sf, "detections"), max_det=DETECTION.max_det)
+    return d.select(*ID, "model_type", "confidence", *big(*BOX))
+
+
+@query("nms", _nms_sql("kept"))
 def _(spark, sf):
     return sup.nms(table(spark, sf, "detections")).select(*ID, "model_type", "confidence", *big(*BOX))
 
@@ -265,7 +273,7 @@ IOU = """greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, lea
 
 @query(
     "iou_pairs",
-    f"""WITH d AS (SELECT * FROM {D}), p AS (SELECT a.video_id, a.frame_idx, a.model_type, a.det_idx AS det_idx_a, b.det_idx AS det_idx_b,
+    f"""WITH d AS MATERIALIZED (SELECT * FROM {D}), p AS (SELECT a.video_id, a.frame_idx, a.model_type, a.det_idx AS det_idx_a, b.det_idx AS det_idx_b,
     CAST({IOU} AS DOUBLE) AS i, (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS s
     FROM d a JOIN d b ON a.video_id = b.video_id AND a.frame_idx = b.frame_idx AND a.model_type = b.model_type AND a.det_idx < b.det_idx)
     SELECT video_id, frame_idx, model_type, det_idx_a, det_idx_b, round(i / (s - i), 6) AS iou FROM p WHERE i > 0.45::DOUBLE * (s - i)""",
@@ -277,7 +285,7 @@ def _(spark, sf):
 
 @query(
     "link_candidates",
-    f"""WITH d AS (SELECT * FROM {D}), p AS (SELECT a.video_id, a.model_type, a.frame_idx, a.det_idx, b.det_idx AS next_det_idx,
+    f"""WITH d AS MATERIALIZED (SELECT * FROM {D}), p AS (SELECT a.video_id, a.model_type, a.frame_idx, a.det_idx, b.det_idx AS next_det_idx,
     CAST({IOU} AS DOUBLE) AS i, (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS s
     FROM d a JOIN d b ON a.video_id = b.video_id AND a.frame_idx + 1 = b.frame_idx AND a.model_type = b.model_type),
     q AS (SELECT *, i / (s - i) AS iou FROM p WHERE i > 0.3::DOUBLE * (s - i)),

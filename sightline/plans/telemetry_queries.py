@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import frames as frm
 from ..operators import telemetry as tel
 from ..operators import training as trn
+from ..operators.support import shared_folder
+from ..sources import runs
 from ..sources.records import read_table
 from .catalog import big, query, r6, raw, sql_big, sql_r6, table, view
 
@@ -26,12 +30,12 @@ MS = ("last_ms", "avg_ms", "max_ms")
 
 @query(
     "read_stage_timings",
-    "SELECT event_id AS seq, user_id % 4 AS video_id, value AS duration_ms, ts FROM events WHERE event_type = 'view'",
+    "SELECT event_id AS seq, user_id % 4 AS video_id, value AS duration_ms, ts FROM events",
 )
 def _(spark, sf):
     schema = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE"
     d = read_table(spark, f"{sf}/events.parquet", schema)
-    return d.filter("event_type = 'view'").select(
+    return d.select(
         F.col("event_id").alias("seq"), (F.col("user_id") % 4).alias("video_id"),
         F.col("value").alias("duration_ms"), "ts",
     )
@@ -222,3 +226,43 @@ def _(spark, sf):
     return d.fillna(-1.0, ["remaining_s"]).select(
         "run_id", "line_no", "elapsed_s", "training_s", *r6("remaining_s")
     )
+
+
+@query(
+    "read_training_log",
+    """SELECT 'run=' || CAST(event_id // 1000 AS VARCHAR) AS run_id, CASE WHEN event_id % 5 > 0 THEN event_id ELSE -1 END AS line_no,
+    CASE WHEN event_id % 5 > 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS ts,
+    CASE WHEN event_id % 5 > 0 THEN event_type || chr(9) || props ELSE event_type || ' alone' END AS line,
+    CASE WHEN event_id % 5 > 0 THEN '' ELSE 'no record' END AS reason FROM events""",
+)
+def _(spark, sf):
+    """Records whose text holds a tab, and every fifth line without a number and a time."""
+    at = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    record = F.concat_ws("\t", F.col("event_id").cast("string"), at, "event_type", "props")
+    lines = raw(spark, sf, "events").select(
+        F.floor(F.col("event_id") / 1000).alias("run"),
+        F.when(F.col("event_id") % 5 > 0, record).otherwise(F.concat("event_type", F.lit(" alone"))).alias("value"),
+    )
+    folder = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    lines.repartition("run").write.partitionBy("run").text(folder)
+    good, bad = runs.read_training_log(spark, folder, pattern="*.txt")
+    good = good.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).withColumn("reason", F.lit(""))
+    bad = bad.withColumnRenamed("value", "line").withColumn("line_no", F.lit(-1).cast("bigint"))
+    return good.unionByName(bad, allowMissingColumns=True)
+
+
+@query(
+    "read_plain_log",
+    """SELECT 'run=' || CAST(event_id // 1000 AS VARCHAR) AS run_id, event_type || chr(9) || CAST(event_id AS VARCHAR) AS line,
+    row_number() OVER (PARTITION BY event_id // 1000 ORDER BY event_id) - 1 AS line_no FROM events""",
+)
+def _(spark, sf):
+    """A thousand lines a run, written in order."""
+    lines = raw(spark, sf, "events").select(
+        F.floor(F.col("event_id") / 1000).alias("run"), "event_id",
+        F.concat_ws("\t", "event_type", F.col("event_id").cast("string")).alias("value"),
+    )
+    folder = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    ordered = lines.repartition("run").sortWithinPartitions("run", "event_id")
+    ordered.select("run", "value").write.partitionBy("run").text(folder)
+    return runs.read_plain_log(spark, folder, pattern="*.txt").select("run_id", "line", "line_no")

@@ -100,6 +100,17 @@ def test_nms_paths_equal_brute_force(spark):
     assert sorted(r["det_idx"] for r in capped.collect()) == sorted(b[3] for b in first)
 
 
+@pytest.mark.parametrize("iou", [0.45, 1.0])
+def test_nms_paths_agree_on_odd_boxes(spark, iou):
+    data = _crowd(60, 4) + [(1, 1, "player_model", 900 + i, 5, 5, 60, 60, 0.5) for i in range(4)]
+    data += [(1, 1, "player_model", 910, None, 5, 60, 60, 0.9), (1, 1, "player_model", 911, 5, 5, 5, 60, 0.9)]
+    data += [(1, 1, "player_model", 912 + i, 300, 300, 400, 400, None) for i in range(2)]
+    df = spark.createDataFrame(data, BOXES)
+    fold, rounds = (sorted(r["det_idx"] for r in suppression.nms(df, iou, fold_limit=n).collect()) for n in (1024, 5))
+    assert fold == rounds and {910, 911, 912} <= set(fold)
+    assert (len(fold) == len(data)) == (iou == 1)
+
+
 @pytest.mark.parametrize("cell", [16, 1000])
 def test_iou_pairs_in_any_grid(spark, cell):
     data = _crowd(120, 5)

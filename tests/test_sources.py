@@ -134,14 +134,30 @@ def test_metric_stream(spark, tmp_path):
 def test_training_log(spark, tmp_path):
     (tmp_path / "r1").mkdir()
     text = "0\t2024-01-01 00:00:00\tscanning \"x\"\n1\t2024-01-01 00:00:09\t3/50  1.2G\n"
+    text += "2\t2024-01-01 00:00:10\tone\ttwo\tthree\n\nno record\nx\t2024-01-01 00:00:11\tno number\n3\tsoon\tno time\n"
     (tmp_path / "r1" / "train.log").write_text(text)
-    d = runs.read_training_log(spark, str(tmp_path))
-    got = parse_training_log(d).orderBy("line_no").collect()
+    d, bad = runs.read_training_log(spark, str(tmp_path))
+    assert d.filter("line_no = 2").first()["line"] == "one\ttwo\tthree"
+    assert sorted((r["reason"], r["value"][:2]) for r in bad.collect()) == [("no number", "x\t"), ("no record", "no"), ("no time", "3\t")]
+    got = parse_training_log(d.filter("line_no < 2")).orderBy("line_no").collect()
     assert [(r["run_id"], r["phase"], r["epoch"]) for r in got] == [
         ("r1", "preparing", 0), ("r1", "training", 3),
     ]
 
 
+def test_plain_log_over_many_blocks(spark, tmp_path):
+    for run in ("a/r1", "b/r1"):
+        (tmp_path / run).mkdir(parents=True)
+        (tmp_path / run / "train.log").write_text("".join(f"{run} {i}\n" for i in range(3000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        got = runs.read_plain_log(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(got) == 6000 and all(r["line"] == f"{r['run_id']} {r['line_no']}" for r in got)
+
+
 def test_results_sink(spark, tmp_path):
     d = spark.range(4).select(
         (F.col("id") % 2).alias("video_id"), F.col("id").alias("frame_idx"),
