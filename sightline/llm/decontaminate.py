@@ -9,12 +9,18 @@ embedded positions become candidates, and the passage around each is compared wi
 item by edit distance.
 
 Recall: two windows whose embeddings differ at a share h of the positions agree in one sample with
-probability (1 - h) ** SAMPLED, and a passage has windows x WALKS x SAMPLES tries. Measured on
-passages of this size: above 95 % with up to 5 % of the characters edited (see the tests).
+probability (1 - h) ** SAMPLED, and a passage has windows x WALKS x SAMPLES tries. That finds
+lightly edited passages; many edits spoil every window. So an item is also asked for over its whole
+length: seeds, runs of a few bytes from each of its places, are looked up in the document, and
+those that agree on where the item would begin, give or take the edits allowed, are counted; then
+shorter seeds are, around what is left. How many must agree is what ``recall`` of the passages with
+the most edits allowed still share in trials with random edits, half of the loss for each count.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,6 +38,13 @@ SAMPLES = 6
 SAMPLED = 10
 MAX_EDITS = 0.2  # share of an item's length
 SAME = 0.5  # share of equal embedded positions that a candidate needs
+RECALL = 0.98  # of passages with as many random edits as allowed that must become candidates by seeds
+SEEDS = (7, 6, 5, 4, 3)  # bytes of a seed, cheapest first
+FINE = 5  # bytes of the seeds that candidates are looked at by again
+AGREE = 4  # seeds that must agree, at least; else the next of SEEDS is taken
+TRIALS = 400
+SLICE = 1 << 19  # bytes of a block whose seeds are counted at a time
+SLOTS = 20  # bits of a seed's slot, and of a counter's
 ITEMS = 1000  # items sent to the tasks at a time
 SEED = 5
 
@@ -110,10 +123,127 @@ def edit_distance(item: bytes, text: bytes, most: int) -> tuple[int, int]:
     return best, end
 
 
+@lru_cache(1 << 12)
+def seeds_left(n: int, edits: int, size: int, recall: float) -> int:
+    """Seeds that ``recall`` of the passages of ``n`` bytes share with the item after random edits."""
+    rng = np.random.default_rng([SEED, n, edits])
+    spoiled = rng.random((TRIALS, n)).argsort(axis=1) < edits
+    whole = ~np.lib.stride_tricks.sliding_window_view(spoiled, size, axis=1).any(axis=2)
+    return int(np.sort(whole.sum(axis=1))[int((1 - recall) * TRIALS)])
+
+
+def codes(data: np.ndarray, size: int) -> np.ndarray:
+    """Each run of ``size`` bytes, up to 8, as one number."""
+    out, held, part, width = None, 0, data.astype(np.uint64), 1
+    while True:
+        if size & width:
+            out = part if out is None else out[: len(part) - held] << np.uint64(8 * width) | part[held:]
+            held += width
+        if 2 * width > size:
+            return out[: len(data) - size + 1]
+        part = part[:-width] << np.uint64(8 * width) | part[width:]
+        width *= 2
+
+
+class Seeds:
+    """Seeds of one size from every place of some items, and how many must agree for each item."""
+
+    def __init__(self, size: int, items: dict[int, bytes], most: dict[int, int], asked: dict[int, int], fine: dict[int, int]):
+        self.size = size
+        self.longest = max(len(items[k]) + most[k] for k in items)
+        slots = {k: self.slots(np.frombuffer(f, np.uint8)) for k, f in items.items()}
+        slot = np.concatenate(list(slots.values()))
+        order = np.argsort(slot, kind="stable")
+        self.first = np.searchsorted(slot[order], np.arange((1 << SLOTS) + 1)).astype(np.int32)
+        sizes = [len(s) for s in slots.values()]
+        self.item = np.repeat(np.array(list(items)), sizes)[order]
+        self.offset = np.concatenate([np.arange(n) for n in sizes])[order]
+        # Starts that differ by the edits allowed fall into one band or two neighbours.
+        n = max(items) + 1
+        self.shift, self.asked = np.zeros(n, np.int64), np.ones(n, np.int64)
+        for k in items:
+            self.shift[k], self.asked[k] = int(most[k]).bit_length(), asked[k]
+        self.fine = {}
+        for k, least in fine.items():
+            code = codes(np.frombuffer(items[k], np.uint8), FINE)
+            order = np.argsort(code, kind="stable")
+            self.fine[k] = (code[order], order, least, len(items[k]) + most[k], most[k])
+
+    def slots(self, data: np.ndarray) -> np.ndarray:
+        return (codes(data, self.size) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOTS)).astype(np.int64)
+
+    def search(self, data: np.ndarray, doc_starts: np.ndarray, doc_ends: np.ndarray):
+        """(document, item, least start, greatest start) of every two bands with seeds enough."""
+        mask = (1 << SLOTS) - 1
+        # A passage over the end of a slice lies within it whole.
+        for a in range(0, len(data), SLICE):
+            part = data[a : a + SLICE + self.longest]
+            if len(part) < self.size:
+                continue
+            slot = self.slots(part)
+            left = self.first[slot]
+            count = self.first[slot + 1] - left
+            hit = np.flatnonzero(count)
+            count = count[hit]
+            if not len(hit):
+                continue
+            end = np.cumsum(count)
+            seed = np.repeat(left[hit] - end + count, count) + np.arange(end[-1])
+            where = np.repeat(hit, count) + a
+            item = self.item[seed]
+            band = where - self.offset[seed] + self.longest >> self.shift[item]
+            # Counters are shared by chance, which only adds; what passes is counted again exactly.
+            key = item * np.int64(0x9E3779B1) + band & mask
+            total = np.bincount(key, minlength=mask + 1).astype(np.int32)
+            near = total[key] + np.maximum(total[key - 1 & mask], total[key + 1 & mask])
+            keep = np.flatnonzero(near >= self.asked[item])
+            if not len(keep):
+                continue
+            rows = np.stack([np.searchsorted(doc_ends, where[keep], "right"), item[keep], band[keep]])
+            rows, n = np.unique(rows, axis=1, return_counts=True)
+            after = np.r_[(rows[:2, 1:] == rows[:2, :-1]).all(axis=0) & (rows[2, 1:] == rows[2, :-1] + 1), False]
+            both = n + np.where(after, np.r_[n[1:], 0], 0)
+            d, i, b = rows[:, both >= self.asked[rows[1]]]
+            least, greatest = (b << self.shift[i]) - self.longest, (b + 2 << self.shift[i]) - self.longest
+            order = np.argsort(i, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(i[order])) + 1) if len(order) else ():
+                k = int(i[own[0]])
+                at, low, high = self._agree(k, data, doc_starts[d[own]], doc_ends[d[own]], least[own], greatest[own])
+                for x, *rest in sorted(set(zip(d[own[at]].tolist(), low.tolist(), high.tolist()))):
+                    yield x, k, *rest
+
+    def _agree(self, k: int, data: np.ndarray, starts, ends, least, greatest) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bands of an item in which as many short seeds as it asks for begin within the edits
+        allowed of each other, and the least and greatest start that do."""
+        if k not in self.fine:
+            return np.arange(len(least)), least, greatest
+        code, offset, asked, length, most = self.fine[k]
+        low, high = np.maximum(starts, least), np.minimum(ends, greatest + length)
+        size = np.maximum(high - low - FINE + 1, 0)
+        owner = np.repeat(np.arange(len(low)), size)
+        at = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + low[owner]
+        seen = np.zeros(len(at), np.uint64)
+        for j in range(FINE):
+            seen = seen << np.uint64(8) | data[at + j]
+        left = np.searchsorted(code, seen, "left")
+        hit = np.flatnonzero(code[np.minimum(left, len(code) - 1)] == seen)
+        count = np.searchsorted(code, seen[hit], "right") - left[hit]
+        place = offset[np.repeat(left[hit] - np.cumsum(count) + count, count) + np.arange(count.sum())]
+        start, owner = np.repeat(at[hit], count) - place, np.repeat(owner[hit], count)
+        inside = (start >= least[owner]) & (start < greatest[owner])
+        width = 2 << int(self.shift[k])
+        n = np.bincount(owner[inside] * width + (start - least[owner])[inside], minlength=len(low) * width).reshape(-1, width)
+        total = np.cumsum(np.pad(n, ((0, 0), (1, most))), axis=1)
+        enough = total[:, most + 1 :] - total[:, :-most - 1] >= asked  # starts from each on, as far as edits move them
+        at = np.flatnonzero(enough.any(axis=1))
+        enough = enough[at]
+        return at, least[at] + enough.argmax(axis=1), least[at] + width - 1 - enough[:, ::-1].argmax(axis=1) + most
+
+
 class Index:
-    """Windows of a set of items under all walks."""
+    """Windows of a set of items under all walks, and their seeds."""
 
-    def __init__(self, items: list[tuple[int, str]], max_edits: float = MAX_EDITS):
+    def __init__(self, items: list[tuple[int, str]], max_edits: float = MAX_EDITS, recall: float = RECALL):
         self.max_edits = max_edits
         folded = [(i, fold(t).strip(b" ")) for i, t in items]
         self.ids = [i for i, f in folded if f]
@@ -122,9 +252,24 @@ class Index:
         long = [k for k, f in enumerate(self.items) if len(f) >= SHORTEST]
         shortest = min((len(self.items[k]) for k in long), default=0)
         self.width = max(min(SHORTEST, shortest), min(LONGEST, int(WINDOW_SHARE * shortest)))
-        self.walks, self.tables = [], []
+        self.walks, self.tables, self.seeds = [], [], []
         if not long:
             return
+        most = {k: int(max_edits * len(self.items[k])) for k in long}
+        classes: dict[int, dict[int, int]] = {}
+        fine, each = {}, (1 + recall) / 2
+        for k in long:
+            n = len(self.items[k]) // 8 * 8  # trials serve items of nearly one length
+            for size in SEEDS:
+                asked = seeds_left(n, min(n, most[k]), size, each)
+                if asked >= AGREE:
+                    break
+            classes.setdefault(size, {})[k] = max(1, asked)
+            if size > FINE:
+                fine[k] = seeds_left(n, min(n, most[k]), FINE, each)
+        for size, asked in classes.items():
+            own = {k: self.items[k] for k in asked}
+            self.seeds.append(Seeds(size, own, most, asked, {k: fine[k] for k in own if k in fine}))
         block = Block(0, [self.items[k] for k in long])
         block.split()
         inside = block.starts + self.width <= block.doc_ends[block.word_doc] - 1
@@ -146,11 +291,11 @@ class Index:
         """(document in the block, item, edits, start, end in bytes) of every passage found."""
         data = _FOLD[block.data]
         found: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for d, i, at in self._candidates(block, data):
+        for d, i, least, greatest in self._candidates(block, data):
             item = self.items[i]
             most = int(self.max_edits * len(item))
             a, b = int(block.doc_starts[d]), int(block.doc_ends[d]) - 1
-            low, high = max(a, at - most), min(b, at + len(item) + most)
+            low, high = max(a, least - most), min(b, greatest + len(item) + most)
             known = found.get((d, i))
             if known and known[0] == 0:
                 continue
@@ -161,6 +306,13 @@ class Index:
         return [(d, self.ids[i], *rest) for (d, i), rest in sorted(found.items())]
 
     def _candidates(self, block: Block, data: np.ndarray):
+        """(document, item, least and greatest expected start): short items as they are, samples, seeds."""
+        for d, i, at in self._sampled(block, data):
+            yield d, i, at, at
+        for seeds in self.seeds:
+            yield from seeds.search(data, block.doc_starts, block.doc_ends)
+
+    def _sampled(self, block: Block, data: np.ndarray):
         """Distinct (document, item, expected place) by exact look-up of short items and by samples."""
         if self.short:
             for d in range(len(block)):

@@ -315,6 +315,32 @@ def test_leaks(spark, docs, none):
     assert decontaminate.find_leaks(frame, benchmark.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.1, 0.15, 0.2])
+def test_leaks_with_as_many_edits_as_count(share):
+    rng = random.Random(11)
+    prose = lambda k: " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randint(1, 9))) for _ in range(k))
+
+    def edited(text):
+        out = list(text)
+        for at in sorted(rng.sample(range(len(out)), int(share * len(out))), reverse=True):
+            out[at : at + 1] = rng.choice(["", rng.choice("etaoin "), rng.choice("etaoin ") + out[at]])
+        return "".join(out)
+
+    items = [(i, prose(words)) for i, words in enumerate([15, 20, 30, 40, 60] * 12)]
+    index = decontaminate.Index([*items, (90, "a short item of words")])
+    texts = [f"{prose(rng.randint(0, 40))} {edited(t)} {prose(20)}" for _ in range(3) for _, t in items]
+    found = {(b.first + d, i) for b in blocks(texts) for d, i, *_ in index.search(b)}
+    for k in range(5):
+        rows = range(k, len(texts), 5)
+        assert sum((d, d % 60) in found for d in rows) >= 0.97 * len(rows)
+
+
+def test_codes():
+    data = np.arange(97, 120, dtype=np.uint8)
+    for size in range(3, 9):
+        assert decontaminate.codes(data, size).tolist() == [int.from_bytes(bytes(data[i : i + size])) for i in range(24 - size)]
+
+
 def test_edit_distance():
     rng = random.Random(7)
     for _ in range(300):
