@@ -181,6 +181,16 @@ def test_network_finds_held_out_secrets(texts):
     assert accepted[labels].mean() > 0.9 and accepted[~labels].mean() < 0.1
 
 
+def test_thresholds_keep_the_recall(texts, monkeypatch):
+    seen = []
+    plain = secret_scan.recall_threshold
+    monkeypatch.setattr(secret_scan, "recall_threshold", lambda s, y, r: seen.append((s, y)) or plain(s, y, r))
+    model = secret_scan.train([t or "" for t in texts], rows=200, seed=3)  # few rows: the classes part badly
+    assert min(model.thresholds) < 0.5
+    for (scores, labels), threshold in zip(seen, model.thresholds):
+        assert (scores[labels > 0] >= threshold).mean() >= secret_scan.RECALL
+
+
 # --- quality classifier
 
 
