@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sightline.llm import (
-    bpe, chat, chunk_cache, decontaminate, line_dedup, pfor, quality_knn, quality_rules, secret_scan, shingle_join,
+    bpe, char_cnn, chat, chunk_cache, decontaminate, line_dedup, pfor, quality_knn, quality_rules, secret_scan, shingle_join,
     suffix_dedup, token_files,
 )
 from sightline.llm.words import blocks
@@ -191,6 +191,24 @@ def test_thresholds_keep_the_recall(texts, monkeypatch):
         assert (scores[labels > 0] >= threshold).mean() >= secret_scan.RECALL
 
 
+def test_long_runs_are_read_to_their_end(texts):
+    before, inside, after = "b" * 16, "".join(chr(65 + i % 26) for i in range(100)), "a" * 16
+    for n in (40, 41, 59, 60, 61, 100):
+        got = list(char_cnn.pieces(before, inside[:n], after))
+        text = before + inside[:n] + after
+        assert all(len(h) == len(t) == 16 and h + i + t in text for h, i, t in got)
+        assert got[0][1] == inside[: min(n, 40)] and (got[-1][1] + got[-1][2]) == (inside[:n] + after)[-56:]
+    assert list(char_cnn.pieces("b", "c", "a")) == [("b", "c", "a")]
+    model = secret_scan.train([t or "" for t in texts], seed=3)
+    rng = np.random.default_rng(5)
+    head = "market/river/walking/stones/gardens/letters/winter/people/houses/rivers/"
+    secrets = ["".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), 30)) for _ in range(50)]
+    runs = [("some text with ", (head * 2)[-70:] + s, " and more") for s in secrets]
+    plain = ("some text with ", (head * 2)[-100:], " and more")
+    accepted = model.accepts([*runs, plain], model.score([*runs, plain]))
+    assert {len(r[1]) for r in runs} == {100} and sum(accepted[:-1]) >= 45 and not accepted[-1]
+
+
 # --- quality classifier
 
 
