@@ -45,7 +45,7 @@ def as_replies(turns: DataFrame, conv: str = "conv_id", turn: str = "turn") -> D
     return numbered.select("tree_id", "message_id", parent.alias("parent_id"), "role", "text", F.lit(0.0).alias("score"))
 
 
-def best_paths(messages: DataFrame, per_tree: int = 1, max_depth: int = 1 << 20) -> DataFrame:
+def best_paths(messages: DataFrame, per_tree: int = 1, max_depth: int | None = None) -> DataFrame:
     """The messages of the ``per_tree`` best root-to-leaf paths of each tree.
 
     ``messages``: tree_id, message_id, parent_id, role, text, score. Adds ``branch`` (1: best) and
@@ -53,6 +53,7 @@ def best_paths(messages: DataFrame, per_tree: int = 1, max_depth: int = 1 << 20)
     to the longer path, then the smaller leaf id. A parent that is null or absent makes a message
     a root. Messages with a null id, or on a cycle, hang on no root and are left out; of rows with
     one id in a tree the least by role and text counts. A null tree_id is a tree of its own.
+    A path of more than ``max_depth`` messages is an error; by default there is no limit.
     """
     # Structs compare null-safely in joins and groupings.
     node = lambda m: F.struct(F.col("tree_id"), F.col(m))
@@ -69,7 +70,9 @@ def best_paths(messages: DataFrame, per_tree: int = 1, max_depth: int = 1 << 20)
     step = cut_lineage(links.select("node", F.when(F.col("there"), F.col("up")).alias("up"), "score", F.lit(1).cast("long").alias("length")))
     # Each round: a pointer spans twice as far; score and length cover the messages it passes.
     jumps = [step.select("node", "up").where("up IS NOT NULL")]
-    while jumps[-1].limit(1).count() and 1 << len(jumps) <= max_depth:
+    # Pointers that span more messages than there are go round a cycle.
+    rounds = base.count().bit_length()
+    while len(jumps) <= rounds and jumps[-1].limit(1).count():
         far = step.select(F.col("node").alias("up"), F.col("up").alias("__up"), F.col("score").alias("__s"), F.col("length").alias("__l"))
         # Messages whose pointer has come to the root wait as they are; the others alone are joined.
         moved = step.where("up IS NOT NULL").join(far, "up").select(
@@ -77,6 +80,8 @@ def best_paths(messages: DataFrame, per_tree: int = 1, max_depth: int = 1 << 20)
         )
         step = cut_lineage(step.where("up IS NULL").union(moved))
         jumps.append(step.select("node", "up").where("up IS NOT NULL"))
+    if max_depth is not None and step.where((F.col("up").isNull()) & (F.col("length") > max_depth)).limit(1).count():
+        raise ValueError(f"a path has more than {max_depth} messages")
     parents = jumps[0].select(F.col("up").alias("node")).distinct()
     leaves = step.where("up IS NULL").join(parents, "node", "left_anti")
     rank = W.partitionBy("node.tree_id").orderBy(

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import inspect
 import random
 import re
 import zlib
@@ -151,6 +152,16 @@ def test_reply_tree_branches(spark):
     assert [r["message_id"] for r in path] == list(range(150)) and [r["position"] for r in path] == list(range(150))
 
 
+def test_no_path_is_lost(spark):
+    chain = spark.range(40).selectExpr("1L tree_id", "id message_id", "nullif(id, 0) - 1 parent_id", "'user' role", "'t' text", "0D score")
+    cycle = spark.range(3).selectExpr("2L tree_id", "id message_id", "(id + 1) % 3 parent_id", "'user' role", "'t' text", "0D score")
+    for depth in (None, 40):
+        assert [(r["tree_id"], r["position"]) for r in chat.best_paths(chain.union(cycle), max_depth=depth).orderBy("position").collect()] == [(1, n) for n in range(40)]
+    with pytest.raises(ValueError):
+        chat.best_paths(chain, max_depth=8)  # was: the whole tree left out
+    assert inspect.signature(chat.best_paths).parameters["max_depth"].default is None
+
+
 # --- secrets
 
 
