@@ -5,10 +5,11 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sightline.llm import bpe, decontaminate, line_dedup, quality_rules, shingle_join
-from sightline.operators.support import shared_folder
+from sightline.operators.support import cut_lineage, shared_folder
 from sightline.plans import ship_package
 
 
@@ -25,11 +26,27 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the group's least id."""
+    """One row of each group of near copies: that with the group's least id (null first).
+
+    Rows are judged by id and text, so rows that share an id do not share a fate. Of rows equal in
+    both the least by the other columns stays. Texts without words are copies of nothing and stay.
+    """
     ship_package(spark)
-    # A null id is the least of its group, and its own row says so with a null component.
-    copies = shingle_join.near_duplicates(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    return docs.join(copies.distinct(), "doc_id", "left_anti").select(*docs.columns)
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+    found = shingle_join.near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text")).where("n_shingles > 0")
+    rows = found.groupBy(F.col("doc_id").alias("__key")).agg(F.min("component_id").alias("group"), F.count("*").alias("n"))
+    ids = keyed.select("__key", "doc_id").distinct()
+    rows = cut_lineage(rows.join(ids, "__key").withColumn("rank", F.struct("doc_id", "__key")).drop("doc_id"))
+    least = rows.groupBy("group").agg(F.min("rank").alias("least"))
+    judged = cut_lineage(rows.join(least, "group").select("__key", "n", (F.col("rank.__key") == F.col("least.__key")).alias("kept")))
+    out = keyed.join(judged.where("NOT kept OR n > 1").select("__key"), "__key", "left_anti")
+    repeated = judged.where("kept AND n > 1").select("__key")
+    if repeated.limit(1).count():
+        order = W.partitionBy("__key").orderBy(*(F.col(c).asc_nulls_first() for c in docs.columns if c not in ("doc_id", "text")), "__key")
+        again = keyed.join(repeated, "__key", "left_semi")
+        again = again.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+        out = out.unionByName(again)
+    return out.select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,5 +29,21 @@ def test_stages(spark):
         docs = out
 
 
+def test_near_copies_by_row(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    data = [
+        (1, a, "p"), (2, a + " end", "p"), (2, b, "p"),  # an id that clashes: one row a copy, the other clean
+        (3, c, "q"), (3, c, "p"), (3, c, "p"), (4, c + " end", "p"),  # repeated rows
+        (None, d, "p"), (None, d + " end", "p"), (None, d, "p"), (9, d, "p"),  # near copies without an id
+        (None, " ".join(f"e{i}" for i in range(30)), "p"), (None, "", "p"), (5, None, "p"), (5, None, "p"),
+    ]
+    frame = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(3)
+    stage = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"]
+    got = sorted(((r["doc_id"], r["text"], r["source"]) for r in stage(spark, frame, SF).collect()), key=str)
+    of_d = [r for r in got if r[1] and r[1].startswith("d0")]
+    assert len(of_d) == 1 and of_d[0] in [(None, d, "p"), (None, d + " end", "p")]
+    assert [r for r in got if r not in of_d] == sorted([data[0], data[2], (3, c, "p"), *data[11:]], key=str)
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "ids", "n_tokens", "exact"]
