@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sightline.operators.identity import fuse_jerseys
 from sightline.operators.tracking import TRACKED, track_objects
+from sightline.plans import load_catalog
 from sightline.plans.catalog import table
 from sightline.streaming.frames import detection_stream, stage_windows, track_sessions
 from sightline.streaming.identity import fuse_jerseys_stream
@@ -65,6 +66,19 @@ def test_tracking_stream_equals_batch(spark, tmp_path, files):
     assert rows(out, columns) == rows(track_objects(d, segment_frames=10**6), columns)
 
 
+def test_stream_queries_hand_on_every_row(spark):
+    queries = load_catalog().QUERIES
+    got = queries["stream_track_objects"](spark, SF_DIR)
+    d = table(spark, SF_DIR, "tracks").withColumn("det_idx", F.col("seq"))
+    columns = [c.split()[0] for c in TRACKED.split(", ")]
+    assert rows(got, columns) == rows(track_objects(d, segment_frames=10**6), columns)
+    out = queries["stream_fuse_jerseys"](spark, SF_DIR)
+    newest = out.groupBy("video_id", "track_id").agg(F.max("batch_id").alias("batch_id"))
+    columns = ["video_id", "track_id", "jersey_number", F.round("probability", 9), "last_seen_frame"]
+    want = fuse_jerseys(table(spark, SF_DIR, "measurements"))
+    assert rows(out.join(newest, ["video_id", "track_id", "batch_id"]), columns) == rows(want, columns)
+
+
 def test_batch_windows_and_sessions(spark):
     t = table(spark, SF_DIR, "stage_timings").withColumn("ts", F.col("ts").cast("timestamp"))
     assert stage_windows(t, "1 day").agg(F.sum("samples")).first()[0] == t.count()
