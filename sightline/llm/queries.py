@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.support import cut_lineage, shared_folder
-from . import bpe, chat, decontaminate, line_dedup, quality_knn, quality_rules, secret_scan, shingle_join, suffix_dedup, token_files
+from . import bpe, chat, decontaminate, line_dedup, merkle, quality_knn, quality_rules, secret_scan, shingle_join, suffix_dedup, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -142,3 +142,10 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, compression ratios and verdict of every document."""
     return quality_rules.judge_quality(documents(spark, sf_dir))
+
+
+@query("op13_merkle_manifest", merkle.oracle("documents"))
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and whether it still folds to the root once tampered with."""
+    docs = documents(spark, sf_dir)
+    return merkle.manifest(docs, merkle.tampered_text(docs))
