@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.support import cut_lineage, shared_folder
-from . import bpe, chat, decontaminate, line_dedup, merkle, quality_knn, quality_rules, secret_scan, shingle_join, suffix_dedup, token_files
+from . import bpe, chat, decontaminate, line_dedup, merkle, quality_knn, quality_rules, secret_scan, sentence_pieces, shingle_join, suffix_dedup, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -144,6 +144,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_quality(documents(spark, sf_dir))
 
 
+@query("op12_sentence_pieces")
+def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, the text they decode to, and how many of its bytes their spans cover."""
+    both = sentence_pieces.encode(documents(spark, sf_dir), decoded=True)
+    size = F.zip_with("ends", "starts", lambda end, start: (end - start).cast("long"))
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+        F.aggregate(size, F.lit(0).cast("long"), lambda a, b: a + b).alias("n_covered"),
+    )
+
+
 @query("op13_merkle_manifest", merkle.oracle("documents"))
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, roots and proof of every document, and whether it still folds to the root once tampered with."""
