@@ -45,6 +45,8 @@ def normal(df: pd.DataFrame) -> pd.DataFrame:
     for c in df.columns:
         if str(df[c].dtype).startswith("datetime"):
             df[c] = df[c].astype("datetime64[us]")
+        if str(df[c].dtype) == "Int64" and df[c].isna().any():
+            df[c] = df[c].astype("float64")  # as Spark returns whole numbers among nulls
     rows = df.astype(object).where(df.notna(), None)
     order = rows.astype(str).sort_values(list(rows.columns)).index
     return df.loc[order].reset_index(drop=True)
