@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.support import cut_lineage, shared_folder
-from . import bpe, chat, decontaminate, line_dedup, merkle, quality_knn, quality_rules, secret_scan, sentence_pieces, shingle_join, suffix_dedup, token_files
+from . import bpe, chat, decontaminate, line_dedup, merkle, quality_knn, quality_rules, secret_scan, sentence_pieces, shingle_join, spelling, suffix_dedup, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -144,6 +144,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_quality(documents(spark, sf_dir))
 
 
+@query("op11_spelling_variants", spelling.oracle("documents"))
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word with the more frequent word that it is a variant of, one letter apart."""
+    return spelling.variants(documents(spark, sf_dir))
+
+
 @query("op12_sentence_pieces")
 def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every document, the text they decode to, and how many of its bytes their spans cover."""
