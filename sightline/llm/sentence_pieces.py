@@ -18,6 +18,7 @@ import re
 import struct
 from collections.abc import Iterator
 from itertools import accumulate, chain, islice, repeat
+from operator import add
 
 import numpy as np
 import public_tokenizers
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from .arrow import map_texts
 
 MODEL = "piece_bpe_32k.model"
-MAX_CHUNKS = 600_000  # chunks remembered in every worker process, some 0.3 KB each
+MAX_CHUNKS = 450_000  # chunks remembered in every worker process, some 0.3 KB each
 LONG = 64  # characters of a chunk worth remembering
 SPACE = "▁"
 
@@ -148,6 +149,7 @@ class Pieces:
         order = {s: r for r, s in enumerate(sorted(set(score.values()), reverse=True))}
         self.rank = {self.names[i]: order[score[i]] for i in normal}
         self.unknown = self.kinds.index(UNKNOWN)
+        self.controls = {i for i, k in enumerate(self.kinds) if k == CONTROL}
         self.byte_ids = None
         if trainer.get(BYTE_FALLBACK):
             at = {self.names[i]: i for i, k in enumerate(self.kinds) if k == BYTE}
@@ -266,15 +268,18 @@ class Pieces:
     def _merge_short(self, text: str) -> list[str]:
         rank, none = self.rank.get, len(self.rank)
         parts = list(text)
-        ranks = [rank(text[i : i + 2], none) for i in range(len(text) - 1)]
-        while ranks and (best := min(ranks)) < none:
+        ranks = list(map(rank, map(add, text, text[1:]), repeat(none)))
+        while ranks:
+            best = min(ranks)
+            if best == none:
+                break
             i = ranks.index(best)
-            joined = parts[i] = parts[i] + parts.pop(i + 1)
             del ranks[i]
+            parts[i] += parts.pop(i + 1)
             if i:
-                ranks[i - 1] = rank(parts[i - 1] + joined, none)
+                ranks[i - 1] = rank(parts[i - 1] + parts[i], none)
             if i < len(ranks):
-                ranks[i] = rank(joined + parts[i + 1], none)
+                ranks[i] = rank(parts[i] + parts[i + 1], none)
         return parts
 
     def _merge(self, text: str) -> list[str]:
@@ -302,57 +307,62 @@ class Pieces:
                 heapq.heappush(heap, (r, h, size + len(parts[h])))
         return [p for p in parts if p is not None]
 
-    def encode(self, chunk: str, first: bool = True, last: bool = True) -> tuple[list[int], list[int], list[int]]:
-        """Ids of a chunk, and where each one's bytes begin and end in it.
+    def encode(self, chunk: str, first: bool = True, last: bool = True) -> tuple[list[int], list[int], int]:
+        """Ids of a chunk, where each one's bytes end in it, and where the first one's begin.
 
-        Of an unknown character's bytes the last one has its span and the others are empty, as in
-        the defining library.
+        Each piece begins where the one before it ends. Of an unknown character's bytes the last
+        one has its span and the others are empty, as in the defining library.
         """
-        text, places = self.normalize(chunk, first, last)
+        if self.map or self.trim or not chunk:
+            text, places = self.normalize(chunk, first, last)
+        else:
+            text, places = (SPACE if first and self.dummy_prefix else "") + chunk.replace(" ", SPACE), None
         if not text:
-            return [], [], []
+            return [], [], 0
         pieces = self.merge(text)
-        ends = [places[k] for k in accumulate(map(len, pieces))]
-        starts = [places[0], *ends[:-1]]
         ids = list(map(self.ids.get, pieces))
-        return (ids, starts, ends) if None not in ids else self._with_unknown(pieces, ids, starts, ends)
+        ends = list(accumulate(map(len, pieces)))
+        if places is None and len(text) == len(chunk) and chunk.isascii():
+            places = ends and [0]  # as many bytes as characters
+        else:
+            places = places or self.normalize(chunk, first, last)[1]
+            ends = [places[k] for k in ends]
+        if None in ids:
+            ids, ends = self._with_unknown(pieces, ids, ends, places[0])
+        return ids, ends, places[0]
 
-    def _with_unknown(self, pieces: list[str], ids: list, starts: list[int], ends: list[int]):
+    def _with_unknown(self, pieces: list[str], ids: list, ends: list[int], begin: int) -> tuple[list[int], list[int]]:
         """Bytes of unknown characters, or one unknown id for each run of them."""
-        rows, unknown = [], False
-        for piece, known, a, b in zip(pieces, ids, starts, ends):
+        out, places, unknown = [], [], False
+        for piece, known, end in zip(pieces, ids, ends):
             if known is None and self.byte_ids:
                 blob = piece.encode()
-                rows += [(self.byte_ids[x], a, a) for x in blob[:-1]]
-                rows.append((self.byte_ids[blob[-1]], a, b))
+                out += [self.byte_ids[x] for x in blob]
+                places += [places[-1] if places else begin] * (len(blob) - 1) + [end]
             elif known is None and unknown:
-                rows[-1] = (*rows[-1][:2], b)
+                places[-1] = end
             else:
-                rows.append((self.unknown if known is None else known, a, b))
+                out.append(self.unknown if known is None else known)
+                places.append(end)
             unknown = known is None
-        return tuple(map(list, zip(*rows)))
+        return out, places
 
     def decode(self, ids) -> str:
         """Text of ids; ids that are no piece add nothing, and bytes join no farther than to a control id."""
-        size, surface, runs, head, skipped = len(self.surface), self.surface, [[]], b"", 0
-        for i in ids:
-            if i is not None and 0 <= i < size:
-                runs[-1].append(i)
-                if self.kinds[i] == CONTROL:
-                    runs.append([])
-        first = [i for i in chain.from_iterable(runs) if self.kinds[i] != CONTROL][:1] if not self.trim else chain.from_iterable(runs)
+        kinds, size = self.kinds, len(self.kinds)
+        ids = [i for i in ids if i is not None and 0 <= i < size]
+        controls = [k for k, i in enumerate(ids) if kinds[i] == CONTROL] if not self.controls.isdisjoint(ids) else []
+        runs = [ids[a:b] for a, b in zip([0, *(k + 1 for k in controls)], [*controls, len(ids)])]
         drop = 0
         if self.dummy_prefix or self.trim:  # the space mark of the beginning is no part of the text
-            for i in first:
-                if self.kinds[i] == CONTROL:
-                    continue
-                if self.kinds[i] != NORMAL or not self.names[i].startswith(SPACE):
+            for i in chain.from_iterable(runs):
+                if kinds[i] != NORMAL or not self.names[i].startswith(SPACE):
                     break
                 drop += 1
                 if len(self.names[i]) > 1 or not self.trim:
                     break
-        text = "".join(_as_text(b"".join(map(surface.__getitem__, run))) for run in runs)
-        return text[drop:]
+        surface = self.surface.__getitem__
+        return "".join(_as_text(b"".join(map(surface, run))) for run in runs)[drop:]
 
 
 def _as_text(blob: bytes) -> str:
@@ -411,39 +421,45 @@ class Memo:
         self.pieces, self.limit = pieces, limit
         self.first, self.inner = _Known(self.add, True), _Known(self.add, False)
         self.count, self.new = 0, []
-        self.chunks = Rows(3, np.int64)  # where a chunk's ids end, how many, and its bytes
-        self.flat = Rows(3, np.int32)  # id, start, end
+        self.chunks = Rows(4, np.int64)  # where a chunk's ids end, how many, its bytes, and where they begin
+        self.flat = Rows(2, np.int32)  # id, and where its bytes end
 
     def add(self, chunk: str, first: bool) -> int:
-        self.new.append((*self.pieces.encode(chunk, first, False), len(chunk.encode())))
+        ids, ends, begin = self.pieces.encode(chunk, first, False)
+        self.new.append((ids, ends, begin, len(chunk.encode())))
         self.count += 1
         return self.count - 1
 
     def _settle(self) -> None:
-        sizes = np.array([len(new[0]) for new in self.new], np.int64)
-        lengths = np.array([new[3] for new in self.new], np.int64)
-        self.chunks.extend(np.stack([self.flat.size + np.cumsum(sizes), sizes, lengths], 1))
-        self.flat.extend(np.stack([np.fromiter(chain.from_iterable(new[k] for new in self.new), np.int32) for k in range(3)], 1))
+        ids, ends, begins, lengths = zip(*self.new)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.chunks.extend(np.stack([self.flat.size + np.cumsum(sizes), sizes, lengths, begins], 1))
+        total = int(sizes.sum())
+        self.flat.extend(np.stack([np.fromiter(chain.from_iterable(x), np.int32, total) for x in (ids, ends)], 1))
         self.new = []
 
     def encode(self, text: str) -> np.ndarray:
         """Rows of id, start and end of a text."""
         parts = self.pieces.chunks(text)
         tail = parts.pop() if self.pieces.trim else None  # the end of a text may be trimmed
-        rows, where = np.zeros((0, 3), np.int32), 0
+        rows, begin, where = np.zeros((0, 2), np.int32), 0, 0
         if parts:
             inner = self.inner.__getitem__
             numbers = np.fromiter(chain((self.first[parts[0]],), map(inner, islice(parts, 1, None))), np.int64, len(parts))
             if self.new:
                 self._settle()
-            ends, sizes, lengths = self.chunks.data[numbers].T
+            ends, sizes, lengths, begins = self.chunks.data[numbers].T
             upto, after = np.cumsum(sizes), np.cumsum(lengths)
             rows = self.flat.data[np.repeat(ends - upto, sizes) + np.arange(upto[-1])]
-            rows[:, 1:] += np.repeat(after - lengths, sizes).astype(np.int32)[:, None]
-            where = int(after[-1])
+            rows[:, 1] += np.repeat(after - lengths, sizes).astype(np.int32)
+            begin, where = int(begins[0]), int(after[-1])
         if tail is not None:
-            more = np.array(self.pieces.encode(tail, not parts, True), np.int32).T
-            rows = np.concatenate([rows, more + np.array([0, where, where], np.int32)])
+            ids, ends, first = self.pieces.encode(tail, not parts, True)
+            begin = begin if parts else first
+            rows = np.concatenate([rows, np.array([ids, ends], np.int32).T + np.array([0, where], np.int32)])
+        starts = np.empty(len(rows), np.int32)
+        starts[:1], starts[1:] = begin, rows[:-1, 1]
+        rows = np.stack([rows[:, 0], starts, rows[:, 1]], 1)
         if self.count > self.limit or self.flat.size > 8 * self.limit:
             self.forget()
         return rows
