@@ -190,6 +190,79 @@ def test_tracker_follows_and_stitches(spark):
     assert len(pairs) == 6
 
 
+def _crowd(seed, videos=2, frames=160, looks=False):
+    """People who cross, vanish and come back, in videos with a gap."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for v in range(videos):
+        at, step = rng.uniform(0, 250, (8, 2)), rng.normal(0, 4, (8, 2))
+        faces = np.eye(8)
+        for f in range(-20, frames):
+            at = at + step + rng.normal(0, 1.5, at.shape)
+            if 70 <= f < 78:
+                continue
+            for p in np.flatnonzero(rng.random(8) < 0.85):
+                x, y = (float(round(a)) for a in at[p])
+                row = (v, f, len(out), x, y, x + 40, y + 60, "ball" if p == 0 else "player", 0.9)
+                out.append((*row, (faces[p] + rng.normal(0, 0.15, 8)).tolist()) if looks else row)
+    return out
+
+
+def _one_pass(rows, s):
+    """The tracker as its description states it, a frame at a time."""
+    out, by_video = {}, {}
+    for r in sorted(rows, key=lambda r: r[:3]):
+        by_video.setdefault(r[0], {}).setdefault(r[1], []).append(r)
+
+    def iou(a, b):
+        w, h = (max(0.0, min(a[k + 2], b[k + 2]) - max(a[k], b[k])) for k in (0, 1))
+        size = lambda z: (z[2] - z[0]) * (z[3] - z[1])
+        return w * h / (size(a) + size(b) - w * h)
+
+    for frames in by_video.values():
+        live, born = [], 0
+        for f, dets in sorted(frames.items()):
+            live = [t for t in live if f - t["last"] - 1 <= (s.max_age if t["hits"] >= s.n_init else 0)]
+            pairs = sorted(
+                (1 - iou(t["box"], d[3:7]), i, j) for i, t in enumerate(live) for j, d in enumerate(dets) if t["class"] == d[7]
+            )
+            owner = {}
+            for cost, i, j in pairs:
+                if cost <= s.max_iou_distance and j not in owner and live[i] not in owner.values():
+                    owner[j] = live[i]
+            seen = []
+            for j, d in enumerate(dets):
+                t = owner.get(j)
+                if t is None:
+                    born += 1
+                    t = {"id": born, "hits": 0, "class": d[7]}
+                t |= {"box": d[3:7], "last": f, "hits": t["hits"] + 1}
+                seen.append(t)
+                out[d[:3]] = (t["id"], t["hits"] >= s.n_init)
+            live = [t for t in live if t["last"] != f and t["hits"] >= s.n_init] + seen
+    return out
+
+
+def test_tracks_do_not_depend_on_segments(spark):
+    rows, s = _crowd(1), TrackDefaults(max_age=9, n_init=3)
+    want = _one_pass(rows, s)
+    df = spark.createDataFrame(rows, TRACKED).repartition(3)
+    for frames, overlap in ((10**6, 0), (40, 20), (25, 0), (7, 3)):
+        got = tracking.track_objects(df, s, segment_frames=frames, overlap=overlap).collect()
+        assert {(r.video_id, r.frame_idx, r.det_idx): (r.track_id, r.confirmed) for r in got} == want, (frames, overlap)
+        assert len(got) == len(rows)
+
+
+def test_tracks_by_looks_do_not_depend_on_segments(spark):
+    df = spark.createDataFrame(_crowd(2, 1, 90, True), TRACKED + ", embedding array<double>")
+    one = tracking.track_objects(df, segment_frames=10**6)
+    assert one.select("track_id").distinct().count() < one.count() / 20
+    for frames, overlap in ((30, 10), (11, 2)):
+        cut = tracking.track_objects(df, segment_frames=frames, overlap=overlap)
+        assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, one.collect()))
+    assert tracking.track_objects(df.limit(0)).count() == 0
+
+
 def test_tracker_life_cycle():
     s = TrackDefaults(max_age=3, n_init=3)
     box = np.array([[0.0, 0.0, 10.0, 10.0]])
