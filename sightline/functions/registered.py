@@ -36,19 +36,28 @@ class _TrackObjects:
 
 
 class _FuseJerseys:
-    """One partition is one track; rows carry ``weight``, confidence × spatial weight."""
+    """One partition is one track; rows carry ``weight``, confidence × spatial weight. Readings are
+    taken a block at a time."""
 
     def __init__(self):
-        self.state, self.track = JerseyFusion(), None
+        self.state, self.track, self.rows = JerseyFusion(), None, []
+
+    def _flush(self):
+        if self.rows:
+            self.state.take(*zip(*self.rows))
+        self.rows = []
 
     def eval(self, row):
         self.track = row["track_id"]
         if row["jersey_number"] is not None:
-            self.state.add(row["frame_idx"], row["jersey_number"], row["weight"])
+            self.rows.append((row["frame_idx"], row["jersey_number"], row["weight"]))
+        if len(self.rows) >= JerseyFusion.BLOCK:
+            self._flush()
 
     def terminate(self):
-        for number, (p, seen, _count) in self.state.probabilities.items():
-            yield self.track, number, float(p), int(seen)
+        self._flush()
+        for number, (p, seen, _count) in self.state.live.items():
+            yield self.track, number, p, seen
 
 
 def register_functions(spark: SparkSession) -> None:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -244,44 +244,63 @@ def jersey_stats(
 
 
 class JerseyFusion:
-    """State of one track: its newest readings and the probability of each number."""
+    """Running fusion of one track's readings: those of the window and the live numbers.
 
-    def __init__(self, settings: JerseyDefaults = JERSEY, readings=(), probabilities=None):
-        self.settings = settings
-        self.readings = deque(readings, maxlen=settings.window)
-        # number → [probability, frame last seen, readings in the window]
-        self.probabilities: dict[str, list] = dict(probabilities or {})
+    ``window`` lists the newest readings (number, weight), oldest first; ``live`` maps a number to
+    its probability, the frame it was last in the window, and its readings there at that time.
+    """
+
+    BLOCK = 512  # readings taken at once
+
+    def __init__(self, settings: JerseyDefaults = JERSEY, window=(), live=None):
+        self.settings, self.window, self.live = settings, list(window), dict(live or {})
 
-    def add(self, frame: int, number: str, weight: float) -> None:
-        """Take one reading; ``weight`` is confidence × spatial weight."""
+    def take(self, frames, numbers, weights) -> None:
+        """Take readings in order; a weight is confidence × spatial weight."""
+        for k in range(0, len(frames), self.BLOCK):
+            at = slice(k, k + self.BLOCK)
+            self._block(np.asarray(frames[at], np.int64), list(numbers[at]), np.asarray(weights[at], float))
+
+    def _block(self, frames: np.ndarray, numbers: list[str], weights: np.ndarray) -> None:
+        s = self.settings
+        held = self.window[len(self.window) - s.window + 1 :] if len(self.window) >= s.window else self.window
+        names = list(dict.fromkeys([*self.live, *(n for n, _ in held), *numbers]))
+        place = {n: k for k, n in enumerate(names)}
+        codes = np.array([place[n] for n in (*(n for n, _ in held), *numbers)])
+        shares, counts = self._shares(codes, np.r_[[w for _, w in held], weights], len(held), len(names))
+        self.window = [*held, *zip(numbers, weights.tolist())][-s.window :]
+
+        start = [self.live.get(n, (0.0, 0, 0)) for n in names]
+        p, seen, count = (np.array(x, t) for x, t in zip(zip(*start), (float, np.int64, np.int64)))
+        alive = np.array([n in self.live for n in names])
+        for frame, share, times in zip(frames, shares, counts):
+            fresh = (times > 0) & ~np.isnan(share)
+            p = np.where(fresh, np.where(alive, p + s.smoothing * (share - p), share), p)
+            seen, count, alive = np.where(fresh, frame, seen), np.where(fresh, times, count), alive | fresh
+            gone = frame - seen
+            p = p * np.where(alive & (gone > 0), s.decay**gone, 1.0)
+            alive &= (gone <= 0) | (p >= s.min_probability)
+            p = np.where(alive, p, 0.0)
+            p = p / (p.sum() or 1.0)
+        kept = np.flatnonzero(alive)
+        self.live = {names[k]: (float(p[k]), int(seen[k]), int(count[k])) for k in kept}
+
+    def _shares(self, codes: np.ndarray, weights: np.ndarray, held: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Each number's share of the weight, and its readings, in the window that ends at each
+        reading after the first ``held``. Weights rise evenly from the oldest to the newest; a
+        window without weight has no shares (NaN)."""
         s = self.settings
-        self.readings.append((number, weight))
-        last = max(1, len(self.readings) - 1)
-        scores: dict[str, float] = {}
-        counts: dict[str, int] = {}
-        for i, (n, w) in enumerate(self.readings):
-            age = s.weight_old + (s.weight_recent - s.weight_old) * i / last
-            scores[n] = scores.get(n, 0.0) + w * age
-            counts[n] = counts.get(n, 0) + 1
-        total = sum(scores.values())
-        if total > 0:
-            for n, score in scores.items():
-                share = score / total
-                if n in self.probabilities:
-                    old = self.probabilities[n][0]
-                    share = old * (1 - s.smoothing) + share * s.smoothing
-                self.probabilities[n] = [share, frame, counts[n]]
-        for n in list(self.probabilities):
-            entry = self.probabilities[n]
-            unseen = frame - entry[1]
-            if unseen > 0:
-                entry[0] *= s.decay**unseen
-                if entry[0] < s.min_probability:
-                    del self.probabilities[n]
-        norm = sum(e[0] for e in self.probabilities.values())
-        if norm > 0:
-            for entry in self.probabilities.values():
-                entry[0] /= norm
+        rows = np.arange(len(codes) - held)
+        size = np.minimum(held + rows + 1, s.window)
+        score, count = np.zeros((len(rows), n)), np.zeros((len(rows), n), np.int64)
+        for back in range(s.window):
+            r = rows[size > back]
+            at = held + r - back
+            rise = (size[r] - 1 - back) / np.maximum(1, size[r] - 1)
+            score[r, codes[at]] += weights[at] * (s.weight_old + (s.weight_recent - s.weight_old) * rise)
+            count[r, codes[at]] += 1
+        total = score.sum(1, keepdims=True)
+        return np.divide(score, total, out=np.full_like(score, np.nan), where=total > 0), count
 
 
 def _weighted(df: DataFrame, settings: JerseyDefaults) -> DataFrame:
@@ -301,19 +320,17 @@ def fuse_jerseys(df: DataFrame, settings: JerseyDefaults = JERSEY) -> DataFrame:
     """Sequential fusion of each track's readings, in (frame, seq) order.
 
     Every reading smooths, decays, prunes and renormalises the probabilities, so
-    the fold itself cannot be reordered. A track streams through in Arrow batches
-    and only its state is held: 30 readings and the live numbers.
+    the fold itself cannot be reordered. A track streams through in Arrow batches: shares of the
+    window are worked out for a block of readings at once, and only the short recurrence over
+    them goes step by step. What is held is 30 readings and the live numbers.
     """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state = JerseyFusion(settings)
         for pdf in batches:
-            for frame, number, weight in zip(
-                pdf["frame_idx"].tolist(), pdf["jersey_number"].tolist(), pdf["weight"].tolist()
-            ):
-                state.add(frame, number, weight)
+            state.take(pdf["frame_idx"].to_numpy(), pdf["jersey_number"].tolist(), pdf["weight"].to_numpy())
         yield pd.DataFrame(
-            [(*key, n, *entry) for n, entry in state.probabilities.items()],
+            [(*key, n, *entry) for n, entry in state.live.items()],
             columns=[
                 "video_id", "track_id", "jersey_number", "probability",
                 "last_seen_frame", "measurement_count",

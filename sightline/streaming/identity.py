@@ -29,20 +29,16 @@ class _Fusion(InOrder):
         self.live.clear()
 
     def advance(self, key, rows: pd.DataFrame) -> pd.DataFrame:
-        live = {k[0]: list(v) for k, v in self.live.iterator()}
+        live = {k[0]: tuple(v) for k, v in self.live.iterator()}
         fusion = JerseyFusion(self.settings, [tuple(r) for r in self.readings.get()], live)
-        for frame, number, weight in zip(rows["frame_idx"], rows["jersey_number"], rows["weight"]):
-            fusion.add(int(frame), number, float(weight))
-        self.readings.put(list(fusion.readings))
-        for gone in set(live) - set(fusion.probabilities):
+        fusion.take(rows["frame_idx"].to_numpy(), rows["jersey_number"].tolist(), rows["weight"].to_numpy())
+        self.readings.put(fusion.window)
+        for gone in live.keys() - fusion.live.keys():
             self.live.removeKey((gone,))
-        for number, (p, seen, count) in fusion.probabilities.items():
-            self.live.updateValue((number,), (float(p), int(seen), int(count)))
+        for number, entry in fusion.live.items():
+            self.live.updateValue((number,), entry)
         return pd.DataFrame(
-            [
-                (int(key[0]), int(key[1]), n, p, int(seen), int(count))
-                for n, (p, seen, count) in fusion.probabilities.items()
-            ],
+            [(int(key[0]), int(key[1]), number, *entry) for number, entry in fusion.live.items()],
             columns=[c.split()[0] for c in FUSED.split(", ")],
         )
 

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,13 +189,27 @@ def test_stage_names(spark):
 
 def test_fusion_by_hand():
     state = identity.JerseyFusion(JERSEY)
-    state.add(0, "7", 0.5)
-    assert state.probabilities["7"][0] == 1.0
-    state.add(1, "8", 0.5)
+    state.take([0], ["7"], [0.5])
+    assert state.live["7"] == (1.0, 0, 1)
+    state.take([1], ["8"], [0.5])
     # Weights .5 × .5 and .5 × 1: shares 1/3 and 2/3; "7" is smoothed, "8" enters as it is.
     seven, eight = 0.9 + 0.1 / 3, 2 / 3
-    assert state.probabilities["7"][0] == pytest.approx(seven / (seven + eight))
-    assert math.isclose(sum(p[0] for p in state.probabilities.values()), 1.0)
+    assert state.live["7"][0] == pytest.approx(seven / (seven + eight))
+    assert math.isclose(sum(p for p, _, _ in state.live.values()), 1.0)
+
+
+def test_fusion_does_not_depend_on_blocks():
+    rng = np.random.default_rng(4)
+    frames = np.sort(rng.integers(0, 400, 300))
+    numbers = [str(n) for n in rng.integers(0, 5, 300)]
+    weights = np.where(rng.random(300) < 0.2, 0.0, rng.random(300))
+    whole, single = identity.JerseyFusion(JERSEY), identity.JerseyFusion(JERSEY)
+    whole.take(frames, numbers, weights)
+    for k in range(300):
+        single.take(frames[k : k + 1], numbers[k : k + 1], weights[k : k + 1])
+    assert whole.window == single.window and whole.live.keys() == single.live.keys()
+    for n, (p, seen, count) in whole.live.items():
+        assert (pytest.approx(p), seen, count) == single.live[n]
 
 
 def test_simple_ids_flag_collisions(spark):
