@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import line_band
 from ..settings import FIELD
-from .support import cut_lineage, spread
+from .field import contour_measures, densify_contours, largest_contour, near_edge
+from .support import cut_lineage, salted_join, spread
 
 FRAME = ("video_id", "frame_idx")
 BLOCK = 4096
@@ -281,6 +282,44 @@ def line_confidence(
     )
 
 
+SUB = 1 << 16  # places for the points added after one of a contour
+
+
+def away_from_edge(points: DataFrame, width: int, height: int, margin: float = FIELD.edge_margin, keys=FRAME) -> DataFrame:
+    """The points of each group away from the frame's border; all of them where none is.
+
+    One row per group tells whether it has a point inside, so no group is gathered.
+    """
+    inside = ~near_edge(width, height, margin)
+    groups = points.groupBy(*keys).agg(F.max(inside).alias("some_inside"))
+    return salted_join(points, groups, list(keys)).where(inside | ~F.col("some_inside")).drop("some_inside")
+
+
+def extract_field_lines(
+    contour_points: DataFrame, width: int, height: int, max_distance: float = FIELD.max_point_distance,
+    min_distance: float = FIELD.min_point_distance, margin: float = FIELD.edge_margin,
+    num_lines: int = FIELD.num_lines, keys=FRAME, **fit,
+) -> DataFrame:
+    """From contours to lines with confidence, for all frames in one plan.
+
+    Takes each frame's largest contour (video_id, frame_idx, contour_id, pt_idx, x, y), fills its long
+    edges with points, sets points near the border aside unless that would leave a frame none, fits
+    up to ``num_lines`` lines to the rest and rates each by its inliers against the contour's own
+    points. ``fit`` goes to ``fit_lines_ransac``. Frames without a contour of the least area have
+    no lines.
+    """
+    keys = list(keys)
+    best = cut_lineage(largest_contour(contour_measures(contour_points), keys=keys).select(*keys, "contour_id", "points"))
+    own = salted_join(contour_points, best.drop("points"), [*keys, "contour_id"])
+    dense = densify_contours(own, max_distance, min_distance)
+    kept = away_from_edge(dense, width, height, margin, keys)
+    point_id = F.col("pt_idx").cast("bigint") * SUB + F.col("sub_idx")
+    # The fit reads its points several times; they are worked out once.
+    points = cut_lineage(kept.select(*keys, point_id.alias("point_id"), "x", "y"))
+    lines = fit_lines_ransac(points, num_lines=num_lines, keys=keys, **fit)
+    return with_line_band(line_confidence(lines, best, num_lines, keys))
+
+
 def line_summary(lines: DataFrame, keys=FRAME) -> DataFrame:
     """Per frame: lines, how many are excellent or good, and their mean confidence."""
     c = F.col("confidence")

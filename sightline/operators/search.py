@@ -112,31 +112,46 @@ def next_generation(
 
 
 def search_homographies(
-    seeds: DataFrame, lines: DataFrame, generations: int, seed: int = 0,
+    seeds: DataFrame, lines: DataFrame, generations: int | None = None, seed: int = 0,
     frame: tuple[int, int] = (1920, 1080), settings: SearchDefaults = SEARCH,
     keep_history: bool = False,
 ) -> DataFrame:
-    """Evolve every video's calibration for ``generations`` rounds.
+    """Evolve each video's calibration until its best reaches the goal, or ``generations`` have passed.
 
-    Returns the last scored population, or with ``keep_history`` all of them.
-    Every random number is drawn from a hash of (seed, video, generation,
-    candidate, parameter), so a rerun or a lost task gives the same search.
+    A video stops after the first generation whose best fitness is at least
+    ``settings.fitness_goal``; it is neither bred nor scored again, so later rounds shrink. The
+    default of ``generations`` is ``settings.max_generations``. Returns the last scored population
+    of each video with its ``generation``, or with ``keep_history`` all of them.
+
+    Every random number is drawn from a hash of (seed, video, generation, candidate, parameter),
+    so a rerun or a lost task gives the same search, and no video's search depends on another's.
     """
     lines = cut_lineage(lines.select("video_id", "x1", "y1", "x2", "y2", "confidence"))
+    last = settings.max_generations if generations is None else generations
 
-    def score(population, generation):
-        scored = score_candidates(population, lines, frame)
-        return scored.withColumn("generation", F.lit(generation).cast("bigint"))
-
-    current = cut_lineage(score(seed_population(seeds, seed, settings), 0))
-    history = [current]
-    for g in range(1, generations + 1):
+    def score(population, generation, active_lines):
+        scored = score_candidates(population, active_lines, frame)
         # Scoring reads the population twice; cutting here keeps each plan one generation long.
-        current = cut_lineage(score(next_generation(current, g, seed, settings), g))
+        return cut_lineage(scored.withColumn("generation", F.lit(generation).cast("bigint")))
+
+    current = score(seed_population(seeds, seed, settings), 0, lines)
+    history, stopped = [current], []
+    for g in range(1, last + 1):
+        best = current.groupBy("video_id").agg(F.max("fitness").alias("best"))
+        best = cut_lineage(best.withColumn("done", F.coalesce(F.col("best") >= settings.fitness_goal, F.lit(False))))
+        counts = best.groupBy("done").count().collect()  # two rows at most
+        if any(r["done"] for r in counts):
+            stopped.append(current.join(best.where("done"), "video_id", "left_semi"))
+            active = best.where("NOT done").select("video_id")
+            current = current.join(active, "video_id", "left_semi")
+            lines = lines.join(active, "video_id", "left_semi")
+        if not any(not r["done"] for r in counts):
+            break
+        current = score(next_generation(current, g, seed, settings), g, lines)
         history.append(current)
-    if not keep_history:
-        return current
-    out = history[0]
-    for h in history[1:]:
-        out = out.unionByName(h)
+    else:
+        stopped.append(current)
+    out, *others = history if keep_history else stopped
+    for part in others:
+        out = out.unionByName(part)
     return out

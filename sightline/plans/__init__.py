@@ -19,6 +19,7 @@ MODULES = (
     "telemetry_queries",
     "scoring_queries",
     "stream_queries",
+    "source_queries",
 )
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..functions.projective import H_COLUMNS
 from ..operators import calibration as cal
 from ..operators.search import search_homographies
+from ..settings import SEARCH
 from .catalog import CANVAS, FRAME, big, query, r6, raw, sql_big, sql_project, sql_r6, table, view
 from .identity_queries import PLACED, REGISTRY_NEWEST
 
@@ -259,5 +262,7 @@ def _(spark, sf):
     seeds = table(spark, sf, "homographies").groupBy("video_id").agg(
         F.min_by(F.struct(*H_COLUMNS), "cand_id").alias("h")
     ).select("video_id", "h.*")
-    out = search_homographies(seeds, table(spark, sf, "field_lines"), generations=3)
+    # A goal that some videos reach early and others not within five generations.
+    goal = replace(SEARCH, fitness_goal=0.58)
+    out = search_homographies(seeds, table(spark, sf, "field_lines"), generations=5, settings=goal)
     return out.select(*CAND, "generation", *r6("fitness"))

@@ -178,9 +178,9 @@ row_number() OVER (PARTITION BY {KEYS2} ORDER BY inliers DESC, trial) AS n FROM
 FROM {trials} JOIN {points} USING ({KEYS2}) WHERE NOT ({FAR}) GROUP BY ALL))"""
 
 
-def sql_all_rounds(rounds: int = 4) -> str:
+def sql_all_rounds(rounds: int = 4, points: str = P) -> str:
     """Four rounds, each on the points that the lines before leave over."""
-    steps = [f"p0 AS MATERIALIZED (SELECT * FROM {P})"]
+    steps = [f"p0 AS MATERIALIZED (SELECT * FROM {points})"]
     for n in range(rounds):
         steps.append(f"b{n} AS MATERIALIZED (SELECT * FROM {sql_best(f'p{n}', n * 20)} WHERE n = 1)")
         steps.append(
@@ -215,18 +215,43 @@ def _(spark, sf):
     )
 
 
+# Only a band of 20 rows in the middle is away from the border, which some frames have no point in.
+EXTRACT_MARGIN = 530
+LARGEST = f"""(SELECT video_id, frame_idx, contour_id, points FROM (SELECT *,
+row_number() OVER (PARTITION BY video_id, frame_idx ORDER BY area DESC, contour_id) AS n FROM {MEASURES}) WHERE n = 1 AND area >= 5000)"""
+KEPT = f"""(SELECT video_id, frame_idx, pt_idx * {lin.SUB} + sub_idx AS point_id, x, y FROM
+(SELECT *, bool_or(inside) OVER (PARTITION BY video_id, frame_idx) AS any_inside FROM
+(SELECT d.*, x >= {EXTRACT_MARGIN} AND x <= {FRAME[0] - EXTRACT_MARGIN} AND y >= {EXTRACT_MARGIN} AND y <= {FRAME[1] - EXTRACT_MARGIN} AS inside
+FROM {DENSE} d JOIN {LARGEST} USING (video_id, frame_idx, contour_id))) WHERE inside OR NOT any_inside)"""
+
+
+@query(
+    "extract_field_lines",
+    f"""SELECT f.*, l.points, round(least(0.95, f.inliers / greatest(1, l.points // 4)), 6) AS confidence,
+    CASE WHEN least(0.95, f.inliers / greatest(1, l.points // 4)) > 0.8 THEN 'excellent' WHEN least(0.95, f.inliers / greatest(1, l.points // 4)) > 0.6 THEN 'good'
+    WHEN least(0.95, f.inliers / greatest(1, l.points // 4)) > 0.4 THEN 'fair' ELSE 'low' END AS band
+    FROM ({sql_all_rounds(4, KEPT)}) f JOIN {LARGEST} l USING (video_id, frame_idx)""",
+)
+def _(spark, sf):
+    lines = lin.extract_field_lines(
+        table(spark, sf, "contour_points"), *FRAME, max_distance=200.0, margin=EXTRACT_MARGIN, min_points=2
+    )
+    return lines.select(
+        *KEY, "line_idx", "trial", "inliers", *r6("x1", "y1", "x2", "y2"), "points", *r6("confidence"), "band"
+    )
+
+
 @query(
     "line_confidence",
-    f"""SELECT video_id, frame_idx, inliers, points, round(least(0.95, inliers / greatest(1, points // 4)), 6) AS confidence,
-    round(inliers / points, 6) AS inlier_ratio FROM {sql_best(P)}
-    JOIN (SELECT video_id, frame_idx, count(*) AS points FROM {P} GROUP BY 1, 2) USING (video_id, frame_idx) WHERE n = 1""",
+    f"""SELECT video_id, frame_idx, line_idx, inliers, points, round(least(0.95, inliers / greatest(1, points // 4)), 6) AS confidence,
+    round(inliers / points, 6) AS inlier_ratio FROM ({sql_all_rounds()})
+    JOIN (SELECT video_id, frame_idx, count(*) AS points FROM {P} GROUP BY 1, 2) USING (video_id, frame_idx)""",
 )
 def _(spark, sf):
     points = point_rows(spark, sf)
     sizes = points.groupBy(*KEY).agg(F.count("*").alias("points"))
-    fitted = lin.fit_lines_ransac(points, num_lines=1, min_points=2)
-    return lin.line_confidence(fitted, sizes).select(
-        *KEY, "inliers", "points", *r6("confidence", "inlier_ratio")
+    return lin.line_confidence(lin.fit_lines_ransac(points), sizes).select(
+        *KEY, "line_idx", "inliers", "points", *r6("confidence", "inlier_ratio")
     )
 
 

@@ -1,5 +1,7 @@
 """Operators against brute force, against their other path, and under other partitionings."""
 
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from sightline.operators import field, lines, ordered, suppression, tracking
 from sightline.operators.search import next_generation, search_homographies
 from sightline.plans.catalog import table
-from sightline.settings import TrackDefaults
+from sightline.settings import SEARCH, TrackDefaults
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -287,6 +289,26 @@ def test_tracker_uses_appearance():
     assert then == first[::-1]
 
 
+def test_search_stops_per_video(spark):
+    seeds = table(spark, SF_DIR, "homographies").filter("cand_id = 0").drop("generation")
+    seeds = seeds.crossJoin(spark.range(3).withColumnRenamed("id", "k"))
+    seeds = seeds.withColumns({"video_id": F.col("video_id") * 3 + F.col("k"), "h02": F.col("h02") + F.col("k") * 40}).drop("k", "cand_id")
+    drawn = table(spark, SF_DIR, "field_lines").crossJoin(spark.range(3).withColumnRenamed("id", "k"))
+    drawn = drawn.withColumn("video_id", F.col("video_id") * 3 + F.col("k")).drop("k")
+    columns = ["video_id", "generation", "cand_id", F.round("fitness", 9)]
+    history = rows(search_homographies(seeds, drawn, 3, keep_history=True, settings=replace(SEARCH, fitness_goal=9.0)), *columns)
+    best = {}
+    for video, generation, _, fitness in history:
+        best[video, generation] = max(fitness, best.get((video, generation), 0.0))
+    goal = sorted(best[v, 3] for v in {v for v, _ in best})[-1] - 1e-6
+    ends = {v: min([g for g in range(4) if best[v, g] >= goal] or [3]) for v, _ in best}
+    assert len(ends) > 1
+    stops = replace(SEARCH, fitness_goal=goal)
+    assert rows(search_homographies(seeds, drawn, 3, settings=stops), *columns) == [r for r in history if r[1] == ends[r[0]]]
+    whole = search_homographies(seeds, drawn, 3, settings=stops, keep_history=True)
+    assert rows(whole, *columns) == [r for r in history if r[1] <= ends[r[0]]]
+
+
 def test_search_never_falls_and_reruns_agree(spark):
     seeds = table(spark, SF_DIR, "homographies").filter("cand_id = 0").drop("cand_id", "generation")
     drawn = table(spark, SF_DIR, "field_lines")

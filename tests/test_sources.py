@@ -122,15 +122,30 @@ def test_metric_stream(spark, tmp_path):
     run.mkdir(parents=True)
     (run / "1.csv").write_text("epoch,loss\n1,0.5\n")
     (run / "2.csv").write_text("epoch,loss\n2,0.4\n")
-    stream = runs.stream_training_metrics(spark, str(tmp_path / "in"), ["epoch", "loss"])
+    (run / "3.csv").write_text("\nacc, epoch\r\n0.9,3\r\n\r\n")
+    stream = runs.stream_training_metrics(spark, str(tmp_path / "in"))
     q = stream.writeStream.format("memory").queryName("metrics").trigger(availableNow=True).start()
     q.awaitTermination()
     got = spark.table("metrics").orderBy("epoch").collect()
     assert [(r["run_id"], r["epoch"], r["metric"], r["value"]) for r in got] == [
-        ("r1", 1, "loss", 0.5), ("r1", 2, "loss", 0.4),
+        ("r1", 1, "loss", 0.5), ("r1", 2, "loss", 0.4), ("r1", 3, "acc", 0.9),
     ]
 
 
+def test_training_metrics_over_many_blocks(spark, tmp_path):
+    for run, names in (("a", "epoch,loss"), ("b", "loss,epoch")):
+        (tmp_path / run).mkdir()
+        lines = [f"{i},{i}.0" if run == "a" else f"{i}.0,{i}" for i in range(2000)]
+        (tmp_path / run / "results.csv").write_text("\n".join(["", names, *lines]) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        got = runs.read_training_metrics(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(got) == 4000 and all(r["metric"] == "loss" and r["value"] == r["epoch"] for r in got)
+
+
 def test_training_log(spark, tmp_path):
     (tmp_path / "r1").mkdir()
     text = "0\t2024-01-01 00:00:00\tscanning \"x\"\n1\t2024-01-01 00:00:09\t3/50  1.2G\n"
@@ -174,6 +189,19 @@ def test_results_sink(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).count() == 4
 
 
+def test_results_are_stored_once(spark, tmp_path):
+    store = str(tmp_path / "store")
+    assert results.read_results(spark, store) is None
+    rows = [(1, "a", "x", 1), (1, "a", "x", 2), (1, None, "x", 3), (2, "a", "x", 4), (1, "a", None, 5)]
+    d = spark.createDataFrame(rows, "video_id long, content_hash string, settings_key string, batch_known long")
+    results.save_results(d.where("batch_known < 3"), store, "first")
+    results.save_results(d.where("batch_known < 4"), store, "first")  # again, with more
+    results.save_results(d, store, "second")
+    results.save_results(d, store, "second")
+    got = sorted((r["batch_known"], r["batch"]) for r in results.read_results(spark, store).collect())
+    assert got == [(1, "first"), (2, "first"), (3, "first"), (4, "second"), (5, "second")]
+
+
 def test_detect_with_stub_models(spark):
     from sightline.plans.scoring_queries import stub_detector
 
