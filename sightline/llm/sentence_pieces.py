@@ -26,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .arrow import map_texts
+from .merges import ROWS, Merges
 
 MODEL = "piece_bpe_32k.model"
 MAX_CHUNKS = 450_000  # chunks remembered in every worker process, some 0.3 KB each
 LONG = 64  # characters of a chunk worth remembering
+GROUP = 1 << 20  # characters of the texts whose new chunks are worked out together
 SPACE = "▁"
 
 # Fixed values of the model file's format: field numbers and piece kinds.
@@ -154,6 +156,10 @@ class Pieces:
         if trainer.get(BYTE_FALLBACK):
             at = {self.names[i]: i for i, k in enumerate(self.kinds) if k == BYTE}
             self.byte_ids = [at[f"<0x{b:02X}>"] for b in range(256)]
+        self.merges = Merges(self.rank)
+        self.id_of = np.array([self.ids.get(name, -1) for name in self.merges.names], np.int32)
+        self.merges.of_char[ord(" ")] = self.merges.of_char[ord(SPACE)]  # for texts that only have their spaces marked
+        self.plain = not self.map and not self.trim
         self.neighbours = {name[k : k + 2] for name in self.rank for k in range(len(name) - 1)}
         self._find_cuts()
 
@@ -331,6 +337,39 @@ class Pieces:
             ids, ends = self._with_unknown(pieces, ids, ends, places[0])
         return ids, ends, places[0]
 
+    def encode_many(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids and ends of many short chunks within texts, one after another, how many each has, and
+        whether all its characters are known (what it has is to be worked out alone if not).
+
+        For models without a character map, whose text keeps its places.
+        """
+        lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        order = np.argsort(lengths, kind="stable")
+        counts, known = np.zeros(len(chunks), np.int64), np.ones(len(chunks), bool)
+        parts = []
+        for k in range(0, len(order), ROWS):
+            at = order[k : k + ROWS]
+            width = int(lengths[at[-1]])
+            points = np.array([chunks[i] for i in at.tolist()], f"<U{width}").view(np.uint32).reshape(len(at), width)
+            symbols, sizes = self.merges.run(points, lengths[at])
+            inside = np.arange(width) < lengths[at][:, None]
+            octets = inside * (1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))
+            # Bytes before each character, and the row's bytes at the end.
+            before = np.concatenate([np.zeros((len(at), 1), np.int64), np.cumsum(octets, 1)], 1)
+            real = sizes > 0
+            ids = np.where(symbols >= 0, self.id_of[symbols], -1)
+            known[at] = ((ids >= 0) | ~real).all(1)
+            ends = np.take_along_axis(before, np.cumsum(sizes, 1), 1)
+            counts[at] = real.sum(1)
+            parts.append(np.stack([ids[real], ends[real]], 1).astype(np.int32))
+        rows = np.concatenate(parts) if parts else np.zeros((0, 2), np.int32)
+        # From the order of lengths back to that of the chunks.
+        start = np.zeros(len(chunks), np.int64)
+        start[order] = np.cumsum(counts[order]) - counts[order]
+        upto = np.cumsum(counts)
+        rows = rows[np.repeat(start - (upto - counts), counts) + np.arange(len(rows))]
+        return rows[:, 0], rows[:, 1], counts, known
+
     def _with_unknown(self, pieces: list[str], ids: list, ends: list[int], begin: int) -> tuple[list[int], list[int]]:
         """Bytes of unknown characters, or one unknown id for each run of them."""
         out, places, unknown = [], [], False
@@ -425,44 +464,71 @@ class Memo:
         self.flat = Rows(2, np.int32)  # id, and where its bytes end
 
     def add(self, chunk: str, first: bool) -> int:
-        ids, ends, begin = self.pieces.encode(chunk, first, False)
-        self.new.append((ids, ends, begin, len(chunk.encode())))
+        self.new.append((chunk, first))
         self.count += 1
         return self.count - 1
 
     def _settle(self) -> None:
-        ids, ends, begins, lengths = zip(*self.new)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.chunks.extend(np.stack([self.flat.size + np.cumsum(sizes), sizes, lengths, begins], 1))
-        total = int(sizes.sum())
-        self.flat.extend(np.stack([np.fromiter(chain.from_iterable(x), np.int32, total) for x in (ids, ends)], 1))
-        self.new = []
+        """Work out the new chunks."""
+        new, self.new = self.new, []
+        lengths = np.fromiter((len(c.encode()) for c, _ in new), np.int64, len(new))
+        begins, sizes = np.zeros((2, len(new)), np.int64)
+        some = [k for k, (c, first) in enumerate(new) if self.pieces.plain and not first and 0 < len(c) <= LONG]
+        ids, ends, counts, known = self.pieces.encode_many([new[k][0] for k in some])
+        fast = np.zeros(len(new), bool)
+        fast[some] = known
+        sizes[some] = counts
+        alone = {}
+        for k in np.flatnonzero(~fast).tolist():
+            alone[k] = self.pieces.encode(*new[k], False)
+            sizes[k], begins[k] = len(alone[k][0]), alone[k][2]
+        after = np.cumsum(sizes)
+        rows = np.empty((int(sizes.sum()), 2), np.int32)
+        from_fast = np.repeat(known, counts)
+        rows[np.repeat(fast, sizes)] = np.stack([ids[from_fast], ends[from_fast]], 1)
+        for k, (own_ids, own_ends, _) in alone.items():
+            rows[after[k] - sizes[k] : after[k]] = np.array([own_ids, own_ends], np.int32).T
+        self.chunks.extend(np.stack([self.flat.size + after, sizes, lengths, begins], 1))
+        self.flat.extend(rows)
 
     def encode(self, text: str) -> np.ndarray:
         """Rows of id, start and end of a text."""
-        parts = self.pieces.chunks(text)
-        tail = parts.pop() if self.pieces.trim else None  # the end of a text may be trimmed
-        rows, begin, where = np.zeros((0, 2), np.int32), 0, 0
-        if parts:
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The same for many texts: new chunks of some are worked out together."""
+        out, held, size = [], [], 0
+        for k, text in enumerate(texts):
+            parts = self.pieces.chunks(text)
+            tail = parts.pop() if self.pieces.trim else None  # the end of a text may be trimmed
             inner = self.inner.__getitem__
-            numbers = np.fromiter(chain((self.first[parts[0]],), map(inner, islice(parts, 1, None))), np.int64, len(parts))
-            if self.new:
-                self._settle()
+            whole = chain((self.first[parts[0]],), map(inner, islice(parts, 1, None))) if parts else ()
+            held.append((np.fromiter(whole, np.int64, len(parts)), tail))
+            size += len(text)
+            if size >= GROUP or k == len(texts) - 1:
+                if self.new:
+                    self._settle()
+                out += [self._rows(*h) for h in held]
+                held, size = [], 0
+                if self.count > self.limit or self.flat.size > 8 * self.limit:
+                    self.forget()
+        return out
+
+    def _rows(self, numbers: np.ndarray, tail: str | None) -> np.ndarray:
+        rows, begin, where = np.zeros((0, 2), np.int32), 0, 0
+        if len(numbers):
             ends, sizes, lengths, begins = self.chunks.data[numbers].T
             upto, after = np.cumsum(sizes), np.cumsum(lengths)
             rows = self.flat.data[np.repeat(ends - upto, sizes) + np.arange(upto[-1])]
             rows[:, 1] += np.repeat(after - lengths, sizes).astype(np.int32)
             begin, where = int(begins[0]), int(after[-1])
         if tail is not None:
-            ids, ends, first = self.pieces.encode(tail, not parts, True)
-            begin = begin if parts else first
+            ids, ends, first = self.pieces.encode(tail, not len(numbers), True)
+            begin = begin if len(numbers) else first
             rows = np.concatenate([rows, np.array([ids, ends], np.int32).T + np.array([0, where], np.int32)])
         starts = np.empty(len(rows), np.int32)
         starts[:1], starts[1:] = begin, rows[:-1, 1]
-        rows = np.stack([rows[:, 0], starts, rows[:, 1]], 1)
-        if self.count > self.limit or self.flat.size > 8 * self.limit:
-            self.forget()
-        return rows
+        return np.stack([rows[:, 0], starts, rows[:, 1]], 1)
 
     def forget(self) -> None:
         """Keep the first half of the chunks: frequent ones are met first."""
@@ -508,7 +574,7 @@ def encode(docs: DataFrame, path: str | None = None, carry=("doc_id",), decoded:
         own = memo(content.value, max_chunks)
 
         def run(texts: list) -> dict:
-            found = [own.encode(t or "") for t in texts]
+            found = own.encode_all([t or "" for t in texts])
             places = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
             rows = np.concatenate(found) if found else np.zeros((0, 3), np.int32)
             columns = (pa.array(np.ascontiguousarray(rows[:, k])) for k in range(3))
