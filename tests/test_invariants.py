@@ -192,7 +192,7 @@ def test_tracker_follows_and_stitches(spark):
     assert len(pairs) == 6
 
 
-def _crowd(seed, videos=2, frames=160, looks=False):
+def _crossing(seed, videos=2, frames=160, looks=False):
     """People who cross, vanish and come back, in videos with a gap."""
     rng = np.random.default_rng(seed)
     out = []
@@ -246,7 +246,7 @@ def _one_pass(rows, s):
 
 
 def test_tracks_do_not_depend_on_segments(spark):
-    rows, s = _crowd(1), TrackDefaults(max_age=9, n_init=3)
+    rows, s = _crossing(1), TrackDefaults(max_age=9, n_init=3)
     want = _one_pass(rows, s)
     df = spark.createDataFrame(rows, TRACKED).repartition(3)
     for frames, overlap in ((10**6, 0), (40, 20), (25, 0), (7, 3)):
@@ -256,7 +256,7 @@ def test_tracks_do_not_depend_on_segments(spark):
 
 
 def test_tracks_by_looks_do_not_depend_on_segments(spark):
-    df = spark.createDataFrame(_crowd(2, 1, 90, True), TRACKED + ", embedding array<double>")
+    df = spark.createDataFrame(_crossing(2, 1, 90, True), TRACKED + ", embedding array<double>")
     one = tracking.track_objects(df, segment_frames=10**6)
     assert one.select("track_id").distinct().count() < one.count() / 20
     for frames, overlap in ((30, 10), (11, 2)):
