@@ -8,6 +8,7 @@ name of its own, which then takes the final name: a task that runs again writes
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import uuid
 import zlib
@@ -31,20 +32,41 @@ SUFFIX = "pfor"
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library, which meets each distinct chunk about once."""
+    """Ids of whole texts by the tokenizers library, which meets each distinct chunk about once.
+
+    The strings of added tokens become these tokens, as the library has it; the texts between them
+    are encoded each alone. Chunks are independent only with a byte-level pre-tokenizer on texts as
+    they are, so other vocabulary files are refused.
+    """
 
     def __init__(self, content: bytes):
         from tokenizers import Tokenizer
 
+        held = json.loads(content)
+        before = held.get("pre_tokenizer") or {}
+        plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        if not plain or any(held.get(k) for k in ("normalizer", "truncation", "padding")) or held["model"].get("dropout"):
+            raise ValueError("the vocabulary must be byte-level, without prefix space, normalizer, truncation or padding")
+        added = held.get("added_tokens") or []
+        if any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens must stand for their own strings alone")
+        self.added = {t["content"]: t["id"] for t in added}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self.tokenizer = Tokenizer.from_str(content.decode())
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text here
         self.cache = ChunkCache(self._chunks)
 
     def _chunks(self, chunks: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
     def encode(self, texts: list) -> list[np.ndarray]:
-        return self.cache.ids(texts)
+        special = {i for i, t in enumerate(texts) if t and any(a in t for a in self.added)}
+        found = self.cache.ids([None if i in special else t for i, t in enumerate(texts)] if special else texts)
+        for i in special:
+            parts = self.cut.split(texts[i])  # text, token, text, …
+            ids = self.cache.ids(parts[::2])
+            tokens = [np.array([self.added[t]], np.uint32) for t in parts[1::2]]
+            found[i] = np.concatenate([x for pair in zip(ids, [*tokens, ids[0][:0]]) for x in pair])
+        return found
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -86,7 +108,8 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None, end: int =
     Documents are ordered by doc_id (null first), rows that share one by their text; rows that
     are equal throughout stay as many. A null text counts as empty: just ``end``. Returns a row
     per file: file (number in order), name, n_docs, n_ids, n_bytes. ``files``: number of ranges,
-    by default the session's shuffle partitions. Other columns are ignored.
+    by default the session's shuffle partitions. Other columns are ignored. Strings of the
+    vocabulary's added tokens in a text become these tokens, as the library encodes them.
     """
     spark = docs.sparkSession
     with open(path or public_tokenizers.path(VOCABULARY), "rb") as f:
