@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .names import fresh
+
 RATIO = 0.1
 MIN_PAGES = 5
 
@@ -50,25 +52,26 @@ def drop_boilerplate(
     """``docs`` with the boilerplate lines cut out of ``text``; all rows and columns stay.
 
     Every row is a page of its ``host``; rows with a null host form one host, and repeated rows
-    are pages of their own. A page counts once for each of its distinct lines. Blank lines are
-    never dropped or counted. A null text has no lines and stays null; a text all of whose lines
+    are pages of their own. A page counts once for each of its distinct lines. Empty lines and
+    lines of spaces only are never dropped or counted. A null text has no lines and stays null; a text all of whose lines
     are boilerplate becomes empty. ``counts`` adds ``n_lines`` and ``n_dropped``, in place of
     columns so named.
     """
     columns = docs.columns
-    found = boilerplate(docs, ratio, min_pages, host, text)
+    of, keys, split, kept_lines = fresh(columns, "__host", "__keys", "__lines", "__kept")
+    found = boilerplate(docs, ratio, min_pages, host, text).withColumnsRenamed({"__host": of, "__keys": keys})
     # The list is small: adaptive execution broadcasts it if its measured size allows, else joins
     # by shuffle and splits a large host.
-    joined = docs.join(found, docs[host].eqNullSafe(found["__host"]), "left")
+    joined = docs.join(found, docs[host].eqNullSafe(found[of]), "left")
     lines = _lines(F.col(text))
     kept = F.when(
-        F.col("__keys").isNull(), lines
-    ).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__keys"), _key(x))))
-    joined = joined.withColumns({"__lines": lines, "__kept": kept})
-    out = {text: F.when(F.col(text).isNotNull(), F.array_join("__kept", "\n"))}
+        F.col(keys).isNull(), lines
+    ).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(keys), _key(x))))
+    joined = joined.withColumns({split: lines, kept_lines: kept})
+    out = {text: F.when(F.col(text).isNotNull(), F.array_join(kept_lines, "\n"))}
     if counts:
-        n = F.when(F.col(text).isNull(), 0).otherwise(F.size("__lines")).cast("long")
-        out |= {"n_lines": n, "n_dropped": (F.size("__lines") - F.size("__kept")).cast("long")}
+        n = F.when(F.col(text).isNull(), 0).otherwise(F.size(split)).cast("long")
+        out |= {"n_lines": n, "n_dropped": (F.size(split) - F.size(kept_lines)).cast("long")}
     return joined.withColumns(out).select(*dict.fromkeys([*columns, *(out if counts else ())]))
 
 

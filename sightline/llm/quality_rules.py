@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from .arrow import map_texts
+from .names import fresh
 from .words import SPACES, blocks
 
 # From this many bytes on: least and greatest ratio of text to compressed text. Short texts carry
@@ -150,8 +151,10 @@ def judge_quality(docs: DataFrame, **limits) -> DataFrame:
 def keep_quality(docs: DataFrame, **limits) -> DataFrame:
     """The rows of ``docs`` that ``judge_quality`` keeps, with all their columns unchanged."""
 
+    (kept,) = fresh(docs.columns, "__kept")
+
     def make():
         judge = _judge(**limits)()
-        return lambda texts: {"__kept": judge(texts)["kept"]}
+        return lambda texts: {kept: judge(texts)["kept"]}
 
-    return map_texts(docs, make, "__kept boolean", carry=docs.columns).where("__kept").drop("__kept")
+    return map_texts(docs, make, f"{kept} boolean", carry=docs.columns).where(kept).drop(kept)
