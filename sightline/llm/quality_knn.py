@@ -143,7 +143,8 @@ def fit_model(docs: DataFrame, labels: DataFrame, label: str = "quality", sample
     """Fit on at most ``sample`` labelled rows of each class: those with the least hash.
 
     ``labels``: doc_id and ``label`` (0, 1; other values and nulls are ignored), already without
-    held-out rows. A document labelled twice counts with its least label. The sample's term
+    held-out rows. A document labelled twice counts with its least label, one with several texts
+    with the least of these. The sample's term
     vectors, of fixed size, are all that comes to the driver.
     """
     key = F.xxhash64(F.lit(11), "doc_id")
@@ -151,7 +152,7 @@ def fit_model(docs: DataFrame, labels: DataFrame, label: str = "quality", sample
     ranked = [marked.where(F.col("__label") == c).orderBy(key, "doc_id").limit(sample) for c in (0, 1)]
     # 2 × sample rows of (id, label) at most, whatever the size of the tables.
     chosen = ranked[0].union(ranked[1])
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "__label").agg(F.min("text").alias("text"))
 
     def make():
         return lambda texts: {"vector": [v.tobytes() for v in term_vectors(texts).astype(np.float16)]}
