@@ -155,7 +155,7 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, tile: i
     if not 75 <= percent <= 100:
         raise ValueError("percent must be from 75 to 100")
     batches = Batches(docs)
-    shards = batches.number
+    shards = batches.shards
 
     def heads(sets: list[np.ndarray]) -> np.ndarray:
         return np.concatenate([s[: prefix(len(s), percent)] for s in sets] or [np.zeros(0, np.uint64)])
