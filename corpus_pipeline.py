@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sightline.llm import bpe, decontaminate, line_dedup, quality_rules, shingle_join
+from sightline.llm.names import fresh
 from sightline.operators.support import cut_lineage, shared_folder
 from sightline.plans import ship_package
 
@@ -32,19 +33,20 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     both the least by the other columns stays. Texts without words are copies of nothing and stay.
     """
     ship_package(spark)
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-    found = shingle_join.near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text")).where("n_shingles > 0")
-    rows = found.groupBy(F.col("doc_id").alias("__key")).agg(F.min("component_id").alias("group"), F.count("*").alias("n"))
-    ids = keyed.select("__key", "doc_id").distinct()
-    rows = cut_lineage(rows.join(ids, "__key").withColumn("rank", F.struct("doc_id", "__key")).drop("doc_id"))
+    key, number = fresh([*docs.columns, "rank", "group", "n", "kept"], "__key", "__n")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    found = shingle_join.near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text")).where("n_shingles > 0")
+    rows = found.groupBy(F.col("doc_id").alias(key)).agg(F.min("component_id").alias("group"), F.count("*").alias("n"))
+    ids = keyed.select(key, "doc_id").distinct()
+    rows = cut_lineage(rows.join(ids, key).withColumn("rank", F.struct("doc_id", key)).drop("doc_id"))
     least = rows.groupBy("group").agg(F.min("rank").alias("least"))
-    judged = cut_lineage(rows.join(least, "group").select("__key", "n", (F.col("rank.__key") == F.col("least.__key")).alias("kept")))
-    out = keyed.join(judged.where("NOT kept OR n > 1").select("__key"), "__key", "left_anti")
-    repeated = judged.where("kept AND n > 1").select("__key")
+    judged = cut_lineage(rows.join(least, "group").select(key, "n", (F.col(f"rank.{key}") == F.col(f"least.{key}")).alias("kept")))
+    out = keyed.join(judged.where("NOT kept OR n > 1").select(key), key, "left_anti")
+    repeated = judged.where("kept AND n > 1").select(key)
     if repeated.limit(1).count():
-        order = W.partitionBy("__key").orderBy(*(F.col(c).asc_nulls_first() for c in docs.columns if c not in ("doc_id", "text")), "__key")
-        again = keyed.join(repeated, "__key", "left_semi")
-        again = again.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+        order = W.partitionBy(key).orderBy(*(F.col(c).asc_nulls_first() for c in docs.columns if c not in ("doc_id", "text")), key)
+        again = keyed.join(repeated, key, "left_semi")
+        again = again.withColumn(number, F.row_number().over(order)).where(F.col(number) == 1).drop(number)
         out = out.unionByName(again)
     return out.select(*docs.columns)
 
