@@ -11,19 +11,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BATCH_BYTES = 8 << 20
-SHARD_BYTES = 32 << 20
 
 
 class Batches:
     """``docs`` as (batch, doc_id, text), about ``size`` bytes of text in each batch.
 
     Null ids become the least 64-bit integer and null texts empty. Rows with equal id and text
-    land in one batch. ``shards`` is the number of parts that keys are counted in, each those of
-    about ``shard`` bytes of text: a batch sends a row to each part, so the rows are batches times
-    parts, while no task holds more keys than such a share of the texts has.
+    land in one batch.
     """
 
-    def __init__(self, docs: DataFrame, size: int = BATCH_BYTES, shard: int = SHARD_BYTES):
+    def __init__(self, docs: DataFrame, size: int = BATCH_BYTES):
         spark = docs.sparkSession
         rows = docs.select(
             F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"),
@@ -31,7 +28,6 @@ class Batches:
         )
         total = rows.select(F.sum(F.octet_length("text"))).first()[0] or 0  # one number
         self.number = max(1, -(-total // size), spark.sparkContext.defaultParallelism)
-        self.shards = min(self.number, max(-(-total // shard), 2 * spark.sparkContext.defaultParallelism))
         self.rows = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(self.number)).cast("int")).repartition(self.number, "batch")
 
     def each(self, run, schema: str) -> DataFrame:
