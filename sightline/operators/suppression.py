@@ -217,11 +217,12 @@ def link_candidates(
 
 def mutual_best(pairs: DataFrame, keys, left: str, right: str, score: str) -> DataFrame:
     """Keep pairs whose ends each rank the other first (ties to the lower id)."""
-    keys = list(keys)
-    best_right = pairs.groupBy(*keys, left).agg(
-        F.max(F.struct(F.col(score), (-F.col(right)).alias("o"))).alias("m")
-    ).select(*keys, left, (-F.col("m.o")).alias(right), F.col(f"m.{score}").alias(score))
-    best_left = pairs.groupBy(*keys, right).agg(
-        F.max(F.struct(F.col(score), (-F.col(left)).alias("o"))).alias("m")
-    ).select(*keys, right, (-F.col("m.o")).alias(left))
-    return best_right.join(best_left, [*keys, left, right])
+    # Both ranks are taken over one pass of the pairs, whose join is the dear part.
+    ranks = {
+        f"__of_{end}": F.row_number().over(W.partitionBy(*keys, end).orderBy(F.col(score).desc(), other))
+        for end, other in ((left, right), (right, left))
+    }
+    first = F.lit(True)
+    for name in ranks:
+        first = first & (F.col(name) == 1)
+    return pairs.withColumns(ranks).where(first).select(*keys, left, right, score)

@@ -8,7 +8,6 @@ from ..functions.labels import format_elapsed
 from ..operators import detections as det
 from ..operators import suppression as sup
 from ..settings import DETECTION
-from ..sources import records
 from ..sources.media import normalize_videos
 from .catalog import FRAME, big, query, r6, raw, sql_big, sql_r6, table, view
 
@@ -33,20 +32,6 @@ def _(spark, sf):
     )
 
 
-@query(
-    "read_detections",
-    "SELECT l_orderkey % 8 AS video_id, l_partkey AS det_idx, round(0.3 + 7 * l_discount, 4) AS confidence "
-    "FROM lineitem",
-)
-def _(spark, sf):
-    schema = "l_orderkey BIGINT, l_partkey BIGINT, l_linenumber INT, l_discount DOUBLE"
-    d = records.read_table(spark, f"{sf}/lineitem.parquet", schema)
-    return d.select(
-        (F.col("l_orderkey") % 8).alias("video_id"), F.col("l_partkey").alias("det_idx"),
-        F.round(F.lit(0.3) + 7 * F.col("l_discount"), 4).alias("confidence"),
-    )
-
-
 @query(
     "filter_confidence",
     f"SELECT {S_ID}, model_type, confidence FROM {D} "

@@ -166,16 +166,16 @@ def _(spark, sf):
 
 @query(
     "track_label",
-    f"""SELECT {S_CROP}, CASE WHEN j IS NULL OR j = 'Unknown' THEN CAST(track_id AS VARCHAR) || ':?' ELSE '#' || j END AS label FROM
+    f"""SELECT {S_CROP}, pos, CASE WHEN j IS NULL OR j = 'Unknown' THEN CAST(track_id AS VARCHAR) || ':?' ELSE '#' || j END AS label FROM
     (SELECT {S_CROP}, pos, CASE WHEN crop_id % 4 = 0 THEN 'Unknown' WHEN TRY_CAST(text AS BIGINT) BETWEEN 0 AND 99 THEN text END AS j
-    FROM {T} WHERE pos = 0)""",
+    FROM {T})""",
 )
 def _(spark, sf):
-    d = fx.ocr_crops(spark, sf)
-    text = F.col("results")[0]["text"]
+    d = fx.ocr_crops(spark, sf).select(*CROP_ID, F.posexplode("results").alias("pos", "result"))
+    text = F.col("result.text")
     known = F.when(text.try_cast("bigint").isNotNull(), clean_jersey(text))
     jersey = F.when(F.col("crop_id") % 4 == 0, "Unknown").otherwise(known)
-    return d.select(*CROP_ID, track_label(F.col("track_id"), jersey).alias("label"))
+    return d.select(*CROP_ID, "pos", track_label(F.col("track_id"), jersey).alias("label"))
 
 
 @query(

@@ -11,7 +11,6 @@ from ..operators import telemetry as tel
 from ..operators import training as trn
 from ..operators.support import shared_folder
 from ..sources import runs
-from ..sources.records import read_table
 from .catalog import big, query, r6, raw, sql_big, sql_r6, table, view
 
 S = view("stage_timings")
@@ -28,19 +27,6 @@ WHERE age <= 120 GROUP BY 1, 2, 3)"""
 MS = ("last_ms", "avg_ms", "max_ms")
 
 
-@query(
-    "read_stage_timings",
-    "SELECT event_id AS seq, user_id % 4 AS video_id, value AS duration_ms, ts FROM events",
-)
-def _(spark, sf):
-    schema = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE"
-    d = read_table(spark, f"{sf}/events.parquet", schema)
-    return d.select(
-        F.col("event_id").alias("seq"), (F.col("user_id") % 4).alias("video_id"),
-        F.col("value").alias("duration_ms"), "ts",
-    )
-
-
 @query("categorize_stage", f"SELECT seq, category, coalesce(sub, '') AS sub FROM {CATEGORIZED}")
 def _(spark, sf):
     d = tel.categorize_stage(table(spark, sf, "stage_timings"))
