@@ -41,7 +41,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = cut_lineage(rows.join(ids, key).withColumn("rank", F.struct("doc_id", key)).drop("doc_id"))
     least = rows.groupBy("group").agg(F.min("rank").alias("least"))
     judged = cut_lineage(rows.join(least, "group").select(key, "n", (F.col(f"rank.{key}") == F.col(f"least.{key}")).alias("kept")))
-    out = keyed.join(judged.where("NOT kept OR n > 1").select(key), key, "left_anti")
+    # The list of dropped rows grows with the input: one plan at every size, never a broadcast.
+    out = keyed.join(judged.where("NOT kept OR n > 1").select(key).hint("merge"), key, "left_anti")
     repeated = judged.where("kept AND n > 1").select(key)
     if repeated.limit(1).count():
         order = W.partitionBy(key).orderBy(*(F.col(c).asc_nulls_first() for c in docs.columns if c not in ("doc_id", "text")), key)
