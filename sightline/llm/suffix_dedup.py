@@ -124,11 +124,11 @@ class _Strings:
         return n
 
 
-def _gather(doc_ids, texts: list, length: int, anchor: int, keys: np.ndarray, totals: np.ndarray, shards: int, each=None) -> dict[int, _Strings]:
+def _gather(doc_ids, parts: list, length: int, keys: np.ndarray, totals: np.ndarray, shards: int, each=None) -> dict[int, _Strings]:
     """Strings of the segments whose anchor is shared; ``each(shard, number, document, place)`` hears of all."""
     found: dict[int, _Strings] = {}
     ids = [int(d) for d in doc_ids]
-    for block, doc, first, last, key in _segments_of(texts, length, anchor):
+    for block, doc, first, last, key in parts:
         shared = np.flatnonzero(totals[np.searchsorted(keys, key)] > 1)
         raw = block.data.tobytes()
         shard = np.zeros(len(shared), np.int64)
@@ -213,12 +213,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
         return local_counts(np.concatenate(pairs), shards, batch)
 
     def shared_keys(texts: list, found):
-        keys = np.concatenate([key for *_, key in _segments_of(texts, length, anchor)])
-        return totals_of(keys, shards, found)
+        """The batch's segments, worked out once for all that is asked of them, and their keys."""
+        parts = list(_segments_of(texts, length, anchor))
+        return parts, *totals_of(np.concatenate([key for *_, key in parts]), shards, found)
 
     def send(batch: int, ids, texts: list, found) -> dict:
-        keys, totals = shared_keys(texts, found)
-        strings = _gather(ids, texts, length, anchor, keys, totals, shards)
+        parts, keys, totals = shared_keys(texts, found)
+        strings = _gather(ids, parts, length, keys, totals, shards)
         return {
             "shard": list(strings), "batch": [batch] * len(strings),
             "sizes": [np.array([len(t) for t in s.number], np.int64).tobytes() for s in strings.values()],
@@ -234,7 +235,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
 
     def cut(batch: int, ids, texts: list, found) -> dict:
         known = found[found["totals"].notna()]
-        keys, totals = shared_keys(texts, known)
+        segs, keys, totals = shared_keys(texts, known)
         answers: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
         for row in found[found["string"].notna()].itertuples():
             parts = [np.frombuffer(getattr(row, c), np.int64).tolist() for c in ("string", "start", "end", "least")]
@@ -248,7 +249,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
                 if least < own[d]:
                     removed[d].append((place + a, place + b + length - 1))
 
-        _gather(ids, texts, length, anchor, keys, totals, shards, hear)
+        _gather(ids, segs, length, keys, totals, shards, hear)
         spans, kept, sizes = [], [], []
         for text, runs in zip(texts, removed):
             blob, runs = text.encode("utf-8", "surrogatepass"), union(runs)
