@@ -273,11 +273,14 @@ def score_coverage(
 ) -> DataFrame:
     """How near the lit share of the canvas is to the optimum.
 
-    The canvas is sampled at the centres of ``grid`` cells, mapped back to the
-    frame. With ``luma(video_id, cell_x, cell_y, luma)``, the mean brightness of
-    frame cells ``luma_cell`` pixels wide, a sample counts only where the frame is
-    brighter than the threshold; without it, wherever it lands in the frame.
+    Without ``luma`` the share is the exact area of the frame's image on the canvas, worked out in
+    each row. With ``luma(video_id, cell_x, cell_y, luma)``, the mean brightness of frame cells
+    ``luma_cell`` pixels wide, the canvas is sampled at the centres of ``grid`` cells, mapped back
+    to the frame, and a sample counts where its cell is brighter than the threshold.
     """
+    if luma is None:
+        shared = candidates.withColumn("covered", pj.covered_share(pj.matrix(), frame, canvas))
+        return shared.withColumn("coverage", coverage_score(F.col("covered"), settings))
     nx, ny = grid
     samples = F.sequence(F.lit(0), F.lit(nx * ny - 1))
     # Candidates are few and their samples many: spread them before sampling.
@@ -288,15 +291,14 @@ def score_coverage(
     fx, fy = pj.project_back(pj.matrix(), x, y)
     d = d.select(*keys, fx.alias("fx"), fy.alias("fy"))
     d = d.filter(pj.within(F.col("fx"), F.col("fy"), *frame))
-    if luma is not None:
-        d = d.withColumns(
-            {"cell_x": F.floor(F.col("fx") / luma_cell).cast("int"),
-             "cell_y": F.floor(F.col("fy") / luma_cell).cast("int")}
-        )
-        lit_cells = luma.filter(F.col("luma") > settings.luma_threshold).select(
-            "video_id", F.col("cell_x").cast("int"), F.col("cell_y").cast("int")
-        )
-        d = d.join(lit_cells, ["video_id", "cell_x", "cell_y"], "left_semi")
+    d = d.withColumns(
+        {"cell_x": F.floor(F.col("fx") / luma_cell).cast("int"),
+         "cell_y": F.floor(F.col("fy") / luma_cell).cast("int")}
+    )
+    lit_cells = luma.filter(F.col("luma") > settings.luma_threshold).select(
+        "video_id", F.col("cell_x").cast("int"), F.col("cell_y").cast("int")
+    )
+    d = d.join(lit_cells, ["video_id", "cell_x", "cell_y"], "left_semi")
     share = d.groupBy(*keys).agg((F.count("*") / F.lit(float(nx * ny))).alias("covered"))
     return (
         candidates.join(share, list(keys), "left")

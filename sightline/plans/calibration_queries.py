@@ -187,12 +187,26 @@ def _(spark, sf):
     return cal.score_distortion(d).select(*CAND, "distortion")
 
 
-BACK_W = "nullif((h10 * h21 - h11 * h20) * cx + (h01 * h20 - h00 * h21) * cy + (h00 * h11 - h01 * h10), 0)"
-COVERED = f"""(SELECT video_id, cand_id, count(*) FILTER (fx >= 0 AND fx < {FRAME[0]} AND fy >= 0 AND fy < {FRAME[1]}) / 768.0::DOUBLE AS covered FROM
-(SELECT *, ((h11 - h12 * h21) * cx + (h02 * h21 - h01) * cy + (h01 * h12 - h02 * h11)) / {BACK_W} AS fx,
-((h12 * h20 - h10) * cx + (h00 - h02 * h20) * cy + (h02 * h10 - h00 * h12)) / {BACK_W} AS fy FROM
-(SELECT *, (i % 16 + 0.5::DOUBLE) * ({W} / 16.0::DOUBLE) AS cx, (i // 16 + 0.5::DOUBLE) * ({HT} / 48.0::DOUBLE) AS cy FROM {H}, range(0, 768) t(i))) GROUP BY 1, 2)"""
-COVERAGE = f"""(SELECT *, CASE WHEN covered <= 0.75::DOUBLE THEN covered / 0.75::DOUBLE ELSE 1 - (covered - 0.75::DOUBLE) / 0.25::DOUBLE * 0.5::DOUBLE END AS coverage FROM {COVERED})"""
+BACK_X = ("h11 - h12 * h21", "h02 * h21 - h01", "h01 * h12 - h02 * h11")
+BACK_Y = ("h12 * h20 - h10", "h00 - h02 * h20", "h02 * h10 - h00 * h12")
+BACK_W = ("h10 * h21 - h11 * h20", "h01 * h20 - h00 * h21", "h00 * h11 - h01 * h10")
+BORDERS = (BACK_X, [f"{FRAME[0]} * ({w}) - ({p})" for p, w in zip(BACK_X, BACK_W)],
+           BACK_Y, [f"{FRAME[1]} * ({w}) - ({p})" for p, w in zip(BACK_Y, BACK_W)])
+# The frame and the canvas as half-planes a x + b y + c >= 0, once for either side of the horizon.
+PLANES = f"""(SELECT video_id, cand_id, side, unnest(range(8)) AS n, unnest([{', '.join(f'side * ({b[0]})' for b in BORDERS)}, 1, -1, 0, 0]) AS a,
+unnest([{', '.join(f'side * ({b[1]})' for b in BORDERS)}, 0, 0, 1, -1]) AS b,
+unnest([{', '.join(f'side * ({b[2]})' for b in BORDERS)}, 0, {W}, 0, {HT}]) AS c FROM {H}, (VALUES (1.0::DOUBLE), (-1.0::DOUBLE)) s(side))"""
+# The area by strips between the heights where two borders cross: a strip's width is linear in y.
+COVERED = f"""(WITH h AS MATERIALIZED (SELECT * FROM {PLANES}),
+ys AS (SELECT DISTINCT p.video_id, p.cand_id, p.side, (q.a * p.c - p.a * q.c) / (p.a * q.b - q.a * p.b) AS y
+FROM h p JOIN h q ON p.video_id = q.video_id AND p.cand_id = q.cand_id AND p.side = q.side AND p.n < q.n WHERE p.a * q.b - q.a * p.b <> 0),
+strips AS (SELECT *, lead(y) OVER (PARTITION BY video_id, cand_id, side ORDER BY y) AS top FROM ys WHERE y BETWEEN 0 AND {HT}),
+widths AS (SELECT s.video_id, s.cand_id, s.side, s.y, s.top, min(CASE WHEN a < 0 THEN -(b * (y + top) / 2 + c) / a END) - max(CASE WHEN a > 0 THEN -(b * (y + top) / 2 + c) / a END) AS width,
+bool_or(a = 0 AND b * (y + top) / 2 + c < 0) AS outside
+FROM strips s JOIN h USING (video_id, cand_id, side) WHERE top IS NOT NULL GROUP BY ALL)
+SELECT video_id, cand_id, sum(CASE WHEN outside THEN 0 ELSE greatest(width, 0) * (top - y) END) / {W * HT}.0::DOUBLE AS covered FROM widths GROUP BY 1, 2)"""
+SHARE_SCORE = "CASE WHEN covered <= 0.75::DOUBLE THEN covered / 0.75::DOUBLE ELSE 1 - (covered - 0.75::DOUBLE) / 0.25::DOUBLE * 0.5::DOUBLE END"
+COVERAGE = f"(SELECT *, {SHARE_SCORE} AS coverage FROM {COVERED})"
 
 
 @query("score_coverage", f"SELECT video_id, cand_id, {sql_r6('covered', 'coverage')} FROM {COVERAGE}")
@@ -201,6 +215,27 @@ def _(spark, sf):
     return d.select(*CAND, *r6("covered", "coverage"))
 
 
+# Brightness of frame cells: what field lines start in a cell, at most 50 each.
+LUMA = f"""(SELECT video_id, CAST(floor(x1 / 120) AS INT) AS cell_x, CAST(floor(y1 / 120) AS INT) AS cell_y, max(confidence * 50) AS luma FROM {L} GROUP BY 1, 2, 3)"""
+BACK = {n: f"(({a}) * cx + ({b}) * cy + ({c}))" for n, (a, b, c) in zip("xyw", (BACK_X, BACK_Y, BACK_W))}
+LIT = f"""(SELECT h.video_id, cand_id, count(luma) / 768.0::DOUBLE AS covered FROM
+(SELECT *, {BACK['x']} / nullif({BACK['w']}, 0) AS fx, {BACK['y']} / nullif({BACK['w']}, 0) AS fy FROM
+(SELECT *, (i % 16 + 0.5::DOUBLE) * ({W} / 16.0::DOUBLE) AS cx, (i // 16 + 0.5::DOUBLE) * ({HT} / 48.0::DOUBLE) AS cy FROM {H}, range(0, 768) t(i))) h
+LEFT JOIN {LUMA} c ON c.video_id = h.video_id AND luma > 10 AND fx >= 0 AND fx < {FRAME[0]} AND fy >= 0 AND fy < {FRAME[1]}
+AND cell_x = floor(fx / 120) AND cell_y = floor(fy / 120) GROUP BY 1, 2)"""
+
+
+@query(
+    "score_coverage_lit",
+    f"SELECT video_id, cand_id, round(covered, 6) AS covered, round({SHARE_SCORE}, 6) AS coverage FROM {LIT}",
+)
+def _(spark, sf):
+    candidates, lines = _candidates(spark, sf)
+    cells = [F.floor(F.col(c) / 120).cast("int").alias(f"cell_{c[0]}") for c in ("x1", "y1")]
+    luma = lines.groupBy("video_id", *cells).agg(F.max(F.col("confidence") * 50).alias("luma"))
+    return cal.score_coverage(candidates, FRAME, CANVAS, luma=luma).select(*CAND, *r6("covered", "coverage"))
+
+
 SCORED = f"""(SELECT video_id, cand_id, generation, 0.35::DOUBLE * alignment + 0.2::DOUBLE * coverage + 0.15::DOUBLE * visibility
 + 0.1::DOUBLE * greatest(0, 1 - abs({HT} / {W}.0::DOUBLE - 2.7::DOUBLE) / 0.5::DOUBLE) + 0.05::DOUBLE * distortion + 0.15::DOUBLE * orientation AS fitness
 FROM (SELECT video_id, cand_id, generation, {DISTORTION} AS distortion FROM {H}) JOIN {COVERAGE} USING (video_id, cand_id) JOIN {LINE_SCORES} USING (video_id, cand_id))"""

@@ -90,6 +90,26 @@ def test_coverage_with_luma(spark):
     assert 0 < lit["covered"] < plain["covered"]
 
 
+def test_coverage_is_the_clipped_area(spark):
+    rng = np.random.default_rng(5)
+    scale = np.array([1.0, 0.3, 400.0, 0.3, 1.0, 400.0, 1e-3, 1e-3])
+    matrices = (np.array([1.0, 0, 0, 0, 1.0, 0, 0, 0]) + rng.normal(size=(40, 8)) * scale).tolist()
+    matrices += [[1.0, 2.0, 0.0, 2.0, 4.0, 0.0, 0.0, 0.0], [1.0, 0.0, 5e4, 0.0, 1.0, 0.0, 0.0, 0.0], [None] * 8]
+    found = spark.createDataFrame(
+        [(i, *m) for i, m in enumerate(matrices)], "cand_id int, " + ", ".join(f"{c} double" for c in projective.H_COLUMNS)
+    )
+    scored = calibration.score_coverage(found, (1920, 1080), (1115, 3345), keys=["cand_id"])
+    share = {r["cand_id"]: r["covered"] for r in scored.collect()}
+    x, y = np.meshgrid((np.arange(600) + 0.5) * 1115 / 600, (np.arange(1200) + 0.5) * 3345 / 1200)
+    for i, m in enumerate(matrices[:40]):
+        back = np.linalg.inv(np.array([*m, 1.0]).reshape(3, 3))
+        fx, fy, w = np.tensordot(back, np.stack([x, y, np.ones_like(x)]), 1)
+        inside = (fx / w >= 0) & (fx / w < 1920) & (fy / w >= 0) & (fy / w < 1080)
+        assert share[i] == pytest.approx(inside.mean(), abs=3e-3)
+    assert [share[i] for i in (40, 41, 42)] == [0.0, 0.0, 0.0]
+    assert "Exchange" not in scored._jdf.queryExecution().toString()
+
+
 @pytest.mark.parametrize("inliers,expected", [(30, 0.95), (10, 0.4), (0, 0.3)])
 def test_line_confidence(spark, inliers, expected):
     found = spark.createDataFrame([(1, 1, inliers)], "video_id long, frame_idx long, inliers long")
