@@ -101,9 +101,38 @@ def _(spark, sf):
     return best.select(*KEY, *big("contour_id"), "points", *r6("area", "perimeter"))
 
 
-@query("simplify_contours")
+K3 = "video_id, frame_idx, contour_id"
+
+
+def _sweep(start: str) -> str:
+    """The point farthest from each contour's ``start`` (t, x, y), the first one round the ring on a tie."""
+    return f"""SELECT {K3}, p, px, py, n, eps, t, x, y, d FROM (SELECT r.*, s.t AS p, s.x AS px, s.y AS py, (r.t - s.t + r.n) % r.n AS o,
+(r.x - s.x) * (r.x - s.x) + (r.y - s.y) * (r.y - s.y) AS d FROM ring r JOIN {start} s USING ({K3}))
+QUALIFY row_number() OVER (PARTITION BY {K3} ORDER BY d DESC, o) = 1"""
+
+
+CROSS = "((r.y - ay) * (bx - ax) - (r.x - ax) * (by_ - ay))"
+SIMPLIFIED = f"""WITH RECURSIVE ring AS MATERIALIZED (SELECT c.*, m.perimeter * 0.001::DOUBLE AS eps,
+row_number() OVER (PARTITION BY {K3} ORDER BY pt_idx) - 1 AS t, count(*) OVER (PARTITION BY {K3}) AS n
+FROM {C} c JOIN {MEASURES} m USING ({K3})),
+s1 AS MATERIALIZED ({_sweep('(SELECT * FROM ring WHERE t = 0)')}), s2 AS MATERIALIZED ({_sweep('s1')}), s3 AS MATERIALIZED ({_sweep('s2')}),
+turned AS MATERIALIZED (SELECT r.*, (r.t - s3.p + s3.n) % s3.n AS u FROM ring r JOIN s3 USING ({K3})),
+seg AS (SELECT {K3}, eps, CASE side WHEN 0 THEN 0 ELSE (t - p + n) % n END AS lo, CASE side WHEN 0 THEN (t - p + n) % n ELSE n END AS hi,
+CASE side WHEN 0 THEN px ELSE x END AS ax, CASE side WHEN 0 THEN py ELSE y END AS ay, CASE side WHEN 0 THEN x ELSE px END AS bx, CASE side WHEN 0 THEN y ELSE py END AS by_
+FROM s3, (VALUES (0), (1)) h(side) WHERE d > eps * eps
+UNION ALL SELECT {K3}, eps, CASE side WHEN 0 THEN lo ELSE u END, CASE side WHEN 0 THEN u ELSE hi END,
+CASE side WHEN 0 THEN ax ELSE x END, CASE side WHEN 0 THEN ay ELSE y END, CASE side WHEN 0 THEN x ELSE bx END, CASE side WHEN 0 THEN y ELSE by_ END
+FROM (SELECT g.*, r.u, r.x, r.y, {CROSS} * {CROSS} AS away FROM seg g JOIN turned r USING ({K3}) WHERE r.u > g.lo AND r.u < g.hi
+QUALIFY row_number() OVER (PARTITION BY {K3}, lo ORDER BY {CROSS} * {CROSS} DESC, r.u) = 1), (VALUES (0), (1)) h(side)
+WHERE away > eps * eps * ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)))
+SELECT video_id, frame_idx, CAST(contour_id AS BIGINT) AS contour_id, pt_idx, x, y FROM turned WHERE u = 0
+UNION SELECT video_id, frame_idx, CAST(contour_id AS BIGINT), pt_idx, x, y FROM turned JOIN (SELECT DISTINCT {K3}, lo AS u FROM seg) USING ({K3}, u)"""
+
+
+@query("simplify_contours", SIMPLIFIED)
 def _(spark, sf):
-    return fld.simplify_contours(table(spark, sf, "contour_points"), 0.001)
+    kept = fld.simplify_contours(table(spark, sf, "contour_points"), 0.001)
+    return kept.select(*KEY, *big("contour_id"), "pt_idx", "x", "y")
 
 
 DENSE = f"""(SELECT video_id, frame_idx, CAST(contour_id AS BIGINT) AS contour_id, pt_idx, k AS sub_idx,
