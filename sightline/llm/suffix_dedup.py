@@ -32,33 +32,45 @@ class Levels:
     def __init__(self) -> None:
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # largest first
 
-    @staticmethod
-    def sort(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The suffix array of a batch; merging two is the same, as a stable sort merges runs."""
-        if not len(keys):
-            return keys, docs
-        order = np.argsort(keys, kind="stable")
-        keys, docs = keys[order], docs[order]
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        return keys[first], np.minimum.reduceat(docs, first)
+    def add(self, keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """A batch's suffix array becomes a level; while the last two are of one size class, they merge.
 
-    def add(self, keys: np.ndarray, docs: np.ndarray) -> None:
-        """A new batch becomes a level; while the last two are of one size class, they merge."""
-        self.levels.append(self.sort(keys, docs))
+        Returns the order of the batch's keys.
+        """
+        order = np.argsort(keys)
+        keys, docs = keys[order], docs[order]
+        if len(keys):
+            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            keys, docs = keys[first], np.minimum.reduceat(docs, first)
+        self.levels.append((keys, docs))
         while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
-            (a, x), (b, y) = self.levels.pop(), self.levels.pop()
-            self.levels.append(self.sort(np.concatenate([b, a]), np.concatenate([y, x])))
+            last, before = self.levels.pop(), self.levels.pop()
+            self.levels.append(self.merge(*sorted([before, last], key=lambda level: -len(level[0]))))
+        return order
+
+    @staticmethod
+    def merge(larger: tuple[np.ndarray, np.ndarray], smaller: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """One level of two: keys of both take the lesser document, new ones go where they belong."""
+        (keys, docs), (more, theirs) = larger, smaller
+        at = np.searchsorted(keys, more)
+        known = at < len(keys)
+        known[known] = keys[at[known]] == more[known]
+        docs[at[known]] = np.minimum(docs[at[known]], theirs[known])
+        place = at[~known] + np.arange(len(more) - np.count_nonzero(known))
+        old = np.ones(len(keys) + len(place), bool)
+        old[place] = False
+        out = np.empty(len(old), keys.dtype), np.empty(len(old), docs.dtype)
+        for column, own, new in zip(out, (keys, docs), (more, theirs)):
+            column[old], column[place] = own, new[~known]
+        return out
 
     def least(self, keys: np.ndarray) -> np.ndarray:
-        """The least document that holds each key, over all levels."""
+        """The least document that holds each of the sorted keys, over all levels."""
         out = np.full(len(keys), np.iinfo(np.int64).max)
-        order = np.argsort(keys, kind="stable")  # a merge scan: both sides in order
-        wanted = keys[order]
         for known, docs in self.levels:
             if len(known):
-                at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
-                hit = known[at] == wanted
-                out[order[hit]] = np.minimum(out[order[hit]], docs[at[hit]])
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                np.minimum(out, docs[at], out=out, where=known[at] == keys)
         return out
 
 
@@ -124,12 +136,12 @@ class _Strings:
         return n
 
 
-def _gather(doc_ids, parts: list, length: int, keys: np.ndarray, totals: np.ndarray, shards: int, each=None) -> dict[int, _Strings]:
-    """Strings of the segments whose anchor is shared; ``each(shard, number, document, place)`` hears of all."""
+def _gather(doc_ids, parts: list, length: int, keys: np.ndarray, shards: int, each=None) -> dict[int, _Strings]:
+    """Strings of the segments whose anchor is among the sorted ``keys``; ``each(shard, number, document, place)`` hears of all."""
     found: dict[int, _Strings] = {}
     ids = [int(d) for d in doc_ids]
     for block, doc, first, last, key in parts:
-        shared = np.flatnonzero(totals[np.searchsorted(keys, key)] > 1)
+        shared = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key) if len(keys) else key[:0].astype(int)
         raw = block.data.tobytes()
         shard = np.zeros(len(shared), np.int64)
         for s, at in enumerate(deal(key[shared], shards)):
@@ -149,19 +161,17 @@ def _answer(pdf, length: int) -> dict:
     """One shard: index every batch's windows, then scan every batch against the levels."""
     levels, held = Levels(), []
     for row in pdf.itertuples():
-        sizes = np.frombuffer(row.sizes, np.int64)
-        data = np.frombuffer(row.text, np.uint8)
-        ends = np.cumsum(sizes)
-        counts = sizes - length + 1  # windows of each string
-        string = np.repeat(np.arange(len(sizes)), counts)
-        offset = np.arange(len(string)) - np.repeat(np.cumsum(counts) - counts, counts)
-        at = (ends - sizes)[string] + offset
+        sizes, data = np.frombuffer(row.sizes, np.int64), np.frombuffer(row.text, np.uint8)
+        string, offset = _windows(sizes, length)
+        at = (np.cumsum(sizes) - sizes)[string] + offset
         keys = np.concatenate([slice_hashes(s, x - base, x - base + length) for s, x, base in _pieces(data, at, length)] or [np.zeros(0, np.uint64)])
-        levels.add(keys, np.frombuffer(row.least, np.int64)[string])
-        held.append((row.shard, row.batch, keys, string, offset, np.frombuffer(row.greatest, np.int64)))
+        order = levels.add(keys, np.frombuffer(row.least, np.int64)[string])
+        held.append((row.shard, row.batch, keys[order], order, sizes, np.frombuffer(row.greatest, np.int64)))
     out: dict = {c.split()[0]: [] for c in ANSWERS.split(", ")}
-    for shard, batch, keys, string, offset, greatest in held:
-        least = levels.least(keys)
+    for shard, batch, keys, order, sizes, greatest in held:
+        string, offset = _windows(sizes, length)
+        least = np.empty(len(keys), np.int64)
+        least[order] = levels.least(keys)
         use = np.flatnonzero(least < greatest[string])
         if not len(use):
             continue
@@ -173,6 +183,13 @@ def _answer(pdf, length: int) -> dict:
     return out
 
 
+def _windows(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """String and offset of every window of strings of these sizes."""
+    counts = sizes - length + 1
+    string = np.repeat(np.arange(len(sizes)), counts)
+    return string, np.arange(len(string)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
 def _pieces(data: np.ndarray, at: np.ndarray, length: int, size: int = 1 << 20):
     """Prefix sums over parts of ``data`` that hold the windows at ``at`` (in order)."""
     i = 0
@@ -213,13 +230,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
         return local_counts(np.concatenate(pairs), shards, batch)
 
     def shared_keys(texts: list, found):
-        """The batch's segments, worked out once for all that is asked of them, and their keys."""
+        """The batch's segments, worked out once for all that is asked of them, and their shared keys."""
         parts = list(_segments_of(texts, length, anchor))
-        return parts, *totals_of(np.concatenate([key for *_, key in parts]), shards, found)
+        keys, totals = totals_of(np.concatenate([key for *_, key in parts]), shards, found)
+        return parts, keys[totals > 1]
 
     def send(batch: int, ids, texts: list, found) -> dict:
-        parts, keys, totals = shared_keys(texts, found)
-        strings = _gather(ids, parts, length, keys, totals, shards)
+        parts, keys = shared_keys(texts, found)
+        strings = _gather(ids, parts, length, keys, shards)
         return {
             "shard": list(strings), "batch": [batch] * len(strings),
             "sizes": [np.array([len(t) for t in s.number], np.int64).tobytes() for s in strings.values()],
@@ -235,7 +253,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
 
     def cut(batch: int, ids, texts: list, found) -> dict:
         known = found[found["totals"].notna()]
-        segs, keys, totals = shared_keys(texts, known)
+        segs, keys = shared_keys(texts, known)
         answers: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
         for row in found[found["string"].notna()].itertuples():
             parts = [np.frombuffer(getattr(row, c), np.int64).tolist() for c in ("string", "start", "end", "least")]
@@ -249,7 +267,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
                 if least < own[d]:
                     removed[d].append((place + a, place + b + length - 1))
 
-        _gather(ids, segs, length, keys, totals, shards, hear)
+        _gather(ids, segs, length, keys, shards, hear)
         spans, kept, sizes = [], [], []
         for text, runs in zip(texts, removed):
             blob, runs = text.encode("utf-8", "surrogatepass"), union(runs)
