@@ -13,11 +13,21 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 8 << 20
 
 
+def in_order(pdf):
+    """A batch's rows by id and text, however the shuffle brought them.
+
+    Blocks of a shuffle arrive in another order from pass to pass, and passes that number what they
+    find in a batch must number it alike.
+    """
+    ids, texts = pdf["doc_id"].tolist(), pdf["text"].tolist()
+    return pdf.iloc[sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))]
+
+
 class Batches:
     """``docs`` as (batch, doc_id, text), about ``size`` bytes of text in each batch.
 
     Null ids become the least 64-bit integer and null texts empty. Rows with equal id and text
-    land in one batch.
+    land in one batch. Every pass sees a batch's rows in one order, by id and text.
     """
 
     def __init__(self, docs: DataFrame, size: int = BATCH_BYTES):
@@ -36,6 +46,7 @@ class Batches:
         def one(pdf):
             import pandas as pd
 
+            pdf = in_order(pdf)
             return pd.DataFrame(run(int(pdf["batch"].iloc[0]), pdf["doc_id"].to_numpy(), pdf["text"].tolist()))
 
         return self.rows.groupBy("batch").applyInPandas(one, schema)
@@ -48,6 +59,7 @@ class Batches:
 
             if not len(docs):
                 return pd.DataFrame(columns=[c.strip().split()[0] for c in schema.split(",")])
+            docs = in_order(docs)
             return pd.DataFrame(run(int(docs["batch"].iloc[0]), docs["doc_id"].to_numpy(), docs["text"].tolist(), rows))
 
         return self.rows.groupBy("batch").cogroup(found.groupBy("batch")).applyInPandas(one, schema)

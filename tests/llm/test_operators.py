@@ -516,6 +516,18 @@ def test_suffix_dedup(spark, docs, none):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+def test_batches_keep_their_order_between_passes(spark, docs):
+    """A batch is numbered alike in each pass, in whatever order a shuffle brings its rows."""
+    from sightline.llm.batches import Batches
+
+    def seen(df):
+        named = lambda batch, ids, texts: {"batch": [batch], "rows": [repr(list(zip(ids.tolist(), texts)))]}
+        return {r["batch"]: r["rows"] for r in Batches(df).each(named, "batch int, rows string").collect()}
+
+    there = seen(docs.coalesce(1).sortWithinPartitions("doc_id"))
+    assert there == seen(docs.coalesce(1).sortWithinPartitions(docs["doc_id"].desc()))
+
+
 def test_levels_merge_geometrically():
     rng = np.random.default_rng(3)
     levels, best = suffix_dedup.Levels(), {}
