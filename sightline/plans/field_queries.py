@@ -16,10 +16,12 @@ KEY = ["video_id", "frame_idx"]
 CONTOUR = [*KEY, "contour_id"]
 S_CONTOUR = "video_id, frame_idx, CAST(contour_id AS BIGINT) AS contour_id"
 
+# Runs that occur twice count once: of two equal ones only the first would begin an island, and the
+# second window may take them the other way round.
 ISLANDS = f"""(SELECT video_id, frame_idx, y, min(x_start) AS x_start, max(x_end) AS x_end FROM
 (SELECT *, sum(fresh) OVER (PARTITION BY video_id, frame_idx, y ORDER BY x_start, x_end ROWS UNBOUNDED PRECEDING) AS island FROM
 (SELECT *, CASE WHEN x_start <= max(x_end) OVER (PARTITION BY video_id, frame_idx, y ORDER BY x_start, x_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
-THEN 0 ELSE 1 END AS fresh FROM {view('mask_runs')})) GROUP BY video_id, frame_idx, y, island)"""
+THEN 0 ELSE 1 END AS fresh FROM (SELECT DISTINCT video_id, frame_idx, y, x_start, x_end FROM {view('mask_runs')}))) GROUP BY video_id, frame_idx, y, island)"""
 
 
 @query(

@@ -147,6 +147,22 @@ def test_mask_rectangle(spark):
     assert field.mask_area(runs).first()["area"] == 995328
 
 
+def test_islands_sql_counts_equal_runs_once():
+    """Runs that occur several times leave the SQL of merged runs as it is."""
+    import duckdb
+
+    from sightline.plans import field_queries
+
+    con = duckdb.connect()
+    for times in (1, 4):
+        con.execute(
+            f"""CREATE OR REPLACE TABLE lineitem AS SELECT 0::BIGINT AS l_orderkey, i % 20 AS l_linenumber, i * 7919 % 480 AS l_partkey,
+            i % 100 AS l_suppkey, 1.0::DOUBLE + i * 31 % 3 AS l_quantity FROM range(20000) t(i), range({times}) r(k)"""
+        )
+        found = con.execute(f"SELECT count(*), sum(x_end - x_start) FROM {field_queries.ISLANDS}").fetchone()
+        assert found == (2400, 4800)
+
+
 def test_identity_projection(spark):
     tracks = spark.createDataFrame(
         [(1, 0, 0, 5, 10.0, 20.0, 30.0, 60.0)],
