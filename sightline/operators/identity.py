@@ -158,7 +158,10 @@ def jersey_scores(
     df: DataFrame, n: int = JERSEY.window, keys=TRACK, order=("frame_idx", "seq"),
     settings: JerseyDefaults = JERSEY,
 ) -> DataFrame:
-    """Weighted score and share of each number over a track's newest readings."""
+    """Weighted score and share of each number over a track's newest readings.
+
+    Shares are rounded to 12 places: equal ones are equal in whatever order the weights were added.
+    """
     readings = recent_measurements(
         df.filter(F.col("jersey_number").isNotNull()), n, keys, order, settings
     )
@@ -172,7 +175,7 @@ def jersey_scores(
     )
     total = F.sum("score").over(W.partitionBy(*keys))
     return scores.withColumn(
-        "probability", F.when(total > 0, F.col("score") / total).otherwise(0.0)
+        "probability", F.when(total > 0, F.round(F.col("score") / total, 12)).otherwise(0.0)
     )
 
 

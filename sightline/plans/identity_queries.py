@@ -25,7 +25,7 @@ RECENT = f"""(SELECT *, 0.5::DOUBLE + 0.5::DOUBLE * (held - age) / greatest(1, h
 (SELECT *, row_number() OVER (PARTITION BY video_id, track_id ORDER BY frame_idx DESC, seq DESC) AS age FROM {M}) WHERE age <= 30))"""
 
 SCORES = f"""(SELECT video_id, track_id, jersey_number, score, measurement_count,
-score / sum(score) OVER (PARTITION BY video_id, track_id) AS probability FROM
+round(score / sum(score) OVER (PARTITION BY video_id, track_id), 12) AS probability FROM
 (SELECT video_id, track_id, jersey_number, sum(confidence * ({SPATIAL}) * age_weight) AS score, count(*) AS measurement_count
 FROM {RECENT} GROUP BY 1, 2, 3))"""
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sightline.functions import labels, projective
 from sightline.operators import calibration, detections, field, identity, lines, telemetry, training
 from sightline.operators.ordered import index_rows
-from sightline.settings import JERSEY
+from sightline.settings import JERSEY, JerseyDefaults
 
 
 def one(spark, column):
@@ -223,6 +223,18 @@ def test_stage_names(spark):
     ]
 
 
+@pytest.mark.parametrize("numbers", [("8", "9"), ("9", "8")])
+def test_equal_shares_tie_whatever_the_order_of_addition(spark, numbers):
+    even = JerseyDefaults(center_bonus=0.0, weight_old=1.0)
+    weights = [(numbers[0], c) for c in (0.1, 0.2, 0.3)] + [(numbers[1], c) for c in (0.3, 0.2, 0.1)]
+    rows = [(1, 1, i, i, n, c, 0.5) for i, (n, c) in enumerate(weights)]
+    d = spark.createDataFrame(
+        rows, "video_id long, track_id long, frame_idx long, seq long, jersey_number string, confidence double, center_x double"
+    ).coalesce(1)
+    best = identity.jersey_table(identity.jersey_scores(d, settings=even)).first()
+    assert (best["best_jersey"], best["best_probability"], best["second_jersey"]) == ("8", 0.5, "9")
+
+
 def test_fusion_by_hand():
     state = identity.JerseyFusion(JERSEY)
     state.take([0], ["7"], [0.5])
