@@ -29,7 +29,7 @@ from .arrow import map_texts
 from .merges import ROWS, Merges
 
 MODEL = "piece_bpe_32k.model"
-MAX_CHUNKS = 300_000  # chunks remembered in every worker process, some 0.3 KB each
+MAX_CHUNKS = 200_000  # chunks remembered in every worker process, some 0.3 KB each
 LONG = 64  # characters of a chunk worth remembering
 GROUP = 1 << 20  # characters of the texts whose new chunks are worked out together
 SPACE = "▁"

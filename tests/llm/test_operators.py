@@ -516,6 +516,21 @@ def test_suffix_dedup(spark, docs, none):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+def test_texts_come_in_slices_of_bounded_size(spark):
+    from sightline.llm.arrow import SLICE_BYTES, map_texts
+
+    sizes = [10, 3_000_000, 2_000_000, 5_000_000, 0, 7, 4_000_000]
+    d = spark.createDataFrame([(i, "x" * n if n else None) for i, n in enumerate(sizes)], "doc_id long, text string").coalesce(1)
+
+    def together(texts: list) -> dict:
+        total = sum(len(t or "") for t in texts)
+        return {"n": [len(t or "") for t in texts], "total": [total if len(texts) > 1 else 0] * len(texts)}
+
+    rows = map_texts(d, lambda: together, "n long, total long").orderBy("doc_id").collect()
+    assert [r["n"] for r in rows] == sizes
+    assert max(r["total"] for r in rows) <= SLICE_BYTES
+
+
 def test_batches_keep_their_order_between_passes(spark, docs):
     """A batch is numbered alike in each pass, in whatever order a shuffle brings its rows."""
     from sightline.llm.batches import Batches
