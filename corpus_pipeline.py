@@ -62,7 +62,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document left, and whether they decode to its text."""
     ship_package(spark)
     # Worker processes outlive the stage and serve the other stages too: little is remembered here.
-    both = bpe.encode(docs, carry=("doc_id", "text"), decoded=True, max_steps=300_000, max_chunks=300_000)
+    both = bpe.encode(docs, carry=("doc_id", "text"), decoded=True, max_steps=200_000, max_chunks=200_000)
     return both.select(
         "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"),

@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 SLICE_BYTES = 4 << 20  # of the column read, handed to a function at once
 
 
-def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose ``column`` has some ``SLICE_BYTES``, a longer value alone."""
     after = _value_ends(batch.column(column))
     at = 0
@@ -61,7 +61,7 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
-        for batch in (part for whole in batches for part in _slices(whole, text)):
+        for batch in (part for whole in batches for part in slices(whole, text)):
             out = compute(read(batch.column(text)))
             columns = [batch.column(c) for c in carry]
             columns += [_column(out[f.name], t) for f, t in zip(added, types)]

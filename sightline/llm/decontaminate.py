@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from .arrow import slices
 from .words import Block, blocks
 
 STRIDE = 8  # words between windows of a document at most
@@ -376,7 +377,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDI
 
         def run(batches, sent=sent):
             index = sent.value
-            for batch in batches:
+            for batch in (part for whole in batches for part in slices(whole, "text")):
                 at, columns = [], [[] for _ in range(4)]
                 for b in blocks(batch.column("text").to_pylist()):
                     for d, *rest in index.search(b):
@@ -400,7 +401,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDI
         sent = docs.sparkSession.sparkContext.broadcast(Index([(r.item_id, r.text) for r in block.distinct().toLocalIterator()], max_edits))
 
         def run(batches, sent=sent):
-            for batch in batches:
+            for batch in (part for whole in batches for part in slices(whole, "text")):
                 leaky = {b.first + d for b in blocks(batch.column("text").to_pylist()) for d, *_ in sent.value.search(b)}
                 yield batch.filter(pa.array([i not in leaky for i in range(batch.num_rows)], pa.bool_()))
 
