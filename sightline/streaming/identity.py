@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,26 +21,24 @@ class _Fusion(InOrder):
         self.settings, self.idle_ms = settings, idle_ms
 
     def start(self, handle) -> None:
-        self.readings = handle.getListState("readings", "number STRING, weight DOUBLE")
-        self.live = handle.getMapState(
-            "live", "number STRING", "probability DOUBLE, last_seen BIGINT, count BIGINT"
+        # One value, so that a track costs one read and one write however many numbers it has.
+        self.fused = handle.getValueState(
+            "fused", "readings ARRAY<STRUCT<number: STRING, weight: DOUBLE>>, "
+            "live ARRAY<STRUCT<number: STRING, probability: DOUBLE, last_seen: BIGINT, count: BIGINT>>"
         )
 
     def forget(self) -> None:
-        self.readings.clear()
-        self.live.clear()
-
-    def advance(self, key, rows: pd.DataFrame) -> pd.DataFrame:
-        live = {k[0]: tuple(v) for k, v in self.live.iterator()}
-        fusion = JerseyFusion(self.settings, [tuple(r) for r in self.readings.get()], live)
-        fusion.take(rows["frame_idx"].to_numpy(), rows["jersey_number"].tolist(), rows["weight"].to_numpy())
-        self.readings.put(fusion.window)
-        for gone in live.keys() - fusion.live.keys():
-            self.live.removeKey((gone,))
-        for number, entry in fusion.live.items():
-            self.live.updateValue((number,), entry)
-        return pd.DataFrame(
-            [(int(key[0]), int(key[1]), number, *entry) for number, entry in fusion.live.items()],
+        self.fused.clear()
+
+    def advance(self, key, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        readings, live = self.fused.get() or ((), ())
+        fusion = JerseyFusion(self.settings, [tuple(r) for r in readings], {n: tuple(e) for n, *e in live})
+        for rows in frames:
+            fusion.take(rows["frame_idx"].to_numpy(), rows["jersey_number"].tolist(), rows["weight"].to_numpy())
+        entries = [(number, *entry) for number, entry in fusion.live.items()]
+        self.fused.update(([tuple(r) for r in fusion.window], entries))
+        yield pd.DataFrame(
+            [(int(key[0]), int(key[1]), *entry) for entry in entries],
             columns=[c.split()[0] for c in FUSED.split(", ")],
         )
 

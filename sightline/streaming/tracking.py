@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,17 +34,17 @@ class _Tracker(InOrder):
             next_id, last_frame, _ = self.live.get()
             self.live.update((next_id, last_frame, "[]"))
 
-    def advance(self, key, rows: pd.DataFrame) -> pd.DataFrame:
+    def advance(self, key, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state = TrackSet(self.settings, self.age_by)
         if self.live.exists():
             state.next_id, state.last_frame, tracks = self.live.get()
             state.tracks = json.loads(tracks)
             for t in state.tracks:
                 t["looks"] = [np.array(v) for v in t["looks"]]
-        out = track_rows(state, rows).assign(video_id=int(key[0]))
+        for rows in frames:
+            yield track_rows(state, rows).assign(video_id=int(key[0]))[COLUMNS]
         kept = [{**t, "looks": [v.tolist() for v in t["looks"]]} for t in state.tracks]
         self.live.update((int(state.next_id), int(state.last_frame), json.dumps(kept)))
-        return out[COLUMNS]
 
 
 def track_stream(

@@ -1,5 +1,7 @@
 """Streams against the batch operators they mirror."""
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from sightline.plans import load_catalog
 from sightline.plans.catalog import table
 from sightline.streaming.frames import detection_stream, stage_windows, track_sessions
 from sightline.streaming.identity import fuse_jerseys_stream
+from sightline.streaming.ordered import InOrder
 from sightline.streaming.tracking import track_stream
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -93,3 +96,68 @@ def test_stage_toggles(spark):
     assert "skipped_reason" in detection_stream(d).columns
     with pytest.raises(ValueError):
         detection_stream(d, ("blur",))
+
+
+class _Timers:
+    def __init__(self, now):
+        self.now = now
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+
+class _Value:
+    def __init__(self):
+        self.at = None
+
+    def get(self):
+        return self.at
+
+    def update(self, value):
+        self.at = value
+
+    clear = lambda self: self.update(None)
+
+
+class _Map(dict):
+    getValue = dict.get
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+    removeKey = dict.pop
+
+
+class _Handle:
+    getValueState = lambda self, *_: _Value()
+    getMapState = lambda self, *_: _Map()
+    registerTimer = lambda self, ms: None
+
+
+class _Kept(InOrder):
+    columns = "ts TIMESTAMP, frame_idx BIGINT, det_idx BIGINT"
+    order = ("frame_idx", "det_idx")
+    piece = 50
+
+    def advance(self, key, frames):
+        yield from frames
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_a_keys_rows_are_handed_on_in_small_frames(shuffled):
+    """No frame holds all that a batch brings for a key, and rows after the watermark stay."""
+    n = 20_000
+    d = pd.DataFrame({"frame_idx": np.arange(n) // 3, "det_idx": np.arange(n) % 3})
+    d.insert(0, "ts", pd.to_datetime(d["frame_idx"] * 40, unit="ms"))
+    rows = d.sample(frac=1, random_state=1) if shuffled else d
+    keeper = _Kept()
+    keeper.init(_Handle())
+    split = 200_000
+    parts = iter([rows.iloc[i : i + 500] for i in range(0, n, 500)])
+    early = list(keeper.handleInputRows((1,), parts, _Timers(split)))
+    late = list(keeper.handleExpiredTimer((1,), _Timers(10**7), None))
+    got = pd.concat(early + late, ignore_index=True)
+    assert got[["frame_idx", "det_idx"]].values.tolist() == d[["frame_idx", "det_idx"]].values.tolist()
+    assert max(map(len, early)) < n / 3 and sum(map(len, early)) == (d["frame_idx"] * 40 <= split).sum()
+    whole = [f["frame_idx"].iloc[0] for f in early[1:]] > np.array([f["frame_idx"].iloc[-1] for f in early[:-1]])
+    assert whole.all() and not keeper.pieces
