@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..settings import FIELD
 from .ordered import chunk_of, neighbour_rows
-from .support import cut_lineage, spread
+from .support import cut_lineage, map_groups
 
 FRAME = ("video_id", "frame_idx")
 CONTOUR = ("video_id", "frame_idx", "contour_id")
@@ -119,36 +119,65 @@ def _perpendicular(x, y, ax, ay, bx, by):
     return cross * cross, dx * dx + dy * dy
 
 
-def _simplify_one(x: np.ndarray, y: np.ndarray, eps: float) -> np.ndarray:
-    """Indices kept by Douglas-Peucker on a closed polygon."""
+def _far_ends(x: np.ndarray, y: np.ndarray) -> tuple[int, int, float]:
+    """Two far ends of a closed polygon and their squared distance."""
     n = len(x)
     pos = far = 0
     gap = 0.0
-    for _ in range(3):  # three sweeps settle on two far ends
+    for _ in range(3):  # three sweeps settle on them
         pos = far
-        order = (np.arange(n) + pos) % n
-        d = (x[order] - x[pos]) ** 2 + (y[order] - y[pos]) ** 2
-        j = int(np.argmax(d))
-        gap, far = float(d[j]), int(order[j])
-    if gap <= eps * eps:
-        return np.array([pos])
-    ring = (np.arange(n + 1) + pos) % n
-    rx, ry = x[ring], y[ring]
-    middle = int((far - pos) % n)
-    keep = {0, middle}
-    stack = [(0, middle), (middle, n)]
-    while stack:
-        lo, hi = stack.pop()
-        if hi - lo < 2:
+        d = (x - x[pos]) ** 2 + (y - y[pos]) ** 2
+        d = np.concatenate([d[pos:], d[:pos]])
+        j = int(d.argmax())
+        gap, far = float(d[j]), (pos + j) % n
+    return pos, far, gap
+
+
+def _simplify(x: np.ndarray, y: np.ndarray, starts: np.ndarray, epsilon: float) -> np.ndarray:
+    """Which points Douglas-Peucker keeps of closed polygons that lie one after the other.
+
+    All stretches of all polygons are split at once, level by level.
+    """
+    kept = np.zeros(len(x), bool)
+    rings, at, lows, highs, limits, base = [], [], [], [], [], 0
+    for a, b in zip(starts[:-1], starts[1:]):
+        px, py, n = x[a:b], y[a:b], b - a
+        eps = epsilon * float(np.hypot(np.roll(px, -1) - px, np.roll(py, -1) - py).sum())
+        pos, far, gap = _far_ends(px, py)
+        kept[a + pos] = True
+        if gap <= eps * eps:
             continue
-        d, length = _perpendicular(
-            rx[lo + 1:hi], ry[lo + 1:hi], rx[lo], ry[lo], rx[hi], ry[hi]
-        )
-        j = int(np.argmax(d))
-        if d[j] > eps * eps * length:
-            keep.add(lo + 1 + j)
-            stack += [(lo, lo + 1 + j), (lo + 1 + j, hi)]
-    return np.sort(ring[sorted(keep)])
+        kept[a + far] = True
+        middle = (far - pos) % n
+        t = np.arange(1, n)
+        t = t[t != middle]
+        rings.append(a + (np.arange(n + 1) + pos) % n)
+        at.append(base + t)
+        lows.append(base + np.where(t < middle, 0, middle))
+        highs.append(base + np.where(t < middle, middle, n))
+        limits.append(np.full(len(t), eps * eps))
+        base += n + 1
+    if not at:
+        return kept
+    ring = np.concatenate(rings)
+    rx, ry = x[ring], y[ring]
+    p, lo, hi, limit = (np.concatenate(parts) for parts in (at, lows, highs, limits))
+    while len(p):
+        d, length = _perpendicular(rx[p], ry[p], rx[lo], ry[lo], rx[hi], ry[hi])
+        first = np.r_[0, np.flatnonzero(lo[1:] != lo[:-1]) + 1]
+        stretch = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(p)]))
+        top = np.flatnonzero(d == np.maximum.reduceat(d, first)[stretch])
+        which, once = np.unique(stretch[top], return_index=True)
+        top = top[once]
+        split = d[top] > limit[top] * length[top]
+        cut = np.full(len(first), -1)
+        cut[which[split]] = p[top[split]]
+        kept[ring[cut[cut >= 0]]] = True
+        cut = cut[stretch]
+        go = (cut >= 0) & (p != cut)
+        p, lo, hi, limit, cut = p[go], lo[go], hi[go], limit[go], cut[go]
+        lo, hi = np.where(p > cut, cut, lo), np.where(p < cut, cut, hi)
+    return kept
 
 
 def simplify_contours(
@@ -157,8 +186,8 @@ def simplify_contours(
 ) -> DataFrame:
     """Drop points closer to the simplified outline than ``epsilon`` × perimeter.
 
-    Contours up to ``group_limit`` points are simplified whole, one per group;
-    longer ones by rounds of splits over all their points at once.
+    Contours up to ``group_limit`` points are simplified whole, as many at a time as a batch
+    of rows holds; longer ones by rounds of splits over all their points at once.
     """
     keys = list(keys)
     points = points.select(*keys, "pt_idx", "x", "y")
@@ -167,16 +196,12 @@ def simplify_contours(
     )
     schema = points.schema
 
-    def simplify(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pt_idx", ignore_index=True)
-        x, y = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)
-        perimeter = float(np.hypot(np.roll(x, -1) - x, np.roll(y, -1) - y).sum())
-        return pdf.iloc[_simplify_one(x, y, epsilon * perimeter)]
+    def simplify(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        return pdf[_simplify(pdf["x"].to_numpy(float), pdf["y"].to_numpy(float), starts, epsilon)]
 
     if large.isEmpty():
-        return spread(points, *keys).groupBy(*keys).applyInPandas(simplify, schema)
-    small = spread(points.join(large, keys, "left_anti"), *keys)
-    out = small.groupBy(*keys).applyInPandas(simplify, schema)
+        return map_groups(points, keys, ["pt_idx"], simplify, schema)
+    out = map_groups(points.join(large, keys, "left_anti"), keys, ["pt_idx"], simplify, schema)
     long = points.join(large, keys, "left_semi")
     sizes = contour_measures(long, keys).select(
         *keys, (F.col("perimeter") * epsilon).alias("eps")

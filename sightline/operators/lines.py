@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import line_band
 from ..settings import FIELD
 from .field import contour_measures, densify_contours, largest_contour, near_edge
-from .support import cut_lineage, salted_join, spread
+from .support import cut_lineage, map_groups, salted_join, spread
 
 FRAME = ("video_id", "frame_idx")
 BLOCK = 4096
@@ -207,19 +207,19 @@ def fit_lines_ransac(
     names = [c.split()[0] for c in FITTED.split(", ")]
     key_ddl = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in keys)
 
-    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        lines = []
-        if len(pdf) >= need:
-            lines = _fit_frame(
-                pdf["point_id"].to_numpy(np.int64), pdf["x"].to_numpy(float),
-                pdf["y"].to_numpy(float), num_lines, distance, trials, seed,
-            )
-        return pd.DataFrame([(*key, *line) for line in lines], columns=[*keys, *names])
+    def fit(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        ids, x, y = pdf["point_id"].to_numpy(np.int64), pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)
+        lines, owners = [], []
+        for a, b in zip(starts[:-1], starts[1:]):
+            if b - a >= need:
+                lines += _fit_frame(ids[a:b], x[a:b], y[a:b], num_lines, distance, trials, seed)
+                owners += [a] * (len(lines) - len(owners))
+        of = pdf[keys].iloc[owners].reset_index(drop=True)
+        return pd.concat([of, pd.DataFrame(lines, columns=names)], axis=1)
 
     if large.isEmpty():
-        return spread(points, *keys).groupBy(*keys).applyInPandas(fit, f"{key_ddl}, {FITTED}")
-    small = spread(points.join(large, keys, "left_anti"), *keys)
-    fitted = small.groupBy(*keys).applyInPandas(fit, f"{key_ddl}, {FITTED}")
+        return map_groups(points, keys, [], fit, f"{key_ddl}, {FITTED}")
+    fitted = map_groups(points.join(large, keys, "left_anti"), keys, [], fit, f"{key_ddl}, {FITTED}")
     rest = _fit_by_rounds(
         points.join(large, keys, "left_semi"), num_lines, distance, trials, seed, keys, block_size
     )

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sightline.operators import field, lines, ordered, suppression, tracking
+from sightline.operators import field, lines, ordered, support, suppression, tracking
 from sightline.operators.search import next_generation, search_homographies
 from sightline.plans.catalog import table
 from sightline.settings import SEARCH, TrackDefaults
@@ -348,3 +348,32 @@ def test_whole_frames_joins_split_batches():
     pieces = [pdf.iloc[:1], pdf.iloc[1:4], pdf.iloc[4:]]
     got = [r["v"].tolist() for r in tracking.whole_frames(iter(pieces))]
     assert got == [[0, 1], [2, 3, 4], [5]]
+
+
+def test_small_groups_share_calls(spark):
+    """Groups of one partition come many to a call, whole and in order, over the borders of batches."""
+    d = spark.range(1000).select(F.when(F.col("id") % 100 < 99, F.col("id") % 100).alias("k"), F.col("id").alias("v"))
+
+    def fn(pdf, starts):
+        groups = [pdf.iloc[a:b] for a, b in zip(starts[:-1], starts[1:])]
+        return pd.DataFrame([(g["k"].iloc[0], len(g), g["v"].is_monotonic_increasing, len(groups)) for g in groups], columns=list("knos"))
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        got = support.map_groups(d.repartition(7), ["k"], ["v"], fn, "k double, n long, o boolean, s long").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 100 and len({r.k for r in got}) == 100
+    assert all(r.n == 10 and r.o for r in got) and max(r.s for r in got) > 3
+
+
+def test_contours_in_one_batch_are_simplified_each_on_its_own():
+    """Of many contours at once as of each alone; flat, single and repeated points too."""
+    rng = np.random.default_rng(3)
+    shapes = [rng.integers(0, 50, (n, 2)).astype(float) for n in (1, 2, 3, 40, 150, 150)] + [np.ones((5, 2))]
+    starts = np.r_[0, np.cumsum([len(s) for s in shapes])]
+    x, y = np.concatenate(shapes).T
+    together = field._simplify(x, y, starts, 0.002)
+    alone = [field._simplify(*s.T, np.array([0, len(s)]), 0.002) for s in shapes]
+    assert together.tolist() == np.concatenate(alone).tolist()
+    assert together[starts[-2] :].sum() == 1 and together[0] and 100 < together.sum() < len(x)
