@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from operator import itemgetter
+
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
@@ -14,22 +16,28 @@ _FUSED = "track_id BIGINT, jersey_number STRING, probability DOUBLE, last_seen_f
 
 
 class _TrackObjects:
-    """One partition is one video; a frame is matched when the next one starts."""
+    """One partition is one video; whole frames are matched some thousand rows at a time."""
+
+    BLOCK = 4096
 
     def __init__(self):
-        self.state, self.frame, self.rows = TrackSet(), None, []
+        self.state, self.frame, self.rows, self.at = TrackSet(), None, [], None
 
     def _flush(self):
         if self.rows:
             out = track_rows(self.state, pd.DataFrame(self.rows, columns=_ROW))
-            yield from out[COLUMNS].astype(object).itertuples(index=False, name=None)
+            yield from zip(*(out[c].tolist() for c in COLUMNS))
         self.rows = []
 
     def eval(self, row):
-        if row["frame_idx"] != self.frame:
+        if self.at is None:  # where the columns stand, looked up once
+            places = {name: k for k, name in enumerate(row.__fields__)}
+            self.at, self.place = itemgetter(*(places[c] for c in _ROW)), places["frame_idx"]
+        frame = row[self.place]
+        if frame != self.frame and len(self.rows) >= self.BLOCK:
             yield from self._flush()
-        self.frame = row["frame_idx"]
-        self.rows.append([row[c] for c in _ROW])
+        self.frame = frame
+        self.rows.append(self.at(row))
 
     def terminate(self):
         yield from self._flush()

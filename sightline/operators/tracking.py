@@ -23,17 +23,19 @@ COLUMNS = [c.split()[0] for c in TRACKED.split(", ")]
 
 
 def _iou_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    top = np.maximum(a[:, None, :2], b[None, :, :2])
-    low = np.minimum(a[:, None, 2:], b[None, :, 2:])
-    inter = np.prod(np.clip(low - top, 0, None), axis=2)
-    size_a = np.prod(a[:, 2:] - a[:, :2], axis=1)
-    size_b = np.prod(b[:, 2:] - b[:, :2], axis=1)
+    wide = np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0])
+    high = np.minimum(a[:, None, 3], b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1])
+    inter = np.maximum(wide, 0) * np.maximum(high, 0)
+    size_a = (a[:, 2] - a[:, 0]) * (a[:, 3] - a[:, 1])
+    size_b = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
     union = size_a[:, None] + size_b[None, :] - inter
     return 1.0 - np.divide(inter, union, out=np.zeros_like(inter), where=union > 0)
 
 
 def _differ(tracks: list[dict], classes: list) -> np.ndarray:
-    return np.array([t["class_name"] for t in tracks])[:, None] != np.array(classes)[None, :]
+    codes: dict = {}
+    of = lambda names: np.array([codes.setdefault(n, len(codes)) for n in names])
+    return of(t["class_name"] for t in tracks)[:, None] != of(classes)[None, :]
 
 
 def _greedy_pairs(cost: np.ndarray, limit: float) -> list[tuple[int, int]]:

@@ -5,9 +5,11 @@ from dataclasses import replace
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sightline.functions import registered
 from sightline.operators import field, lines, ordered, support, suppression, tracking
 from sightline.operators.search import next_generation, search_homographies
 from sightline.plans.catalog import table
@@ -377,3 +379,21 @@ def test_contours_in_one_batch_are_simplified_each_on_its_own():
     alone = [field._simplify(*s.T, np.array([0, len(s)]), 0.002) for s in shapes]
     assert together.tolist() == np.concatenate(alone).tolist()
     assert together[starts[-2] :].sum() == 1 and together[0] and 100 < together.sum() < len(x)
+
+
+def test_sql_tracker_takes_many_frames_at_once(monkeypatch):
+    """As of one pass over the rows, with few calls however many frames there are."""
+    rng = np.random.default_rng(5)
+    low = rng.integers(0, 300, (600, 2)).astype(float)
+    d = pd.DataFrame({"video_id": 1, "frame_idx": np.arange(600) // 6, "det_idx": np.arange(600) % 6, "x1": low[:, 0], "y1": low[:, 1],
+                      "x2": low[:, 0] + 150, "y2": low[:, 1] + 150, "class_name": np.where(np.arange(600) % 3, "player", "disc"), "confidence": 0.5})
+    expected = tracking.track_rows(tracking.TrackSet(), d)[tracking.COLUMNS].astype(object).values.tolist()
+    calls = []
+    monkeypatch.setattr(registered, "track_rows", lambda state, rows: calls.append(len(rows)) or tracking.track_rows(state, rows))
+    monkeypatch.setattr(registered._TrackObjects, "BLOCK", 100)
+    function, got = registered._TrackObjects(), []
+    for row in d.to_dict("records"):
+        got += function.eval(Row(**row))
+    got += function.terminate()
+    assert [list(r) for r in got] == expected
+    assert len(calls) < 10 and sum(calls) == 600 and all(n % 6 == 0 for n in calls)
