@@ -10,21 +10,23 @@ from pyspark.sql import functions as F
 
 from ..settings import FIELD
 from .ordered import chunk_of, neighbour_rows
-from .support import cut_lineage, map_groups
+from .support import cut_lineage, map_groups, spread
 
 FRAME = ("video_id", "frame_idx")
 CONTOUR = ("video_id", "frame_idx", "contour_id")
+TASK_RUNS = 500_000  # runs of a mask in one task
 
 
 def union_masks(runs: DataFrame, keys=FRAME) -> DataFrame:
     """Merge the runs of all classes into disjoint runs per scanline (``x_end`` exclusive).
 
     Runs with the same start are reduced to the longest first, so a scanline
-    never holds more rows than the frame has columns.
+    never holds more rows than the frame has columns. Scanlines are dealt once, over as many tasks
+    as keep each to about ``TASK_RUNS`` runs; all steps on a scanline then stay in its task.
     """
     line = [*keys, "y"]
     longest = (
-        runs.filter(F.col("x_end") > F.col("x_start"))
+        spread(runs.filter(F.col("x_end") > F.col("x_start")).select(*line, "x_start", "x_end"), *line, most=TASK_RUNS)
         .groupBy(*line, "x_start")
         .agg(F.max("x_end").alias("x_end"))
     )

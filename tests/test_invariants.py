@@ -397,3 +397,18 @@ def test_sql_tracker_takes_many_frames_at_once(monkeypatch):
     got += function.terminate()
     assert [list(r) for r in got] == expected
     assert len(calls) < 10 and sum(calls) == 600 and all(n % 6 == 0 for n in calls)
+
+
+def test_mask_tasks_hold_bounded_rows(spark, monkeypatch):
+    """More runs make more tasks, not larger ones; the result is the same."""
+    runs = spark.range(3000).selectExpr(
+        "id % 3 AS video_id", "id % 2 AS frame_idx", "CAST(id % 2 AS INT) AS class_id", "CAST(id % 40 AS INT) AS y",
+        "CAST(id * 7 % 50 AS INT) AS x_start", "CAST(id * 7 % 50 + id % 9 AS INT) AS x_end",
+    )
+    columns = ["video_id", "frame_idx", "y", "x_start", "x_end"]
+    whole = rows(field.union_masks(runs), *columns)
+    monkeypatch.setattr(field, "TASK_RUNS", 100)
+    parts = field.union_masks(runs)
+    assert parts.rdd.getNumPartitions() >= 26 and rows(parts, *columns) == whole
+    pixels = {(r.video_id, r.frame_idx, r.y, x) for r in runs.collect() for x in range(r.x_start, r.x_end)}
+    assert sum(end - start for *_, start, end in whole) == len(pixels)
