@@ -28,6 +28,11 @@ def intersection(a: Box, b: Box) -> Column:
     return F.greatest(width, F.lit(0)) * F.greatest(height, F.lit(0))
 
 
+def may_overlap(a: Box, b: Box) -> Column:
+    """False for most pairs apart, after a comparison or two; true wherever the intersection is above 0."""
+    return (a[0] < b[2]) & (b[0] < a[2]) & (a[1] < b[3]) & (b[1] < a[3])
+
+
 def overlaps_more_than(a: Box, b: Box, threshold: float) -> Column:
     """IoU above ``threshold``, multiplied out so that no division is needed."""
     inter = intersection(a, b).cast("double")

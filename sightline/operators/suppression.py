@@ -70,12 +70,12 @@ def _greedy(sorted_boxes: Column, threshold: float, most: Column | None) -> Colu
     empty = F.filter(sorted_boxes, lambda _: F.lit(False))
 
     def step(kept, candidate):
-        clash = F.exists(
-            kept,
-            lambda k: boxes.overlaps_more_than(
-                boxes.fields(k), boxes.fields(candidate), threshold
-            ),
-        )
+        # Functions on arrays are not compiled: the few pairs that meet at all pay for the areas.
+        def clashes(k):
+            a, b = boxes.fields(k), boxes.fields(candidate)
+            return boxes.may_overlap(a, b) & boxes.overlaps_more_than(a, b, threshold)
+
+        clash = F.exists(kept, clashes)
         done = clash if most is None else (F.size(kept) >= most) | clash
         return F.when(done, kept).otherwise(F.concat(kept, F.array(candidate)))
 

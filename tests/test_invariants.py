@@ -412,3 +412,11 @@ def test_mask_tasks_hold_bounded_rows(spark, monkeypatch):
     assert parts.rdd.getNumPartitions() >= 26 and rows(parts, *columns) == whole
     pixels = {(r.video_id, r.frame_idx, r.y, x) for r in runs.collect() for x in range(r.x_start, r.x_end)}
     assert sum(end - start for *_, start, end in whole) == len(pixels)
+
+
+def test_nms_fold_leaves_boxes_apart_alone(spark):
+    """Boxes that do not meet are told by their borders: their areas, too large to multiply here, are not taken."""
+    far = 100_000
+    data = [(1, 1, "player_model", i, far * i, 0, far * i + 60_000, 60_000, 0.5) for i in range(4)]
+    kept = suppression.nms(spark.createDataFrame(data, BOXES)).collect()
+    assert sorted(r["det_idx"] for r in kept) == [0, 1, 2, 3]
