@@ -13,6 +13,7 @@ from .support import cut_lineage
 
 GROUP = ("video_id", "frame_idx", "model_type")
 CELL = 128
+FRAMES = 64  # frames that look up their next ones in one task
 
 
 def _in_cells(df: DataFrame, cell: int) -> DataFrame:
@@ -196,20 +197,25 @@ def _nms_rounds(df: DataFrame, iou: float, keys: list[str]) -> DataFrame:
 def link_candidates(
     df: DataFrame, threshold: float = 0.3, keys=("video_id", "model_type"), cell: int = CELL
 ) -> DataFrame:
-    """Boxes of frame t and t+1 that are each other's best overlap above ``threshold``."""
+    """Boxes of frame t and t+1 that are each other's best overlap above ``threshold``.
+
+    Boxes meet only in shared grid cells. A cell's boxes go once, by blocks of frames, to the task that
+    looks up those of the next frame; only a block's first frame goes to the block before it as well.
+    """
     keys = list(keys)
-    base = df.select(*keys, "frame_idx", "det_idx", "x1", "y1", "x2", "y2")
-    here = _in_cells(base, cell)
-    after = here.withColumn("frame_idx", F.col("frame_idx") - 1)
+    base = df.select(*keys, "frame_idx", "det_idx", "x1", "y1", "x2", "y2").dropna(subset=[*keys, "frame_idx"])
+    block = F.floor(F.col("frame_idx") / FRAMES)
+    first = F.pmod("frame_idx", F.lit(FRAMES)) == 0
+    blocks = F.when(first, F.array(block, block - 1)).otherwise(F.array(block))
+    here = _in_cells(base.withColumn("__block", F.explode(blocks)), cell)
+    next_frame = W.partitionBy(*keys, "__block", "cell_x", "cell_y").orderBy("frame_idx").rangeBetween(1, 1)
+    record = ("det_idx", "x1", "y1", "x2", "y2")
+    met = here.withColumn("__next", F.collect_list(F.struct(*record)).over(next_frame)).select(
+        *keys, "frame_idx", F.struct(*record, "cell_x", "cell_y").alias("a"), F.explode("__next").alias("b")
+    )
     a, b = boxes.box("a"), boxes.box("b")
-    join = F.lit(True)
-    for k in (*keys, "frame_idx", "cell_x", "cell_y"):
-        join = join & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    join = join & _home_cell(a, b, cell) & boxes.overlaps_more_than(a, b, threshold)
-    pairs = here.alias("a").join(after.alias("b"), join).select(
-        *[F.col(f"a.{k}") for k in (*keys, "frame_idx")],
-        F.col("a.det_idx").alias("det_idx"),
-        F.col("b.det_idx").alias("next_det_idx"),
+    pairs = met.where(_home_cell(a, b, cell) & boxes.overlaps_more_than(a, b, threshold)).select(
+        *keys, "frame_idx", F.col("a.det_idx").alias("det_idx"), F.col("b.det_idx").alias("next_det_idx"),
         boxes.iou(a, b).alias("iou"),
     )
     return mutual_best(pairs, [*keys, "frame_idx"], "det_idx", "next_det_idx", "iou")

@@ -420,3 +420,22 @@ def test_nms_fold_leaves_boxes_apart_alone(spark):
     data = [(1, 1, "player_model", i, far * i, 0, far * i + 60_000, 60_000, 0.5) for i in range(4)]
     kept = suppression.nms(spark.createDataFrame(data, BOXES)).collect()
     assert sorted(r["det_idx"] for r in kept) == [0, 1, 2, 3]
+
+
+def test_links_equal_brute_force_and_move_a_box_once(spark):
+    data = [(*b[:1], frame, *b[2:]) for frame in (-65, -64, -1, 0, 1, 62, 63, 64, 65, 67) for b in _crowd(25, frame + 70)]
+    links = suppression.link_candidates(spark.createDataFrame([*data, (1, None, *data[0][2:])], BOXES))
+    plan = links._sc._jvm.PythonSQLUtils.explainString(links._jdf.queryExecution(), "simple")
+    assert plan.count("Exchange hashpartitioning") == 3  # cells, and each end of the pairs
+    want = []
+    for frame in {b[1] for b in data}:
+        pairs = [(_iou(a[4:8], b[4:8]), a[3], b[3]) for a in data if a[1] == frame for b in data if b[1] == frame + 1]
+        pairs = [p for p in pairs if p[0] > 0.3]
+        for p in pairs:
+            rivals = [q for q in pairs if p[1] == q[1] or p[2] == q[2]]
+            if all((-p[0], p[2]) <= (-q[0], q[2]) for q in rivals if q[1] == p[1]) and all(
+                (-p[0], p[1]) <= (-q[0], q[1]) for q in rivals if q[2] == p[2]
+            ):
+                want.append((frame, p[1], p[2], round(p[0], 6)))
+    assert len(want) > 30
+    assert rows(links.withColumn("iou", F.round("iou", 6)), "frame_idx", "det_idx", "next_det_idx", "iou") == sorted(want, key=str)
