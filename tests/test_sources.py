@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sightline.operators import scoring
 from sightline.operators.calibration import latest_homography
 from sightline.operators.training import parse_training_log
+from sightline.plans import source_queries
 from sightline.sources import calibrations, media, records, results, runs
 
 
@@ -212,3 +213,10 @@ def test_detect_with_stub_models(spark):
     got = scoring.detect(frames, stub_detector, stub_detector, ["n"])
     assert got.filter("confidence < 0.3").count() == 0
     assert {r["model_type"] for r in got.collect()} == {"player_model", "disc_model"}
+
+
+def test_metric_files_are_written_by_many_tasks(spark):
+    """Small as the rows are, their files are not all left to one task."""
+    folder = source_queries._written_metrics(spark, "/root/testdata/sf0.001")
+    files = spark.read.option("recursiveFileLookup", "true").text(folder).select("_metadata.file_name").distinct().collect()
+    assert len({r.file_name[:10] for r in files}) > 1
