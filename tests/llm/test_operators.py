@@ -356,6 +356,32 @@ def test_token_files(spark, docs, none, tmp_path):
             at += len(ids)
 
 
+def test_chunks_go_to_the_library_together():
+    """Far fewer texts than chunks, with the ids of whole texts, whatever white space and symbols lie between."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    with open(path, "rb") as f:
+        own = token_files.Encoder(f.read())
+
+    class Recorder:
+        given = 0
+
+        def encode_batch_fast(self, texts, **options):
+            self.given += len(texts)
+            return plain.encode_batch_fast(texts, **options)
+
+    own.tokenizer = recorder = Recorder()
+    rng = np.random.default_rng(4)
+    odd = [" ", "  ", "\n", "\t", "\x1c", "\x85", "\u3000", "\r\n", "\n ", "'s", "é", "日本", "\U0001f600", "\u0301", "7", "<|end", "of", "\0", "--"]
+    texts = ["".join(rng.choice(odd, rng.integers(0, 30))) for _ in range(400)]
+    texts += [" ".join(f"w{rng.integers(1 << 20)}é" for _ in range(50)) for _ in range(40)] + ["", None, " ", "\n", "a ", " a", "a\n", "\na"]
+    for text, ids in zip(texts, own.encode(texts)):
+        assert ids.tolist() == plain.encode(text or "", add_special_tokens=False).ids
+    assert recorder.given < own.cache.known / 2
+
+
 def test_other_vocabularies_are_refused():
     import json
 
