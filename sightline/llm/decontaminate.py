@@ -20,6 +20,7 @@ the most edits allowed still share in trials with random edits, half of the loss
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,9 @@ FINE = 5  # bytes of the seeds that candidates are looked at by again
 AGREE = 4  # seeds that must agree, at least; else the next of SEEDS is taken
 TRIALS = 400
 SLICE = 1 << 19  # bytes of a block whose seeds are counted at a time
+LANES = 1 << 13  # pieces of items whose edits are worked out side by side
+CANDIDATES = 1 << 12  # looked at together; a few are compared one by one
+FEW = 16
 SLOTS = 20  # bits of a seed's slot, and of a counter's
 ITEMS = 1000  # items sent to the tasks at a time
 SEED = 5
@@ -124,6 +128,50 @@ def edit_distance(item: bytes, text: bytes, most: int) -> tuple[int, int]:
     return best, end
 
 
+def least_edits(items: list[bytes], data: np.ndarray, owner: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Edits that lead at least from ``items[owner]`` to any part of ``data[low:high]``, for many spans at once.
+
+    An item is cut into pieces of up to 64 bytes. Those of a passage lie apart, so that its edits
+    are no fewer than the pieces' own at their best places, which are worked out side by side.
+    """
+    cuts = [np.array_split(np.frombuffer(f, np.uint8), -(-len(f) // 64)) for f in items]
+    sizes = np.array([len(c) for c in cuts])
+    cut = [c for own in cuts for c in own]
+    length = np.array([len(c) for c in cut])
+    out = np.zeros(len(owner), np.int64)
+    order = np.argsort(low - high, kind="stable")  # the longest spans first, so that those left stay in front
+    ends = np.cumsum(sizes[owner[order]])
+    for own in np.split(order, np.flatnonzero(np.diff(ends // LANES)) + 1):
+        n = sizes[owner[own]]
+        lane = np.repeat(np.arange(len(own)), n)
+        piece = np.arange(len(lane)) - np.repeat(np.cumsum(n) - n - (np.cumsum(sizes) - sizes)[owner[own]], n)
+        used, row = np.unique(piece, return_inverse=True)
+        masks = np.zeros((len(used), 256), np.uint64)
+        for mask, k in zip(masks, used):
+            np.bitwise_or.at(mask, cut[k], np.uint64(1) << np.arange(len(cut[k]), dtype=np.uint64))
+        masks = masks.ravel()
+        row, at, size = row * 256, low[own][lane], (high - low)[own][lane]
+        top, score = (length[piece] - 1).astype(np.uint64), length[piece].astype(np.uint64)
+        best = score.copy()
+        plus, minus = np.full(len(lane), ~np.uint64(0)), np.zeros(len(lane), np.uint64)
+        left = np.searchsorted(-size, -np.arange(size[0]), "left") if len(size) else ()
+        for j, m in enumerate(left):  # as in edit_distance; bits above a piece's last are never read
+            p, q, s = plus[:m], minus[:m], score[:m]
+            eq = masks[row[:m] + data[at[:m] + j]]
+            across = (((eq & p) + p) ^ p) | eq
+            up, down = q | ~(across | p), p & across
+            s += (up >> top[:m]) & np.uint64(1)
+            s -= (down >> top[:m]) & np.uint64(1)
+            up <<= np.uint64(1)
+            down <<= np.uint64(1)
+            eq |= q
+            np.bitwise_or(down, ~(eq | up), out=p)
+            np.bitwise_and(up, eq, out=q)
+            np.minimum(best[:m], s, out=best[:m])
+        out[own] = np.bincount(lane, best, len(own)).astype(np.int64)
+    return out
+
+
 @lru_cache(1 << 12)
 def seeds_left(n: int, edits: int, size: int, recall: float) -> int:
     """Seeds that ``recall`` of the passages of ``n`` bytes share with the item after random edits."""
@@ -200,8 +248,11 @@ class Seeds:
             keep = np.flatnonzero(near >= self.asked[item])
             if not len(keep):
                 continue
-            rows = np.stack([np.searchsorted(doc_ends, where[keep], "right"), item[keep], band[keep]])
-            rows, n = np.unique(rows, axis=1, return_counts=True)
+            # One number for a document, item and band: far below 2 ** 63 for a block's bytes.
+            n_bands, n_items = int(band[keep].max()) + 1, len(self.asked)
+            rows = (np.searchsorted(doc_ends, where[keep], "right") * n_items + item[keep]) * n_bands + band[keep]
+            rows, n = np.unique(rows, return_counts=True)
+            rows = np.stack([*np.divmod(rows // n_bands, n_items), rows % n_bands])
             after = np.r_[(rows[:2, 1:] == rows[:2, :-1]).all(axis=0) & (rows[2, 1:] == rows[2, :-1] + 1), False]
             both = n + np.where(after, np.r_[n[1:], 0], 0)
             d, i, b = rows[:, both >= self.asked[rows[1]]]
@@ -292,20 +343,35 @@ class Index:
         """(document in the block, item, edits, start, end in bytes) of every passage found."""
         data = _FOLD[block.data]
         found: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for d, i, least, greatest in self._candidates(block, data):
-            item = self.items[i]
-            most = int(self.max_edits * len(item))
-            a, b = int(block.doc_starts[d]), int(block.doc_ends[d]) - 1
-            low, high = max(a, least - most), min(b, greatest + len(item) + most)
-            known = found.get((d, i))
-            if known and known[0] == 0:
-                continue
-            edits, end = edit_distance(item, data[low:high].tobytes(), most)
-            if edits <= most and (known is None or edits < known[0]):
-                begin = max(low, low + end - len(item))
-                found[d, i] = (edits, begin - a, low + end - a)
+        candidates = iter(self._candidates(block, data))
+        while some := list(islice(candidates, CANDIDATES)):
+            for d, i, low, high in self._possible(block, data, some):
+                item, a = self.items[i], int(block.doc_starts[d])
+                known = found.get((d, i))
+                if known and known[0] == 0:
+                    continue
+                most = int(self.max_edits * len(item))
+                edits, end = edit_distance(item, data[low:high].tobytes(), most)
+                if edits <= most and (known is None or edits < known[0]):
+                    begin = max(low, low + end - len(item))
+                    found[d, i] = (edits, begin - a, low + end - a)
         return [(d, self.ids[i], *rest) for (d, i), rest in sorted(found.items())]
 
+    def _possible(self, block: Block, data: np.ndarray, candidates: list) -> list[tuple[int, int, int, int]]:
+        """Distinct (document, item, span to compare) of the candidates, but those whose edits are surely too many."""
+        spans = {}
+        for d, i, least, greatest in candidates:
+            n = len(self.items[i])
+            most = int(self.max_edits * n)
+            a, b = int(block.doc_starts[d]), int(block.doc_ends[d]) - 1
+            spans[d, i, max(a, least - most), min(b, greatest + n + most)] = most
+        if len(spans) < FEW:
+            return list(spans)
+        _, item, low, high = np.array(list(spans)).T
+        asked, owner = np.unique(item, return_inverse=True)
+        edits = least_edits([self.items[i] for i in asked], data, owner, low, high)
+        return [span for (span, most), n in zip(spans.items(), edits.tolist()) if n <= most]
+
     def _candidates(self, block: Block, data: np.ndarray):
         """(document, item, least and greatest expected start): short items as they are, samples, seeds."""
         for d, i, at in self._sampled(block, data):
@@ -335,8 +401,8 @@ class Index:
                 hit = np.flatnonzero(known[np.minimum(left, len(known) - 1)] == key)
                 count = np.searchsorted(known, key[hit], "right") - left[hit]
                 window = order[np.repeat(left[hit], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
-                pairs.append(np.stack([np.repeat(hit, count), window]))
-        pairs = np.unique(np.concatenate(pairs, axis=1), axis=1)
+                pairs.append(np.repeat(hit, count) * len(self.owner) + window)
+        pairs = np.stack(np.divmod(np.unique(np.concatenate(pairs)), len(self.owner)))
         if not pairs.shape[1]:
             return
         # Embeddings of strings far apart differ nearly everywhere: these need no table of edits.

@@ -461,6 +461,34 @@ def test_edit_distance():
         assert decontaminate.edit_distance(a, b, len(a))[0] == min(row)
 
 
+def test_least_edits_bound_the_distance():
+    rng = random.Random(8)
+    items = [bytes(rng.choices(b"ab c", k=n)) for n in (1, 17, 63, 64, 65, 128, 300)]
+    data = np.frombuffer(bytes(rng.choices(b"ab c", k=900)) + b"".join(items), np.uint8)
+    spans = [(i, *sorted(rng.choices(range(len(data)), k=2))) for i in list(range(len(items))) * 60]
+    owner, low, high = np.array(spans).T
+    least = decontaminate.least_edits(items, data, owner, low, high).tolist()
+    exact = [decontaminate.edit_distance(items[i], data[a:b].tobytes(), len(items[i]))[0] for i, a, b in spans]
+    assert all(x <= y for x, y in zip(least, exact))
+    assert all(x == y for x, y, (i, *_) in zip(least, exact, spans) if len(items[i]) <= 64)
+
+
+def test_few_candidates_are_compared_one_by_one(monkeypatch):
+    rng = random.Random(9)
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(3, 9))) for _ in range(60)]
+    prose = lambda k: " ".join(rng.choices(words, k=k))
+    items = [(i, prose(40)) for i in range(40)]
+    texts = [prose(600) for _ in range(40)] + [f"{prose(200)} {items[7][1]} {prose(200)}"]
+    index = decontaminate.Index(items)
+    plain, calls = decontaminate.edit_distance, []
+    monkeypatch.setattr(decontaminate, "edit_distance", lambda *a: calls.append(a) or plain(*a))
+    (block,) = blocks(texts)
+    candidates = len(list(index._candidates(block, block.data)))
+    found = index.search(block)
+    assert [(d, i, edits) for d, i, edits, *_ in found] == [(40, 7, 0)]
+    assert candidates > 100 and len(calls) < candidates / 10
+
+
 # --- near duplicates
 
 
