@@ -68,6 +68,16 @@ class CharCNN:
             np.zeros(FILTERS, np.float32), normal(FILTERS) * 0.1, np.zeros(1, np.float32),
         )
 
+    @classmethod
+    def of(cls, parameters) -> CharCNN:
+        """The network of ``parameters()``, uncalibrated."""
+        shapes = ((SYMBOLS, EMBED), (WIDTH * (EMBED + 1), FILTERS), (FILTERS,), (FILTERS,), (1,))
+        ends = np.cumsum([int(np.prod(s)) for s in shapes])[:-1]
+        return cls(*(p.reshape(s) for p, s in zip(np.split(np.array(parameters, np.float32), ends), shapes)))
+
+    def parameters(self) -> list[float]:
+        return np.concatenate([p.ravel() for p in (self.embed, self.conv, self.bias, self.out, self.shift)]).astype(float).tolist()
+
     def _columns(self, symbols: np.ndarray) -> np.ndarray:
         """Every run of WIDTH embedded characters, laid side by side."""
         x = np.concatenate([self.embed[symbols], np.broadcast_to(_IN, (*symbols.shape, 1))], axis=2)
@@ -139,14 +149,15 @@ class CharCNN:
         np.add.at(d_embed, where.reshape(-1), d_seen.reshape(-1, EMBED))
         return [d_embed, d_conv, to_peak.sum(0), error @ pooled, error.sum(keepdims=True)]
 
-    def calibrate(self, logits: np.ndarray, labels: np.ndarray) -> None:
-        """Slope and shift that make the probabilities of held-out rows right (Newton steps)."""
+    def calibrate(self, logits: np.ndarray, labels: np.ndarray, counts: np.ndarray | float = 1.0) -> None:
+        """Slope and shift that make the probabilities of held-out rows, each ``counts`` times, right (Newton steps)."""
         x, (a, b) = logits, (1.0, 0.0)
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(a * x + b, -40, 40)))
-            w = p * (1 - p) + 1e-6
+            w = (p * (1 - p) + 1e-6) * counts
+            off = (p - labels) * counts
             # A weak pull to the identity keeps separable data finite.
-            g = np.array([((p - labels) * x).sum() + 0.1 * (a - 1), (p - labels).sum() + 0.1 * b])
+            g = np.array([(off * x).sum() + 0.1 * (a - 1), off.sum() + 0.1 * b])
             h = np.array([[(w * x * x).sum() + 0.1, (w * x).sum()], [(w * x).sum(), w.sum() + 0.1]])
             step = np.linalg.solve(h, g)
             a, b = a - step[0], b - step[1]
@@ -155,9 +166,12 @@ class CharCNN:
         self.calibration = (float(a), float(b))
 
 
-def recall_threshold(scores: np.ndarray, labels: np.ndarray, recall: float) -> float:
-    """Greatest threshold at which at least ``recall`` of the positives score as much or more."""
-    positive = np.sort(scores[labels > 0])
-    if not len(positive):
+def recall_threshold(scores: np.ndarray, labels: np.ndarray, recall: float, counts: np.ndarray | None = None) -> float:
+    """Greatest threshold at which at least ``recall`` of the positives, each ``counts`` times, score as much or more."""
+    own = labels > 0
+    if not own.any():
         return 1.1
-    return float(positive[min(len(positive) - 1, int(np.floor((1 - recall) * len(positive) + 1e-9)))])
+    order = np.argsort(scores[own], kind="stable")
+    upto = np.cumsum(np.ones(len(order), np.int64) if counts is None else counts[own][order])
+    below = min(int(upto[-1]) - 1, int(np.floor((1 - recall) * upto[-1] + 1e-9)))
+    return float(scores[own][order][np.searchsorted(upto, below, "right")])

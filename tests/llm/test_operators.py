@@ -232,6 +232,35 @@ def test_thresholds_keep_the_recall(texts, monkeypatch):
         assert (scores[labels > 0] >= threshold).mean() >= secret_scan.RECALL
 
 
+def test_model_learns_from_every_text(spark):
+    rng = random.Random(12)
+    prose = lambda: " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randint(3, 9))) for _ in range(30))
+    data = [(i, prose()) for i in range(24)]
+    fit = lambda rows, n: secret_scan.fit_model(
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(n), texts=8, rows=480
+    )
+    model, again = fit(data, 1), fit(data[::-1], 3)
+    assert model.network.parameters() == again.network.parameters() and model.thresholds == again.thresholds
+    for i in (0, 9, 23):
+        other = fit([(k, t + " password=abcdefgh12" if k == i else t) for k, t in data], 1)
+        assert other.network.parameters() != model.network.parameters()
+    rows = secret_scan.labelled_rows(spark.createDataFrame(data, "doc_id long, text string"), 3, 20).collect()
+    assert len({r["key"] for r in rows}) == 24 and len(rows) == 480
+    held = [(r["named"], np.frombuffer(r["symbols"], np.uint8).reshape(-1, char_cnn.LENGTH)) for r in rows if r["held"] and r["label"]]
+    scores = np.array([model.network.probabilities(model.network.logits(s.astype(np.int64))).max() for _, s in held])
+    for kind in (0, 1):
+        own = np.array([g == kind for g, _ in held])
+        assert (scores[own] >= model.thresholds[kind]).mean() >= secret_scan.RECALL
+
+
+def test_recall_threshold_by_counts():
+    rng = np.random.default_rng(4)
+    scores, labels, counts = rng.random(40).round(1), rng.integers(0, 2, 40), rng.integers(1, 9, 40)
+    for recall in (0.5, 0.9, 0.98, 1.0):
+        each = char_cnn.recall_threshold(scores.repeat(counts), labels.repeat(counts), recall)
+        assert char_cnn.recall_threshold(scores, labels, recall, counts) == each
+
+
 def test_long_runs_are_read_to_their_end(texts):
     before, inside, after = "b" * 16, "".join(chr(65 + i % 26) for i in range(100)), "a" * 16
     for n in (40, 41, 59, 60, 61, 100):
