@@ -14,6 +14,7 @@ from .support import cut_lineage, map_groups, salted_join, spread
 
 FRAME = ("video_id", "frame_idx")
 BLOCK = 4096
+BATCH = 1 << 15  # numbers or distances worked out at once, few enough to stay near the processor
 
 # Picking numbers: each (trial, point) gets a number below 2**22; the smallest wins a trial.
 PRIME = 2147483647
@@ -132,26 +133,55 @@ FITTED = (
 )
 
 
-def _tickets(ids: np.ndarray, trials: np.ndarray, factors: tuple[int, int]) -> np.ndarray:
-    a, b = factors
-    h = (ids[None, :] % PRIME * a + trials[:, None] * b) % PRIME
-    return h * h % PRIME % (1 << 22) * (1 << 40) + ids[None, :]
+def _rest(numbers: np.ndarray, factor: int) -> np.ndarray:
+    return (numbers % PRIME * factor % PRIME).astype(np.uint32)
+
+
+def _numbers(of_id: np.ndarray, of_trial: np.ndarray) -> np.ndarray:
+    """Picking numbers, without the ids below them, of all ids in all trials by the rests of both.
+
+    PRIME is 2**31 - 1: a remainder by it is the sum of 31-bit halves, and a sum of two remainders
+    less PRIME wraps round to a larger number if it was below.
+    """
+    prime = np.uint32(PRIME)
+    h = of_id[None, :] + of_trial[:, None]
+    np.minimum(h, h - prime, out=h)
+    square = np.multiply(h, h, dtype=np.uint64)
+    h = square.astype(np.uint32)
+    h &= prime
+    square >>= np.uint64(31)
+    h += square.astype(np.uint32)
+    np.minimum(h, h - prime, out=h)
+    h &= np.uint32((1 << 22) - 1)
+    return h
+
+
+def _picks(of_ids: list[np.ndarray], of_trials: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of each trial's two points among ascending ids: of equal numbers the lower id's is less."""
+    first = _numbers(of_ids[0], of_trials[0]).argmin(axis=1)
+    numbers = _numbers(of_ids[1], of_trials[1])
+    second = numbers.argmin(axis=1)
+    same = np.flatnonzero(second == first)
+    second[same] = numbers.shape[1] - 1 - numbers[same, ::-1].argmax(axis=1)
+    return first, second
 
 
 def _fit_frame(
     ids: np.ndarray, x: np.ndarray, y: np.ndarray, num_lines: int, distance: float, trials: int,
     seed: int,
 ) -> list[tuple]:
-    """All rounds for one frame's points, each round's trials at once."""
+    """All rounds for one frame's points, in ascending order of ids."""
     out, limit = [], float(distance) ** 2
+    of_ids = [_rest(ids, a) for a, _ in (FIRST, SECOND)]
     for n in range(num_lines):
-        if len(ids) < 2:
+        if len(x) < 2:
             break
         rounds = np.arange(trials, dtype=np.int64) + seed + n * trials
-        first = _tickets(ids, rounds, FIRST).argmin(axis=1)
-        tickets = _tickets(ids, rounds, SECOND)
-        second = tickets.argmin(axis=1)
-        second = np.where(second == first, tickets.argmax(axis=1), second)
+        of_trials = [_rest(rounds, b) for _, b in (FIRST, SECOND)]
+        step = max(1, BATCH // len(x))
+        parts = [slice(i, i + step) for i in range(0, trials, step)]
+        picked = [_picks(of_ids, [rests[part] for rests in of_trials]) for part in parts]
+        first, second = (np.concatenate(ends) for ends in zip(*picked))
         dx, dy = x[second] - x[first], y[second] - y[first]
         square = dx * dx + dy * dy
         good = (first != second) & (square >= 1e-12)
@@ -160,18 +190,24 @@ def _fit_frame(
         norm = np.sqrt(np.where(good, square, 1.0))
         a, b = -dy / norm, dx / norm
         c = -(a * x[first] + b * y[first])
-        d = a[:, None] * x[None, :] + b[:, None] * y[None, :] + c[:, None]
-        near = (d * d <= limit) & good[:, None]
-        counts = near.sum(axis=1)
+
+        def near(part: slice) -> np.ndarray:
+            d = a[part, None] * x[None, :]
+            d += b[part, None] * y[None, :]
+            d += c[part, None]
+            d *= d
+            return d <= limit
+
+        counts = np.where(good, np.concatenate([np.count_nonzero(near(part), axis=1) for part in parts]), 0)
         k = int(counts.argmax())
-        hit = near[k]
+        hit = near(slice(k, k + 1))[0]
         xs, ys = (x[hit].min(), x[hit].max()), (y[hit].min(), y[hit].max())
         if abs(b[k]) <= 1e-6:
             xs = (-c[k] / a[k],) * 2
         else:
             ys = tuple(-(a[k] * v + c[k]) / b[k] for v in xs)
         out.append((n, k, int(counts[k]), a[k], b[k], c[k], xs[0], ys[0], xs[1], ys[1]))
-        ids, x, y = ids[~hit], x[~hit], y[~hit]
+        x, y, of_ids = x[~hit], y[~hit], [rests[~hit] for rests in of_ids]
     return out
 
 
@@ -204,26 +240,36 @@ def fit_lines_ransac(
         points.groupBy(*keys).count()
         .filter((F.col("count") > group_limit) & (F.col("count") >= need)).select(*keys)
     )
+
+    def points_of(group: pd.DataFrame):
+        return group["point_id"].to_numpy(np.int64), group["x"].to_numpy(float), group["y"].to_numpy(float)
+
+    settings = (num_lines, distance, trials, seed)
+    if large.isEmpty():
+        return _fit_groups(points, keys, ["point_id"], points_of, need, settings)
+    fitted = _fit_groups(points.join(large, keys, "left_anti"), keys, ["point_id"], points_of, need, settings)
+    rest = _fit_by_rounds(
+        points.join(large, keys, "left_semi"), num_lines, distance, trials, seed, keys, block_size
+    )
+    return fitted.unionByName(rest)
+
+
+def _fit_groups(rows: DataFrame, keys: list[str], order: list[str], points_of, need: int, settings: tuple) -> DataFrame:
+    """Lines of whole frames: ``points_of`` a frame's sorted rows are its ids, x and y."""
     names = [c.split()[0] for c in FITTED.split(", ")]
-    key_ddl = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in keys)
+    key_ddl = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
 
     def fit(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-        ids, x, y = pdf["point_id"].to_numpy(np.int64), pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)
         lines, owners = [], []
         for a, b in zip(starts[:-1], starts[1:]):
-            if b - a >= need:
-                lines += _fit_frame(ids[a:b], x[a:b], y[a:b], num_lines, distance, trials, seed)
+            ids, x, y = points_of(pdf.iloc[a:b])
+            if len(ids) >= need:
+                lines += _fit_frame(ids, x, y, *settings)
                 owners += [a] * (len(lines) - len(owners))
         of = pdf[keys].iloc[owners].reset_index(drop=True)
         return pd.concat([of, pd.DataFrame(lines, columns=names)], axis=1)
 
-    if large.isEmpty():
-        return map_groups(points, keys, [], fit, f"{key_ddl}, {FITTED}")
-    fitted = map_groups(points.join(large, keys, "left_anti"), keys, [], fit, f"{key_ddl}, {FITTED}")
-    rest = _fit_by_rounds(
-        points.join(large, keys, "left_semi"), num_lines, distance, trials, seed, keys, block_size
-    )
-    return fitted.unionByName(rest)
+    return map_groups(rows, keys, order, fit, f"{key_ddl}, {FITTED}")
 
 
 def _fit_by_rounds(
@@ -295,10 +341,38 @@ def away_from_edge(points: DataFrame, width: int, height: int, margin: float = F
     return salted_join(points, groups, list(keys)).where(inside | ~F.col("some_inside")).drop("some_inside")
 
 
+def _contour_fit_points(
+    contour: pd.DataFrame, width: int, height: int, max_distance: float, min_distance: float, margin: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, x and y that a sorted contour is fitted by: the same as of ``densify_contours`` and ``away_from_edge``."""
+    x, y = contour["x"].to_numpy(float), contour["y"].to_numpy(float)
+    dx, dy = np.roll(x, -1) - x, np.roll(y, -1) - y
+    length = np.sqrt(dx * dx + dy * dy)
+    wide = length > max_distance
+    extra = np.where(wide, np.ceil(np.where(wide, length, 0.0) / float(max_distance)) - 1, 0).astype(np.int64)
+    spacing = length / (extra + 1)
+    apart = spacing > 0
+    stride = np.where(apart, np.ceil(float(min_distance) / np.where(apart, spacing, 1.0)), 1)
+    stride = np.maximum(stride, 1).astype(np.int64)
+    at = np.repeat(np.arange(len(x)), extra + 1)
+    sub = np.arange(len(at)) - np.repeat(np.cumsum(extra + 1) - extra - 1, extra + 1)
+    kept = sub % stride[at] == 0
+    at, sub = at[kept], sub[kept]
+    part = sub / (extra[at] + 1)
+    x, y = x[at] + part * dx[at], y[at] + part * dy[at]
+    ids = contour["pt_idx"].to_numpy(np.int64)[at] * SUB + sub
+    inside = (x >= margin) & (x <= width - margin) & (y >= margin) & (y <= height - margin)
+    if inside.any():
+        ids, x, y = ids[inside], x[inside], y[inside]
+    return ids, x, y
+
+
 def extract_field_lines(
     contour_points: DataFrame, width: int, height: int, max_distance: float = FIELD.max_point_distance,
     min_distance: float = FIELD.min_point_distance, margin: float = FIELD.edge_margin,
-    num_lines: int = FIELD.num_lines, keys=FRAME, **fit,
+    num_lines: int = FIELD.num_lines, keys=FRAME, distance: float = FIELD.line_distance,
+    trials: int = FIELD.trials, seed: int = 0, min_points: int | None = None,
+    min_samples: int = FIELD.min_samples, group_limit: int = 20_000, **fit,
 ) -> DataFrame:
     """From contours to lines with confidence, for all frames in one plan.
 
@@ -307,16 +381,37 @@ def extract_field_lines(
     up to ``num_lines`` lines to the rest and rates each by its inliers against the contour's own
     points. ``fit`` goes to ``fit_lines_ransac``. Frames without a contour of the least area have
     no lines.
+
+    The points added are many times the contour's own. Where a frame has no more than ``group_limit``
+    of both, they are made where its lines are fitted and never shuffled or written; larger contours
+    are filled, sifted and fitted over blocks of points, with the same result.
     """
     keys = list(keys)
-    best = cut_lineage(largest_contour(contour_measures(contour_points), keys=keys).select(*keys, "contour_id", "points"))
+    # At most one point is added for each max_distance of an edge.
+    dense_size = F.col("points") + F.col("perimeter") / F.lit(float(max_distance))
+    best = cut_lineage(
+        largest_contour(contour_measures(contour_points), keys=keys)
+        .select(*keys, "contour_id", "points", F.coalesce(dense_size > group_limit, F.lit(True)).alias("large"))
+    )
     own = salted_join(contour_points, best.drop("points"), [*keys, "contour_id"])
-    dense = densify_contours(own, max_distance, min_distance)
-    kept = away_from_edge(dense, width, height, margin, keys)
-    point_id = F.col("pt_idx").cast("bigint") * SUB + F.col("sub_idx")
-    # The fit reads its points several times; they are worked out once.
-    points = cut_lineage(kept.select(*keys, point_id.alias("point_id"), "x", "y"))
-    lines = fit_lines_ransac(points, num_lines=num_lines, keys=keys, **fit)
+    need = num_lines * min_samples if min_points is None else min_points
+
+    def points_of(contour: pd.DataFrame):
+        return _contour_fit_points(contour, width, height, max_distance, min_distance, margin)
+
+    small = own.where(~F.col("large")).select(*keys, "pt_idx", "x", "y")
+    lines = _fit_groups(small, keys, ["pt_idx"], points_of, need, (num_lines, distance, trials, seed))
+    if not best.where("large").isEmpty():
+        dense = densify_contours(own.where("large").drop("large"), max_distance, min_distance)
+        kept = away_from_edge(dense, width, height, margin, keys)
+        point_id = F.col("pt_idx").cast("bigint") * SUB + F.col("sub_idx")
+        # The fit reads its points several times; they are worked out once.
+        points = cut_lineage(kept.select(*keys, point_id.alias("point_id"), "x", "y"))
+        lines = lines.unionByName(
+            fit_lines_ransac(
+                points, num_lines, distance, trials, seed, min_samples, min_points, keys, group_limit=group_limit, **fit
+            )
+        )
     return with_line_band(line_confidence(lines, best, num_lines, keys))
 
 

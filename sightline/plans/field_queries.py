@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import field as fld
 from ..operators import lines as lin
 from ..operators.ordered import neighbour_rows
+from ..settings import FIELD
 from ..sources.records import explode_contours
 from .catalog import FRAME, big, query, r6, raw, sql_r6, table, view
 
@@ -137,15 +138,17 @@ def _(spark, sf):
     return kept.select(*KEY, *big("contour_id"), "pt_idx", "x", "y")
 
 
-DENSE = f"""(SELECT video_id, frame_idx, CAST(contour_id AS BIGINT) AS contour_id, pt_idx, k AS sub_idx,
+def sql_dense(most: float) -> str:
+    """Contours with no edge longer than ``most``."""
+    return f"""(SELECT video_id, frame_idx, CAST(contour_id AS BIGINT) AS contour_id, pt_idx, k AS sub_idx,
 x + k / (extra + 1.0::DOUBLE) * (nx - x) AS x, y + k / (extra + 1.0::DOUBLE) * (ny - y) AS y FROM
-(SELECT *, unnest(range(0, extra + 1)) AS k FROM (SELECT *, CASE WHEN d > 200 THEN CAST(ceil(d / 200) AS BIGINT) - 1 ELSE 0 END AS extra FROM
+(SELECT *, unnest(range(0, extra + 1)) AS k FROM (SELECT *, CASE WHEN d > {most} THEN CAST(ceil(d / {most}) AS BIGINT) - 1 ELSE 0 END AS extra FROM
 (SELECT *, sqrt((nx - x) * (nx - x) + (ny - y) * (ny - y)) AS d FROM {NEXT}))))"""
 
 
 @query(
     "densify_contours",
-    f"SELECT video_id, frame_idx, contour_id, pt_idx, sub_idx, {sql_r6('x', 'y')} FROM {DENSE}",
+    f"SELECT video_id, frame_idx, contour_id, pt_idx, sub_idx, {sql_r6('x', 'y')} FROM {sql_dense(200)}",
 )
 def _(spark, sf):
     return fld.densify_contours(table(spark, sf, "contour_points"), 200.0).select(
@@ -195,25 +198,40 @@ arg_max(point_id, {two}) AS id_c FROM {points}, range(0, 20) t(trial) GROUP BY 1
 WHERE id_a <> CASE WHEN id_b = id_a THEN id_c ELSE id_b END)"""
 
 
-def sql_best(points: str, seed: int = 0) -> str:
-    """Best trial line per frame over ``points``, as ``n = 1``."""
-    trials = f"""(SELECT {KEYS2}, trial, la, lb, -(la * ax + lb * ay) AS lc FROM (SELECT k.video_id, k.frame_idx, k.trial,
+def sql_trials(points: str, seed: int = 0, drawn: str | None = None) -> str:
+    """Line of each trial, from ``drawn``: the picks with their first points as ``a``, joined here if not given."""
+    ends = f"{drawn} k" if drawn else f"""{sql_picks(points, seed)} k
+JOIN {points} a ON a.video_id = k.video_id AND a.frame_idx = k.frame_idx AND a.point_id = k.id_a"""
+    return f"""(SELECT {KEYS2}, trial, la, lb, -(la * ax + lb * ay) AS lc FROM (SELECT k.video_id, k.frame_idx, k.trial,
 -(b.y - a.y) / sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS la,
-(b.x - a.x) / sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS lb, a.x AS ax, a.y AS ay FROM {sql_picks(points, seed)} k
-JOIN {points} a ON a.video_id = k.video_id AND a.frame_idx = k.frame_idx AND a.point_id = k.id_a
+(b.x - a.x) / sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS lb, a.x AS ax, a.y AS ay FROM {ends}
 JOIN {points} b ON b.video_id = k.video_id AND b.frame_idx = k.frame_idx AND b.point_id = k.id_b WHERE a.x <> b.x OR a.y <> b.y))"""
+
+
+def sql_best(points: str, seed: int = 0, trials: str | None = None) -> str:
+    """Best trial line per frame over ``points``, as ``n = 1``."""
     return f"""(SELECT *, CASE WHEN abs(lb) <= 1e-6 THEN -lc / la ELSE x_min END AS x1, CASE WHEN abs(lb) <= 1e-6 THEN y_min ELSE -(la * x_min + lc) / lb END AS y1,
 CASE WHEN abs(lb) <= 1e-6 THEN -lc / la ELSE x_max END AS x2, CASE WHEN abs(lb) <= 1e-6 THEN y_max ELSE -(la * x_max + lc) / lb END AS y2,
 row_number() OVER (PARTITION BY {KEYS2} ORDER BY inliers DESC, trial) AS n FROM
 (SELECT {KEYS2}, trial, la, lb, lc, count(*) AS inliers, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max
-FROM {trials} JOIN {points} USING ({KEYS2}) WHERE NOT ({FAR}) GROUP BY ALL))"""
+FROM {trials or sql_trials(points, seed)} JOIN {points} USING ({KEYS2}) WHERE NOT ({FAR}) GROUP BY ALL))"""
+
 
+def sql_all_rounds(rounds: int = 4, points: str = P, by_steps: bool = False) -> str:
+    """Four rounds, each on the points that the lines before leave over.
 
-def sql_all_rounds(rounds: int = 4, points: str = P) -> str:
-    """Four rounds, each on the points that the lines before leave over."""
+    ``by_steps`` states the joins of a round as tables of their own: in one expression DuckDB may join
+    all points of a frame with each other before it looks at the ids picked.
+    """
     steps = [f"p0 AS MATERIALIZED (SELECT * FROM {points})"]
     for n in range(rounds):
-        steps.append(f"b{n} AS MATERIALIZED (SELECT * FROM {sql_best(f'p{n}', n * 20)} WHERE n = 1)")
+        trials = None
+        if by_steps:
+            first = "a.video_id = k.video_id AND a.frame_idx = k.frame_idx AND a.point_id = k.id_a"
+            steps.append(f"d{n} AS MATERIALIZED (SELECT k.*, a FROM {sql_picks(f'p{n}', n * 20)} k JOIN p{n} a ON {first})")
+            steps.append(f"t{n} AS MATERIALIZED {sql_trials(f'p{n}', drawn=f'd{n}')}")
+            trials = f"t{n}"
+        steps.append(f"b{n} AS MATERIALIZED (SELECT * FROM {sql_best(f'p{n}', n * 20, trials)} WHERE n = 1)")
         steps.append(
             f"p{n + 1} AS MATERIALIZED (SELECT p.* FROM p{n} p JOIN b{n} USING ({KEYS2}) WHERE {FAR})"
         )
@@ -246,14 +264,14 @@ def _(spark, sf):
     )
 
 
-# Only a band of 20 rows in the middle is away from the border, which some frames have no point in.
-EXTRACT_MARGIN = 530
+# With the operator's own margin and spacing: added points lie 10 to 20 apart, beyond its least distance.
+MARGIN = FIELD.edge_margin
 LARGEST = f"""(SELECT video_id, frame_idx, contour_id, points FROM (SELECT *,
 row_number() OVER (PARTITION BY video_id, frame_idx ORDER BY area DESC, contour_id) AS n FROM {MEASURES}) WHERE n = 1 AND area >= 5000)"""
 KEPT = f"""(SELECT video_id, frame_idx, pt_idx * {lin.SUB} + sub_idx AS point_id, x, y FROM
 (SELECT *, bool_or(inside) OVER (PARTITION BY video_id, frame_idx) AS any_inside FROM
-(SELECT d.*, x >= {EXTRACT_MARGIN} AND x <= {FRAME[0] - EXTRACT_MARGIN} AND y >= {EXTRACT_MARGIN} AND y <= {FRAME[1] - EXTRACT_MARGIN} AS inside
-FROM {DENSE} d JOIN {LARGEST} USING (video_id, frame_idx, contour_id))) WHERE inside OR NOT any_inside)"""
+(SELECT d.*, x >= {MARGIN} AND x <= {FRAME[0] - MARGIN} AND y >= {MARGIN} AND y <= {FRAME[1] - MARGIN} AS inside
+FROM {sql_dense(FIELD.max_point_distance)} d JOIN {LARGEST} USING (video_id, frame_idx, contour_id))) WHERE inside OR NOT any_inside)"""
 
 
 @query(
@@ -261,12 +279,10 @@ FROM {DENSE} d JOIN {LARGEST} USING (video_id, frame_idx, contour_id))) WHERE in
     f"""SELECT f.*, l.points, round(least(0.95, f.inliers / greatest(1, l.points // 4)), 6) AS confidence,
     CASE WHEN least(0.95, f.inliers / greatest(1, l.points // 4)) > 0.8 THEN 'excellent' WHEN least(0.95, f.inliers / greatest(1, l.points // 4)) > 0.6 THEN 'good'
     WHEN least(0.95, f.inliers / greatest(1, l.points // 4)) > 0.4 THEN 'fair' ELSE 'low' END AS band
-    FROM ({sql_all_rounds(4, KEPT)}) f JOIN {LARGEST} l USING (video_id, frame_idx)""",
+    FROM ({sql_all_rounds(4, KEPT, by_steps=True)}) f JOIN {LARGEST} l USING (video_id, frame_idx)""",
 )
 def _(spark, sf):
-    lines = lin.extract_field_lines(
-        table(spark, sf, "contour_points"), *FRAME, max_distance=200.0, margin=EXTRACT_MARGIN, min_points=2
-    )
+    lines = lin.extract_field_lines(table(spark, sf, "contour_points"), *FRAME, min_points=2)
     return lines.select(
         *KEY, "line_idx", "trial", "inliers", *r6("x1", "y1", "x2", "y2"), "points", *r6("confidence"), "band"
     )
