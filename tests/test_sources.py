@@ -147,6 +147,24 @@ def test_training_metrics_over_many_blocks(spark, tmp_path):
     assert len(got) == 4000 and all(r["metric"] == "loss" and r["value"] == r["epoch"] for r in got)
 
 
+def test_training_metrics_of_short_and_long_files(spark, tmp_path):
+    """Short files, read whole and without a shuffle, have the rows they have line by line."""
+    texts = {"bom": "\ufeffepoch,loss\n1,0.5\n", "mac": "epoch,loss\r2,0.5\r\r3,0.25", "dos": "\r\n loss , epoch\r\n0.5,4\r\n", "none": "",
+             "long": "epoch,acc\n" + "".join(f"{i},{i}.5\n" for i in range(100))}
+    for run, text in texts.items():
+        (tmp_path / "a" / run).mkdir(parents=True)
+        (tmp_path / "a" / run / "results.csv").write_bytes(text.encode())
+    read = [runs.read_training_metrics(spark, str(tmp_path), whole=whole) for whole in (1 << 20, 0, 100)]
+    rows = [sorted(map(tuple, d.collect())) for d in read]
+    assert len(rows[0]) == 104 and rows[0] == rows[1] == rows[2]
+    assert rows[0][:2] == [("a/bom", 1, "loss", 0.5), ("a/dos", 4, "loss", 0.5)]
+    plan = read[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Exchange" in read[1]._jdf.queryExecution().executedPlan().toString()
+    q = runs.stream_training_metrics(spark, str(tmp_path)).writeStream.format("memory").queryName("short_files")
+    q.trigger(availableNow=True).start().awaitTermination()
+    assert sorted(map(tuple, spark.table("short_files").collect())) == rows[0]
+
+
 def test_training_log(spark, tmp_path):
     (tmp_path / "r1").mkdir()
     text = "0\t2024-01-01 00:00:00\tscanning \"x\"\n1\t2024-01-01 00:00:09\t3/50  1.2G\n"
@@ -220,3 +238,17 @@ def test_metric_files_are_written_by_many_tasks(spark):
     folder = source_queries._written_metrics(spark, "/root/testdata/sf0.001")
     files = spark.read.option("recursiveFileLookup", "true").text(folder).select("_metadata.file_name").distinct().collect()
     assert len({r.file_name[:10] for r in files}) > 1
+
+
+def test_metric_files_start_no_process_each(spark):
+    """Spark's writer starts some eight processes for each file; the tasks write their files themselves."""
+    def forks():
+        with open("/proc/stat") as f:
+            return int(next(line for line in f if line.startswith("processes")).split()[1])
+
+    source_queries._written_metrics(spark, "/root/testdata/sf0.001")  # starts the workers
+    before = forks()
+    folder = source_queries._written_metrics(spark, "/root/testdata/sf0.01")
+    made = forks() - before
+    files = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True)
+    assert files.select("_metadata.file_path").distinct().count() == 188 and made < 3 * 188
